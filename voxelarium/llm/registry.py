@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from voxelarium.llm import suffix
+from voxelarium.llm import debruijn, decontaminate, suffix
 
 QUERIES = {
     "op5_suffix_dedup": suffix.op5_suffix_dedup,
+    "op6_debruijn_dedup": debruijn.op6_debruijn_dedup,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_decontamination": decontaminate.SQL}
