@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from voxelarium.llm import debruijn, decontaminate, suffix
+from voxelarium.llm import debruijn, decontaminate, pii, suffix
 
 QUERIES = {
     "op5_suffix_dedup": suffix.op5_suffix_dedup,
     "op6_debruijn_dedup": debruijn.op6_debruijn_dedup,
+    "op7_pii": pii.op7_pii,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 ORACLES: dict[str, str] = {"op10_decontamination": decontaminate.SQL}
