@@ -4,7 +4,7 @@ Edges are windows of 13 consecutive words, nodes their 12-word overlaps.  Edges
 shuffled: consecutive edges that share an anchor (anchors.py) form one path piece, named by all the words it spans.  An
 equi-join by anchor finds the pieces that occur in several documents; a piece whose name recurs is a path without
 branches in all its documents.  Where pieces share an anchor but not their name the path branches inside them, and
-their single edges are compared.  Every repeated edge knows its first source (smallest doc_id, then place); runs of
+their single edges are compared.  Every repeated edge knows a source in an earlier document; runs of
 edges whose source coordinates advance together compact into maximal spans, and the coordinates are verified to line
 up word by word before a span is reported.
 
@@ -38,32 +38,58 @@ def _word_hashes(d, off):
 
 
 def _piece_map(window: int, k: int, common: np.ndarray):
+    """Pieces of each batch.  A piece that a smaller doc_id of the batch holds too is settled there (kind 1: x and y
+    are its source's doc_id and place); the others (kind 0: x and y are anchor and name) go on, so that a hot piece
+    reaches the shuffle by anchor once per batch."""
     def run(batches):
         order = Order(common)
         for b in batches:
             k1, k2 = (np.asarray(b.column(i)) for i in (0, 1))
+            parts = []
             for i, j, d, off in tc.slabs(b.column(2)):
                 wh, wo = _word_hashes(d, off)
                 if len(wh) < window:
                     continue
                 row_of = np.repeat(np.arange(j - i), np.diff(wo))
-                at, a, n, row = pieces(tc.grams(wh, k), row_of, wo[1:], order, window, k)
+                g = tc.grams(wh, k)
+                at, a, n, row = pieces(g, row_of, wo[1:], order, window, k)
                 power, inverse = tc.powers(1, len(wh) + 1)
                 sums = np.zeros(len(wh) + 1, np.uint64)
                 np.cumsum(wh * power[:-1], out=sums[1:])
                 name = tc.splitmix((sums[a + n - 1 + window] - sums[a]) * inverse[a] + tc.splitmix((n * 64 + at - a).astype(np.uint64)))
-                yield _batch(("h", "s", "k1", "k2", "a", "n"), (tc.signed(tc.grams(wh, k)[at]), tc.signed(name), k1[i + row], k2[i + row], (a - wo[row]).astype(np.int64), n.astype(np.int32)))
+                parts.append((tc.signed(g[at]), tc.signed(name), k1[i + row], k2[i + row], (a - wo[row]).astype(np.int64), n.astype(np.int32)))
+            if not parts:
+                continue
+            h, s, r1, r2, a, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+            o = np.lexsort((a, r1, s, h))
+            new = np.concatenate(([True], (h[o][1:] != h[o][:-1]) | (s[o][1:] != s[o][:-1])))
+            first = o[np.flatnonzero(new)][np.cumsum(new) - 1]
+            settled = r1[o] > r1[first]
+            x, y = np.where(settled, r1[first], h[o]), np.where(settled, a[first], s[o])
+            back = np.argsort(o)  # the order of the documents compresses best
+            yield _batch(PIECE_NAMES, (settled[back].astype(np.int32), x[back], y[back], r1, r2, a, n))
     return run
 
 
+PIECE = "kind int, x long, y long, k1 long, k2 long, a long, n int"
+PIECE_NAMES = ("kind", "x", "y", "k1", "k2", "a", "n")
+
+
 def _settle(batches):
     """Pieces by anchor.  kind 1: every edge has an earlier source; kind 2: edges to be compared one by one."""
     batches = list(batches)
     if not batches:
         return
     x = whole_partition(batches)
-    order = np.lexsort((x["a"], x["k1"], x["s"], x["h"]))
-    h, s, k1 = x["h"][order], x["s"][order], x["k1"][order]
+    names = ("kind", "k1", "k2", "a", "n", "src", "src_a")
+    q = np.flatnonzero(x["kind"] == 1)
+    if len(q):
+        yield _batch(names, (x["kind"][q], *(x[c][q] for c in ("k1", "k2", "a", "n", "x", "y"))))
+    o = np.flatnonzero(x["kind"] == 0)
+    order = o[np.lexsort((x["a"][o], x["k1"][o], x["y"][o], x["x"][o]))]
+    if not len(order):
+        return
+    h, s, k1 = x["x"][order], x["y"][order], x["k1"][order]
     newh = np.concatenate(([True], h[1:] != h[:-1]))
     news = newh | np.concatenate(([True], s[1:] != s[:-1]))
     cls, grp = np.cumsum(news) - 1, np.cumsum(newh) - 1
@@ -78,7 +104,7 @@ def _settle(batches):
         o = np.flatnonzero(mask)
         for i in range(0, len(o), 50_000):
             q = o[i : i + 50_000]
-            yield _batch(("kind", "k1", "k2", "a", "n", "src", "src_a"), (np.full(len(q), kind, np.int32), *(x[c][order[q]] for c in ("k1", "k2", "a", "n")), source[cls[q]], source_a[cls[q]]))
+            yield _batch(names, (np.full(len(q), kind, np.int32), *(x[c][order[q]] for c in ("k1", "k2", "a", "n")), source[cls[q]], source_a[cls[q]]))
 
 
 def _edges(window: int):
@@ -128,7 +154,7 @@ def repeated_edges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         return tc.grams(_word_hashes(d, np.array([0, len(d)]))[0], gram)
 
     common = frequent(docs, word_grams)
-    settled = cut(base.mapInArrow(_piece_map(window, gram, common), PIECE).repartition("h").mapInArrow(_settle, f"kind int, {HIT}"), "paths")
+    settled = cut(base.mapInArrow(_piece_map(window, gram, common), PIECE).repartition(F.when(F.col("kind") == 0, F.col("x")).otherwise(F.xxhash64("k2", "a"))).mapInArrow(_settle, f"kind int, {HIT}"), "paths")
     asked = settled.where("kind = 2").groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "n")).alias("ask"))
     texts = base.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "ask").dropDuplicates(["k1", "k2"])
     single = texts.mapInArrow(_edges(window), "w long, v long, k1 long, k2 long, a long").repartition("w").mapInArrow(_first_edges, HIT)
