@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from voxelarium.llm import debruijn, decontaminate, pii, suffix
+from voxelarium.llm import debruijn, decontaminate, mixing, pii, sharding, suffix
 
 QUERIES = {
+    "op1_pareto_mix": mixing.op1_pareto_mix,
+    "op4_virtual_slots": sharding.op4_virtual_slots,
     "op5_suffix_dedup": suffix.op5_suffix_dedup,
     "op6_debruijn_dedup": debruijn.op6_debruijn_dedup,
     "op7_pii": pii.op7_pii,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
-ORACLES: dict[str, str] = {"op10_decontamination": decontaminate.SQL}
+ORACLES: dict[str, str] = {"op1_pareto_mix": mixing.SQL, "op10_decontamination": decontaminate.SQL}
