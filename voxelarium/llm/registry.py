@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxelarium.llm import debruijn, decontaminate, mixing, pii, sharding, suffix
+from voxelarium.llm import debruijn, decontaminate, mixing, pii, projections, sharding, suffix
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1_pareto_mix,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_suffix_dedup": suffix.op5_suffix_dedup,
     "op6_debruijn_dedup": debruijn.op6_debruijn_dedup,
     "op7_pii": pii.op7_pii,
+    "op8_sorted_projections": projections.op8_sorted_projections,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 ORACLES: dict[str, str] = {"op1_pareto_mix": mixing.SQL, "op10_decontamination": decontaminate.SQL}
