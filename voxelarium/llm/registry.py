@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from voxelarium.llm import debruijn, decontaminate, mixing, pii, projections, sharding, suffix
+from voxelarium.llm import debruijn, decontaminate, forest, mixing, pii, projections, sharding, suffix
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1_pareto_mix,
+    "op2_lsh_forest": forest.op2_lsh_forest,
     "op4_virtual_slots": sharding.op4_virtual_slots,
     "op5_suffix_dedup": suffix.op5_suffix_dedup,
     "op6_debruijn_dedup": debruijn.op6_debruijn_dedup,
