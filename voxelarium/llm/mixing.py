@@ -54,37 +54,69 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int
     return per.select("source", F.col("s").alias("source_size"), target.alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MOST, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken and the columns to keep, one row per input row."""
-    base = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), *keep), "sizes")
-    plan = targets(base, weights, budget, most)
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Adds the ranking variable _q and the rest of the order, _u and _id; f is the inclusion probability."""
+    share = uniform(F.col("doc_id")) / F.lit(float(2**48))
+    q = F.when(F.col("f") > 0, (share / (1 - share)) * ((1 - F.col("f")) / F.col("f")))
+    return rows.withColumn("_u", uniform(F.col("doc_id"))).withColumn("_q", q).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+
+
+def decide(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
+    """One row per source of (doc_id, source, size): its target, certain copies, inclusion probability f, and the last
+    place (_cq, _cu, _cid) of the order that is sampled."""
+    plan = targets(sizes, weights, budget, most)
     r = F.col("target") / F.nullif(F.col("source_size"), F.lit(0))
     plan = plan.withColumn("whole", F.coalesce(F.floor(r), F.lit(0))).withColumn("f", F.coalesce(r - F.floor(r), F.lit(0.0)))
-    plan = cut(plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "targets").withColumnRenamed("source", "_source")
-    u = uniform(F.col("doc_id"))
-    share = F.col("_u") / F.lit(float(2**48))
-    rows = base.join(plan, base["source"].eqNullSafe(plan["_source"])).drop("_source").withColumn("_u", u)
-    rows = rows.withColumn("_q", F.when(F.col("f") > 0, (share / (1 - share)) * ((1 - F.col("f")) / F.col("f"))))
-    rows = rows.withColumn("_b", F.when(F.col("f") > 0, F.floor(F.col("_q") / (1 + F.col("_q")) * BUCKETS)))
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    sums = rows.where("f > 0").groupBy(key.alias("_k"), F.col("_b").alias("_kb")).agg(F.sum("size").alias("_sum"), F.first("rest").alias("_rest"))
-    w = Window.partitionBy("_k").orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(w), F.lit(0)))
-    state = F.when(F.col("_before") + F.col("_sum") <= F.col("_rest"), 1).when(F.col("_before") >= F.col("_rest"), 0)
-    sums = sums.select("_k", "_kb", "_before", state.alias("_all"))
-    placed = rows.join(sums, (key == F.col("_k")) & (F.col("_b") == F.col("_kb")), "left")
-    out = ["doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("_extra")).alias("copies"), (F.col("size") * (F.col("whole") + F.col("_extra"))).alias("taken"), *keep]
-    edge = F.col("_k").isNotNull() & F.col("_all").isNull()
-    plain = placed.where(~edge).withColumn("_extra", F.coalesce("_all", F.lit(0))).select(*out)
-    # documents of the bucket in which the sum reaches the target, one bucket per source
-    w = Window.partitionBy("_k").orderBy("_q", "_u", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    plan = plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = cut(plan.withColumn("_k", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))), "targets")
+    rows = sizes.withColumn("_k", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source").join(plan.where("f > 0").select("_k", "f", "rest"), "_k")
+    rows = _ranked(rows).withColumn("_b", F.floor(F.col("_q") / (1 + F.col("_q")) * BUCKETS))
+    # running sums over the buckets of a source; the target falls into one of them
+    sums = rows.groupBy("_k", "_b").agg(F.sum("size").alias("_sum"), F.first("rest").alias("_rest"))
+    w = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    edge = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(w), F.lit(0))).where("_before < _rest AND _before + _sum > _rest").select("_k", "_b", "_before")
+    # and over the documents of that bucket; documents of one place in the order are taken together
+    inside = rows.join(edge, ["_k", "_b"]).groupBy("_k", "_q", "_u", "_id").agg(F.sum("size").alias("size"), F.first("rest").alias("rest"), F.first("_before").alias("_before"))
+    w = Window.partitionBy("_k").orderBy("_q", "_u", "_id").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("_before") + F.coalesce(F.sum("size").over(w), F.lit(0))
-    split = placed.where(edge).withColumn("_extra", F.when(2 * before + F.col("size") <= 2 * F.col("rest"), 1).otherwise(0)).select(*out)
-    return plain.unionByName(split)
+    last = inside.withColumn("_in", 2 * before + F.col("size") <= 2 * F.col("rest")).groupBy("_k").agg(F.max(F.when(F.col("_in"), F.struct("_q", "_u", "_id"))).alias("_last"))
+    # where no document of the bucket is taken, the order ends with the bucket before
+    out = plan.join(edge.select("_k", (F.col("_b") / BUCKETS).alias("_v")), "_k", "left").join(last, "_k", "left")
+    return out.select("_k", "source_size", "target", "whole", "f", "_v", F.col("_last._q").alias("_cq"), F.col("_last._u").alias("_cu"), F.col("_last._id").alias("_cid"))
+
+
+def mix(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The columns of docs (doc_id and source among them) with source_size, target and copies.
+
+    decisions is one row per source; documents are neither shuffled nor sorted where that table is small.
+    """
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    rows = _ranked(docs.withColumn("_k", key).join(decisions, "_k"))
+    bucket = F.floor(F.col("_q") / (1 + F.col("_q")) * BUCKETS)
+    # no edge bucket: the whole order is within the target
+    place, last = F.struct("_q", "_u", "_id"), F.struct("_cq", "_cu", "_cid")
+    edge = F.col("_v") * BUCKETS
+    # before the edge bucket everything is taken, in it what comes no later than the last place
+    taken = F.col("_v").isNull() | (bucket < edge) | ((bucket == edge) & F.col("_cq").isNotNull() & (place <= last))
+    extra = F.when((F.col("f") > 0) & taken, 1).otherwise(0)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "source_size", "target", (F.col("whole") + extra).cast("long").alias("copies"))
+
+
+def sizes_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
+
+
+def repeat(docs: DataFrame) -> DataFrame:
+    """The mix itself: every row of docs, all columns unchanged, as often as it is taken."""
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    mixed = mix(rows, cut(decide(cut(sizes_of(docs), "sizes")), "decisions"))
+    return mixed.where("copies > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    sizes = cut(sizes_of(spark.read.parquet(f"{sf_dir}/documents.parquet")), "sizes")
+    mixed = mix(sizes, cut(decide(sizes), "decisions"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 SQL = r"""

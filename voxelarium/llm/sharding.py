@@ -16,11 +16,12 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxelarium.llm.base import cut, shared_dir
+from voxelarium.llm.base import shared_dir
 
 SHARDS, SLOTS, OVERHEAD = 40, 8192, 16
 
@@ -101,20 +102,23 @@ def slot_of(slots: int = SLOTS):
     return F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int")
 
 
-def records(docs: DataFrame, slots: int = SLOTS, keep: tuple[str, ...] = ()) -> DataFrame:
+def records(docs: DataFrame, slots: int = SLOTS, *keep) -> DataFrame:
     data = F.encode(F.col("text"), "UTF-8")
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long").alias("size"), F.crc32(F.coalesce(data, F.lit(b""))).alias("text_crc32"), *keep)
     return out.withColumn("virtual_slot", slot_of(slots))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version and the columns to keep."""
+PLACED = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot", "map_version")
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, whole_rows: bool = False) -> DataFrame:
+    """The columns PLACED and, with whole_rows, those of docs that have other names."""
     spark = docs.sparkSession
-    base = cut(records(docs, slots, keep), "records")
-    sums = {r.virtual_slot: (r.b, r.n) for r in base.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if whole_rows else []
+    sums = {r.virtual_slot: (r.b, r.n) for r in records(docs, slots).groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
     first = SlotMap.initial(shards, slots)
     current = first.rebalanced([sums.get(s, (0, 0))[0] for s in range(slots)])
-    path = f"{shared_dir(spark)}/slot-maps/{base.inputFiles()[0].split('/')[-2] if sums else 'empty'}"
+    path = f"{shared_dir(spark)}/slot-maps/{uuid.uuid4().hex}"
     first.save(spark, path)
     current.save(spark, path)
     before, seen = [], [0] * shards
@@ -123,8 +127,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, keep: tuple
         seen[x] += sums.get(s, (0, 0))[1]
     places = spark.createDataFrame(before, "virtual_slot int, shard int, _before long, map_version int")
     rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
-    out = base.withColumn("_rank", rank).join(F.broadcast(places), "virtual_slot")  # one row per virtual slot
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_before") + F.col("_rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version", *keep)
+    # one row per virtual slot: the map is as large for any input
+    out = records(docs, slots, *row).withColumn("_rank", rank).join(F.broadcast(places), "virtual_slot")
+    out = out.withColumn("law", F.lit("bytes")).withColumn("slot", (F.col("_before") + F.col("_rank")).cast("long")).withColumn("grown_shard", F.lit(None).cast("int"))
+    others = [c for c in docs.columns if c.lower() not in PLACED] if whole_rows else []
+    return out.select(*PLACED, *[F.col(f"_row.`{c}`") for c in others])
 
 
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
