@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from voxelarium.plans import files, operations, surfaces, volumes
+
+QUERIES: dict = {**volumes.QUERIES, **surfaces.QUERIES, **operations.QUERIES, **files.QUERIES}
+ORACLES: dict = {**volumes.ORACLES, **surfaces.ORACLES, **operations.ORACLES, **files.ORACLES}
 FLAGSHIP = "slice_xy"
