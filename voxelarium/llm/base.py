@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -43,12 +44,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write a table to the shared folder and read it back: the lineage ends there and survives lost executors."""
+def cut(df: DataFrame, name: str = "step", free: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: the lineage ends there and survives lost executors.
+
+    free: let go of the shuffle files that led to it now (Spark removes them once their plan is collected as garbage),
+    where a large shuffle would otherwise stay on disk beside the next one.
+    """
     spark = df.sparkSession
+    schema = df.schema
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if free:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def keyed(docs: DataFrame, *keep: str) -> DataFrame:

@@ -19,6 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,12 +68,13 @@ def _piece_map(window: int, k: int, common: np.ndarray):
             settled = r1[o] > r1[first]
             x, y = np.where(settled, r1[first], h[o]), np.where(settled, a[first], s[o])
             back = np.argsort(o)  # the order of the documents compresses best
-            yield _batch(PIECE_NAMES, (settled[back].astype(np.int32), x[back], y[back], r1, r2, a, n))
+            yield _batch(PIECE_NAMES, (x[back], y[back], r1, r2, a << 16 | n.astype(np.int64) << 1 | settled[back]))
     return run
 
 
-PIECE = "kind int, x long, y long, k1 long, k2 long, a long, n int"
-PIECE_NAMES = ("kind", "x", "y", "k1", "k2", "a", "n")
+#: p holds place, number of edges and kind of a piece: a << 16 | n << 1 | kind.
+PIECE = "x long, y long, k1 long, k2 long, p long"
+PIECE_NAMES = ("x", "y", "k1", "k2", "p")
 
 
 def _settle(batches):
@@ -81,6 +83,7 @@ def _settle(batches):
     if not batches:
         return
     x = whole_partition(batches)
+    x |= {"kind": (x["p"] & 1).astype(np.int32), "n": (x["p"] >> 1 & 0x7FFF).astype(np.int32), "a": x["p"] >> 16}
     names = ("kind", "k1", "k2", "a", "n", "src", "src_a")
     q = np.flatnonzero(x["kind"] == 1)
     if len(q):
@@ -114,7 +117,7 @@ def _edges(window: int):
             k1, k2 = (np.asarray(b.column(i)) for i in (0, 1))
             asked = b.column(3)
             flat = asked.flatten()
-            counts = np.asarray(pa.compute.list_value_length(asked)).astype(np.int64)
+            counts = np.asarray(pc.list_value_length(asked)).astype(np.int64)
             at, n = np.asarray(flat.field("a")), np.asarray(flat.field("n")).astype(np.int64)
             row = np.repeat(np.arange(len(counts)), counts)
             for i, j, d, off in tc.slabs(b.column(2)):
@@ -154,10 +157,11 @@ def repeated_edges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         return tc.grams(_word_hashes(d, np.array([0, len(d)]))[0], gram)
 
     common = frequent(docs, word_grams)
-    settled = cut(base.mapInArrow(_piece_map(window, gram, common), PIECE).repartition(F.when(F.col("kind") == 0, F.col("x")).otherwise(F.xxhash64("k2", "a"))).mapInArrow(_settle, f"kind int, {HIT}"), "paths")
+    settled = cut(base.mapInArrow(_piece_map(window, gram, common), PIECE).repartition(F.when(F.col("p").bitwiseAND(F.lit(1)) == 0, F.col("x")).otherwise(F.xxhash64("k2", "p"))).mapInArrow(_settle, f"kind int, {HIT}"), "paths", free=True)
     asked = settled.where("kind = 2").groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "n")).alias("ask"))
     texts = base.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "ask").dropDuplicates(["k1", "k2"])
     single = texts.mapInArrow(_edges(window), "w long, v long, k1 long, k2 long, a long").repartition("w").mapInArrow(_first_edges, HIT)
+    single = cut(single, "edges", free=True)
     hits = settled.where("kind = 1").drop("kind").unionByName(single)
     return hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "n", "src", "src_a")).alias("hits"))
 
