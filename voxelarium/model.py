@@ -121,9 +121,9 @@ class Compositing:
         return self.opacity / 100.0
 
     def layers(self, w: int = 0) -> tuple[int, ...]:
-        """Offsets along the normal in walking order, from in front to behind (or back)."""
-        walk = tuple(range(w + self.in_front, w - self.behind - 1, -1))
-        return walk[::-1] if self.reverse else walk
+        """Offsets along the normal in walking order, from in front to behind; reversed, front is where w is less."""
+        d = -1 if self.reverse else 1
+        return tuple(range(w + d * self.in_front, w - d * (self.behind + 1), -d))
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelarium.functions.voxel import affine, affine_normal
-from voxelarium.model import Affine
+from voxelarium.functions.voxel import rgb
+from voxelarium.model import Affine, Compositing
+from voxelarium.operators import paint, sample
 
 #: Most cells of a side of a triangle before the next coarser grid (eight times as wide) takes it; grids in use.
 SPAN, GRIDS = 8, 4
@@ -96,3 +98,27 @@ def orthographic(tri: DataFrame) -> DataFrame:
     for i in (1, 2, 3):
         out = out.withColumn(f"u{i}", F.col(f"x{i}") - F.col("_x0")).withColumn(f"v{i}", F.col(f"z{i}") - F.col("_z0"))
     return out.withColumns({"nx": F.lit(0.0), "ny": F.lit(1.0), "nz": F.lit(0.0)}).drop("_x0", "_z0")
+
+
+def paint_uv(pixels: DataFrame, tri: DataFrame, voxels: DataFrame, w: float = 0.0, extent=(1 << 30,) * 3) -> DataFrame:
+    """(px, py, value) of pixels (px, py, u, v) under a mesh, w along the face normal; pixels off the mesh drop out."""
+    n = face_normals(tri).select("tri_id", "nx", "ny", "nz")
+    at = locate(pixels, ["px", "py"], tri).join(n, "tri_id")
+    at = at.select("px", "py", *[(F.col(a) + w * F.col(f"n{a}")).alias(f"s{a}") for a in "xyz"])
+    return sample.nearest(at, voxels, extent).select("px", "py", "value")
+
+
+def composite_uv(pixels: DataFrame, tri: DataFrame, voxels: DataFrame, c: Compositing, overlay: DataFrame | None = None, w: int = 0) -> DataFrame:
+    """(px, py, value): rays along the face normals, folded."""
+    n = face_normals(tri).select("tri_id", *[F.col(f"n{a}").alias(f"d{a}") for a in "xyz"])
+    at = locate(pixels, ["px", "py"], tri).join(n, "tri_id")
+    ray = F.shiftleft(F.col("py").cast("long"), 32) + F.col("px")
+    rays = at.select(ray.alias("ray"), *[F.col(a).alias(f"o{a}") for a in "xyz"], "dx", "dy", "dz")
+    out = paint.rays(rays, voxels, c, overlay, w=w)
+    return out.select(F.col("ray").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("px"), F.shiftright("ray", 32).cast("int").alias("py"), "value")
+
+
+def iso_color(x, y, z, place: tuple[float, float, float]):
+    """Outline colour of a surface point within 2 of a place's x (blue), y (red) or z (green); null elsewhere."""
+    near = lambda c, p: F.abs(c - F.lit(float(p))) < 2.0
+    return F.when(near(x, place[0]), rgb(0, 0, 255)).when(near(y, place[1]), rgb(255, 0, 0)).when(near(z, place[2]), rgb(0, 255, 0))

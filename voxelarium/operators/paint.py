@@ -122,3 +122,19 @@ def render_tiles(spark: SparkSession, width: int, height: int, layers: int, tile
     x0, y0 = F.greatest(F.col("tu") * tile, F.lit(crop.left)), F.greatest(F.col("tv") * tile, F.lit(crop.top))
     x1, y1 = F.least((F.col("tu") + 1) * tile, F.lit(min(width, crop.left + crop.width))), F.least((F.col("tv") + 1) * tile, F.lit(min(height, crop.top + crop.height)))
     return t.select("*", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")).where("x0 < x1 AND y0 < y1")
+
+
+def lines(segments: DataFrame, key: list[str]) -> DataFrame:
+    """Pixels (key, px, py) of segments (x0, y0, x1, y1), the end excluded: one step of the longer axis at a time, the
+    other axis rounded to the nearest (halves away from the start)."""
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    n = F.greatest(F.abs(dx), F.abs(dy))
+    s = segments.withColumn("_n", n).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    step = lambda a, d: (F.col(a) + F.signum(d) * idiv(2 * F.col("_k") * F.abs(d) + F.col("_n"), 2 * F.col("_n"))).cast("int")
+    return s.select(*key, step("x0", dx).alias("px"), step("y0", dy).alias("py"))
+
+
+def points(places: DataFrame, key: list[str], radius: int = 1) -> DataFrame:
+    """Square markers around places (px, py)."""
+    d = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)]))
+    return places.withColumn("_d", d).select(*key, (F.col("px") + F.col("_d.i")).alias("px"), (F.col("py") + F.col("_d.j")).alias("py"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,3 +133,31 @@ def pop_order(requests: DataFrame, now: int, max_age: int) -> DataFrame:
     ones go unless durable."""
     latest = requests.groupBy("chunk").agg(F.max("seq").alias("seq"), F.max("t").alias("t"), F.max("durable").alias("durable"))
     return latest.where(F.col("durable") | (now - F.col("t") <= max_age)).orderBy(F.desc("seq"))
+
+
+def assemble(wanted: DataFrame, native: DataFrame, sides: tuple[int, int, int], shape: tuple[int, int, int], size: int = 64) -> DataFrame:
+    """Dense cache chunks (cx, cy, cz, bytes) filled from decoded native chunks (nx, ny, nz, bytes; z, y, x order).
+
+    Each native chunk is decoded once, before it meets the cache chunks it overlaps; each cache chunk is one group.
+    """
+    parts = native_overlap(wanted.select("cx", "cy", "cz").distinct(), sides, shape, size).join(native, ["nx", "ny", "nz"])
+
+    def run(table: pa.Table) -> pa.Table:
+        c = [table.column(f"c{a}")[0].as_py() for a in "xyz"]
+        out = np.zeros((size, size, size), np.uint8)
+        for *n, raw in zip(*[table.column(k).to_pylist() for k in ("nx", "ny", "nz", "bytes")], strict=True):
+            block = np.frombuffer(raw, np.uint8).reshape(sides[::-1])
+            to, source = [], []
+            for ci, ni, si, ei in zip(c, n, sides, shape, strict=True):
+                low, high = max(ci * size, ni * si), min((ci + 1) * size, (ni + 1) * si, ei)
+                to.append(slice(low - ci * size, high - ci * size))
+                source.append(slice(low - ni * si, high - ni * si))
+            out[tuple(to[::-1])] = block[tuple(source[::-1])]
+        return pa.table({**{f"c{a}": pa.array([v], pa.int32()) for a, v in zip("xyz", c, strict=True)}, "bytes": pa.array([out.tobytes()], pa.binary())})
+
+    return parts.groupBy("cx", "cy", "cz").applyInArrow(run, "cx int, cy int, cz int, bytes binary")
+
+
+def latest(accesses: DataFrame, key: list[str], by: str = "seq") -> DataFrame:
+    """The state of each chunk after its last access: (key, access_epoch, state)."""
+    return accesses.groupBy(*key).agg(F.max_by(F.struct("access_epoch", "state"), by).alias("s")).select(*key, "s.*")

@@ -251,3 +251,32 @@ def components_6n(spark, sf):
 @query(f"WITH {VL} SELECT v, count(*) AS n FROM vl GROUP BY v")
 def label_counts(spark, sf):
     return label_volume(spark, sf).groupBy("v").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey AS idx, CAST(arg_max(l_partkey % 256, l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey) AS INT) AS access_epoch, CAST(arg_max(l_suppkey % 3, l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey) AS INT) AS state FROM lineitem GROUP BY l_orderkey")
+def latest_access_epoch(spark, sf):
+    a = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("idx"), (F.col("l_partkey") % 256).cast("int").alias("access_epoch"), (F.col("l_suppkey") % 3).cast("int").alias("state"), (F.col("l_linenumber") * 10_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("seq"))
+    return residency.latest(a, ["idx"])
+
+
+@query("""WITH ve AS (SELECT CAST(vec_id AS INT) AS z, CAST(k // 8 AS INT) AS y, CAST(k % 8 AS INT) AS x, CAST(least(greatest(floor((CAST(e AS DOUBLE) + 1) * 127.5), 0), 255) AS INT) AS v FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(len(embedding))) AS k FROM embeddings))
+SELECT x, y, z, v FROM ve WHERE z < 64""")
+def native_assembly(spark, sf):
+    """Cache chunks of 16 voxels assembled from native chunks of 5 x 3 x 7 and read back as voxels."""
+    import numpy as np
+    import pyarrow as pa
+
+    from voxelarium.operators import sample
+    from voxelarium.sources.derived import embedding_volume
+
+    sides, shape = (5, 3, 7), (8, 8, 64)
+    v = embedding_volume(spark, sf, (0, 63)).select(*[F.floor(F.col(a) / s).cast("int").alias(f"n{a}") for a, s in zip("xyz", sides, strict=True)], (((F.col("z") % 7) * 3 + F.col("y") % 3) * 5 + F.col("x") % 5).alias("at"), "v")
+
+    def dense(t: pa.Table) -> pa.Table:
+        block = np.zeros(105, np.uint8)
+        block[np.asarray(t.column("at"))] = np.asarray(t.column("v"))
+        return pa.table({**{c: pa.array([t.column(c)[0].as_py()], pa.int32()) for c in ("nx", "ny", "nz")}, "bytes": pa.array([block.tobytes()], pa.binary())})
+
+    native = v.groupBy("nx", "ny", "nz").applyInArrow(dense, "nx int, ny int, nz int, bytes binary")
+    wanted = spark.range(4).select(F.lit(0).alias("cx"), F.lit(0).alias("cy"), F.col("id").cast("int").alias("cz"))
+    return sample.to_voxels(residency.assemble(wanted, native, sides, shape, 16), 4).where("x < 8 AND y < 8 AND z < 64")

@@ -223,3 +223,63 @@ def render_tiles(spark, sf):
     p = t.join(g, ["tu", "tv"]).where("c >= x0 AND c < x1 AND r >= y0 AND r < y1")
     p = p.select("w", "tv", "tu", F.col("c").alias("px"), F.col("r").alias("py"), F.col("px").alias("sx"), F.col("py").alias("sy"), (F.col("pz") + F.col("w") - 1).alias("sz"))
     return sample.nearest(p, _scaled(spark, sf), (1 << 30,) * 3).select("w", "tv", "tu", "px", "py", F.col("value").cast("int").alias("value"))
+
+
+def _uv_pixels(spark):
+    return paint.pixels(spark, 126, 120).select("px", "py", (F.col("px") / 2.0 + 0.3125).alias("u"), (F.col("py") / 2.0 + 0.15625).alias("v"))
+
+
+_ON = """pp AS (SELECT CAST(i % 126 AS INT) px, CAST(i // 126 AS INT) py FROM range(15120) t(i)), p AS (SELECT px, py, px / 2.0::DOUBLE + 0.3125 AS u, py / 2.0::DOUBLE + 0.15625 AS v FROM pp),
+h AS (SELECT p.px, p.py, p.u, p.v, tm.*, (v2 - v3) * (u1 - u3) + (u3 - u2) * (v1 - v3) AS d FROM p JOIN tm ON p.u BETWEEN least(u1, u2, u3) AND greatest(u1, u2, u3) AND p.v BETWEEN least(v1, v2, v3) AND greatest(v1, v2, v3)),
+b AS (SELECT *, ((v2 - v3) * (u - u3) + (u3 - u2) * (v - v3)) / d AS b1, ((v3 - v1) * (u - u3) + (u1 - u3) * (v - v3)) / d AS b2 FROM h),
+k AS (SELECT *, 1.0 - b1 - b2 AS b3 FROM b), i AS (SELECT * FROM k WHERE b1 >= 0 AND b2 >= 0 AND b3 >= 0 QUALIFY row_number() OVER (PARTITION BY px, py ORDER BY tri_id DESC) = 1),
+o AS (SELECT px, py, b1 * x1 + b2 * x2 + b3 * x3 AS x, b1 * y1 + b2 * y2 + b3 * y3 AS y, b1 * z1 + b2 * z2 + b3 * z3 AS z,
+  (y2 - y1) * (z3 - z1) - (z2 - z1) * (y3 - y1) AS nx, (z2 - z1) * (x3 - x1) - (x2 - x1) * (z3 - z1) AS ny, (x2 - x1) * (y3 - y1) - (y2 - y1) * (x3 - x1) AS nz FROM i),
+e AS (SELECT px, py, x, y, z, CASE WHEN sqrt(nx * nx + ny * ny + nz * nz) > 1e-6 THEN nx / sqrt(nx * nx + ny * ny + nz * nz) ELSE 0 END AS nx, CASE WHEN sqrt(nx * nx + ny * ny + nz * nz) > 1e-6 THEN ny / sqrt(nx * nx + ny * ny + nz * nz) ELSE 0 END AS ny, CASE WHEN sqrt(nx * nx + ny * ny + nz * nz) > 1e-6 THEN nz / sqrt(nx * nx + ny * ny + nz * nz) ELSE 0 END AS nz FROM o)"""
+
+
+def _dense(spark, t):
+    """Voxels of a formula at the places wanted (a table of the dense volume would hold five million)."""
+    return t.select("x", "y", "z").distinct().where("x >= 0 AND x < 700 AND y >= 0 AND y < 700 AND z >= 1080 AND z < 1260").withColumn("v", ((F.col("x") * 7 + F.col("y") * 13 + F.col("z") * 29) % 251).cast("int"))
+
+
+def _formula(x: str, y: str, z: str) -> str:
+    x, y, z = (f"greatest(CAST(trunc({c}) AS INT), 0)" for c in (x, y, z))
+    return f"CASE WHEN {x} < 700 AND {y} < 700 AND {z} BETWEEN 1080 AND 1259 THEN ({x} * 7 + {y} * 13 + {z} * 29) % 251 ELSE 0 END"
+
+
+def _around(spark, sf, offsets):
+    """The dense volume restricted to the voxels around the mesh of the pixels."""
+    t = triangles(grid_surface(spark, sf).where("r < 62"))
+    n = mesh.face_normals(t).select("tri_id", "nx", "ny", "nz")
+    at = mesh.locate(_uv_pixels(spark), ["px", "py"], t).join(n, "tri_id").withColumn("w", F.explode(F.array(*map(F.lit, offsets))))
+    places = at.select(*[F.greatest((F.col(a) + F.col("w") * F.col(f"n{a}")).cast("int"), F.lit(0)).alias(a) for a in "xyz"])
+    return t, _dense(spark, places)
+
+
+@query(f"WITH {TM}, {_ON} SELECT px, py, CAST({_formula('x + 2.0 * nx', 'y + 2.0 * ny', 'z + 2.0 * nz')} AS INT) AS value FROM e")
+def mesh_uv_paint(spark, sf):
+    t, v = _around(spark, sf, [2.0])
+    return mesh.paint_uv(_uv_pixels(spark), t, v, 2.0).select("px", "py", F.col("value").cast("int").alias("value"))
+
+
+@query(f"WITH {TM}, {_ON}, w AS (SELECT CAST(k - 3 AS INT) AS w FROM range(7) t(k)) SELECT px, py, CAST(max({_formula('x + w * nx', 'y + w * ny', 'z + w * nz')}) AS INT) AS value FROM e, w GROUP BY px, py")
+def mesh_uv_composite(spark, sf):
+    t, v = _around(spark, sf, [float(w) for w in range(-3, 4)])
+    return mesh.composite_uv(_uv_pixels(spark), t, v, Compositing("max", in_front=3, behind=3)).select("px", "py", F.col("value").cast("int").alias("value"))
+
+
+@query(f"WITH {TM}, {_ON} SELECT px, py, CAST(CASE WHEN abs(x - 300.0) < 2.0 THEN 0 ELSE CASE WHEN abs(y - 200.0) < 2.0 THEN 255 ELSE 0 END END AS INT) AS r, CAST(CASE WHEN abs(x - 300.0) < 2.0 OR abs(y - 200.0) < 2.0 THEN 0 ELSE 255 END AS INT) AS g, CAST(CASE WHEN abs(x - 300.0) < 2.0 THEN 255 ELSE 0 END AS INT) AS b FROM o WHERE abs(x - 300.0) < 2.0 OR abs(y - 200.0) < 2.0 OR abs(z - 1128.0) < 2.0")
+def uv_iso_outline(spark, sf):
+    at = mesh.locate(_uv_pixels(spark), ["px", "py"], triangles(grid_surface(spark, sf).where("r < 62")))
+    out = at.withColumn("c", mesh.iso_color(F.col("x"), F.col("y"), F.col("z"), (300.0, 200.0, 1128.0))).where("c IS NOT NULL")
+    return out.select("px", "py", "c.r", "c.g", "c.b")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, CAST(s_suppkey * 7 % 61 AS INT) x0, CAST(s_suppkey * 11 % 53 AS INT) y0, CAST(s_suppkey * 5 % 67 AS INT) x1, CAST(s_suppkey * 3 % 59 AS INT) y1 FROM supplier),
+n AS (SELECT *, greatest(abs(x1 - x0), abs(y1 - y0)) AS n FROM s), k AS (SELECT *, unnest(range(n)) AS k FROM n WHERE n > 0)
+SELECT id, CAST(x0 + sign(x1 - x0) * ((2 * k * abs(x1 - x0) + n) // (2 * n)) AS INT) AS px, CAST(y0 + sign(y1 - y0) * ((2 * k * abs(y1 - y0) + n) // (2 * n)) AS INT) AS py FROM k""")
+def line_raster(spark, sf):
+    k = F.col("s_suppkey")
+    s = spark.read.parquet(f"{sf}/supplier.parquet").select(k.alias("id"), (k * 7 % 61).cast("int").alias("x0"), (k * 11 % 53).cast("int").alias("y0"), (k * 5 % 67).cast("int").alias("x1"), (k * 3 % 59).cast("int").alias("y1"))
+    return paint.lines(s, ["id"])

@@ -28,12 +28,12 @@ def _pixels(w: int, h: int) -> str:
 
 @query(f"WITH {VE}, {_pixels(16, 16)} SELECT px, py, CAST(coalesce(v, 0) AS INT) AS value FROM px LEFT JOIN ve ON x = px - 8 + 4 AND y = py - 8 + 4 AND z = 120")
 def slice_xy(spark, sf):
-    return paint.slice_plane(embedding_volume(spark, sf), View((4, 4, 120), (0, 1, 2), 16, 16))
+    return paint.slice_plane(embedding_volume(spark, sf, (120, 120)), View((4, 4, 120), (0, 1, 2), 16, 16))
 
 
 @query(f"WITH {VE}, {_pixels(16, 128)} SELECT px, py, CAST(coalesce(v, 0) AS INT) AS value FROM px LEFT JOIN ve ON x = px - 8 + 4 AND z = py - 64 + 200 AND y = 3")
 def slice_xz(spark, sf):
-    return paint.slice_plane(embedding_volume(spark, sf), View((4, 3, 200), (0, 2, 1), 16, 128))
+    return paint.slice_plane(embedding_volume(spark, sf, (136, 263)), View((4, 3, 200), (0, 2, 1), 16, 128))
 
 
 @query(f"WITH {VE}, {_pixels(128, 16)} SELECT px, py, CAST(coalesce(v, 0) AS INT) AS value FROM px LEFT JOIN ve ON z = (px - 64) * 2 + 250 AND y = (py - 8) * 2 + 4 AND x = 5")
@@ -45,7 +45,7 @@ def slice_yz(spark, sf):
 t AS (SELECT px, py, coalesce(v, 0) AS v FROM px LEFT JOIN ve ON x = px AND y = py AND z = 40)
 SELECT px, py, CAST(trunc(CAST((least((greatest(v - 90, 0) * 255) // 125, 255) & 240) AS DOUBLE) / 240.0::DOUBLE * 255.0::DOUBLE) AS INT) AS value FROM t""")
 def slice_threshold_quant(spark, sf):
-    return paint.slice_plane(embedding_volume(spark, sf), View((4, 4, 40), (0, 1, 2), 8, 8), Filter(threshold_min=90, threshold_max=40, quant=4))
+    return paint.slice_plane(embedding_volume(spark, sf, (40, 40)), View((4, 4, 40), (0, 1, 2), 8, 8), Filter(threshold_min=90, threshold_max=40, quant=4))
 
 
 @query(f"WITH {VL}, {_pixels(8, 256)} SELECT px, py, v AS value FROM px JOIN vl ON x = px AND z = py - 128 + 250 AND y = 2 WHERE v <> 0")
@@ -170,7 +170,7 @@ a AS (SELECT ax.t AS x, l.y, l.z, (l.v * (256 - w) + h.v * w) >> 8 AS v FROM ax
 b AS (SELECT l.x, ax.t AS y, l.z, (l.v * (256 - w) + h.v * w) >> 8 AS v FROM ax JOIN a l ON l.y = lo JOIN a h ON h.y = hi AND h.x = l.x AND h.z = l.z)
 SELECT l.x, l.y, ax.t AS z, CAST((l.v * (256 - w) + h.v * w) >> 8 AS INT) AS v FROM ax JOIN b l ON l.z = lo JOIN b h ON h.z = hi AND h.x = l.x AND h.y = l.y""")
 def upsample_preview(spark, sf):
-    block = embedding_volume(spark, sf).where("z BETWEEN 96 AND 103").select("x", "y", (F.col("z") - 96).alias("z"), "v")
+    block = embedding_volume(spark, sf, (96, 103)).select("x", "y", (F.col("z") - 96).alias("z"), "v")
     return lod.preview_voxels(block, 2, 8).select("x", "y", "z", F.col("v").cast("int").alias("v"))
 
 

@@ -18,9 +18,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def embedding_volume(spark: SparkSession, sf: str) -> DataFrame:
-    """(x, y, z, v): one plane of 8x8 voxels per vector."""
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").cast("int").alias("z"), F.posexplode("embedding").alias("k", "e"))
+def embedding_volume(spark: SparkSession, sf: str, planes: tuple[int, int] | None = None) -> DataFrame:
+    """(x, y, z, v): one plane of 8x8 voxels per vector.
+
+    planes: first and last plane wanted; on the stored column, so that the scan skips row groups.
+    """
+    e = table(spark, sf, "embeddings")
+    if planes:
+        e = e.where(F.col("vec_id").between(*planes))
+    e = e.select(F.col("vec_id").cast("int").alias("z"), F.posexplode("embedding").alias("k", "e"))
     v = F.floor((F.col("e").cast("double") + 1) * 127.5)
     return e.select((F.col("k") % SIDE).alias("x"), idiv(F.col("k"), SIDE).cast("int").alias("y"), "z", F.least(F.greatest(v, F.lit(0)), F.lit(255)).cast("int").alias("v"))
 
