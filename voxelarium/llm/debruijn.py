@@ -151,17 +151,18 @@ def repeated_edges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     """(k1, k2, hits): for each row with any, runs (a, n, src, src_a) of edges that an earlier document holds."""
     spark = docs.sparkSession
     ship(spark)
-    base = keyed(docs.where(F.col("doc_id").isNotNull()), "text")
+    base = keyed(docs, "text")
+    named = base.where(F.col("k1") != F.lit(-(2**63)))
 
     def word_grams(d):
         return tc.grams(_word_hashes(d, np.array([0, len(d)]))[0], gram)
 
     common = frequent(docs, word_grams)
-    settled = cut(base.mapInArrow(_piece_map(window, gram, common), PIECE).repartition(F.when(F.col("p").bitwiseAND(F.lit(1)) == 0, F.col("x")).otherwise(F.xxhash64("k2", "p"))).mapInArrow(_settle, f"kind int, {HIT}"), "paths", free=True)
+    settled = cut(named.mapInArrow(_piece_map(window, gram, common), PIECE).repartition(F.when(F.col("p").bitwiseAND(F.lit(1)) == 0, F.col("x")).otherwise(F.xxhash64("k2", "p"))).mapInArrow(_settle, f"kind int, {HIT}"), "paths", free=True)
     asked = settled.where("kind = 2").groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "n")).alias("ask"))
+    # the texts are shuffled by row key once: this join and the one that removes spans share the exchange
     texts = base.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "ask").dropDuplicates(["k1", "k2"])
     single = texts.mapInArrow(_edges(window), "w long, v long, k1 long, k2 long, a long").repartition("w").mapInArrow(_first_edges, HIT)
-    single = cut(single, "edges", free=True)
     hits = settled.where("kind = 1").drop("kind").unionByName(single)
     return hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "n", "src", "src_a")).alias("hits"))
 
