@@ -17,6 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,10 +124,13 @@ def _batch(names, arrays):
 
 
 def _piece_map(window: int, k: int, common: np.ndarray):
+    """Pieces of each batch.  Those that recur within the batch are settled there (kind 1), but for one that stands
+    for all m of them (kind 0): a hot piece reaches the shuffle by anchor once per batch."""
     def run(batches):
         order = Order(common)
         for b in batches:
             k1, k2 = (np.asarray(b.column(i)) for i in (0, 1))
+            parts = []
             for i, j, d, off in tc.slabs(b.column(2)):
                 if len(d) < window:
                     continue
@@ -135,16 +139,30 @@ def _piece_map(window: int, k: int, common: np.ndarray):
                 row_of = np.repeat(np.arange(j - i), np.diff(off))
                 at, a, n, row = pieces(g, row_of, off[1:], order, window, k)
                 whole = tc.Prefix(d, 1).span(a, a + n - 1 + window) ^ tc.splitmix((at - a).astype(np.uint64) + np.uint64(11))
-                place = (a - off[row]).astype(np.int64)
-                yield _batch(("h", "s", "k1", "k2", "a", "n"), (tc.signed(g[at]), tc.signed(whole), k1[i + row], k2[i + row], place, n.astype(np.int32)))
+                parts.append((tc.signed(g[at]), tc.signed(whole), k1[i + row], k2[i + row], (a - off[row]).astype(np.int64), n.astype(np.int32)))
+            if not parts:
+                continue
+            h, s, r1, r2, a, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+            o = np.lexsort((s, h))
+            new = np.concatenate(([True], (h[o][1:] != h[o][:-1]) | (s[o][1:] != s[o][:-1])))
+            kind, m = np.ones(len(h), np.int32), np.zeros(len(h), np.int32)
+            kind[o[new]] = 0
+            m[o[new]] = np.diff(np.append(np.flatnonzero(new), len(o)))
+            yield _batch(PIECE_NAMES, (kind, h * (1 - kind), s * (1 - kind), r1, r2, a, n, m))
     return run
 
 
-PIECE = "h long, s long, k1 long, k2 long, a long, n int"
+PIECE = "kind int, h long, s long, k1 long, k2 long, a long, n int, m int"
+PIECE_NAMES = ("kind", "h", "s", "k1", "k2", "a", "n", "m")
+
+
+def by_anchor(mapped: DataFrame) -> DataFrame:
+    """Pieces to be settled go to their anchor's partition, settled ones anywhere."""
+    return mapped.repartition(F.when(F.col("kind") == 0, F.col("h")).otherwise(F.xxhash64("k2", "a")))
 
 
 def whole_partition(batches) -> dict[str, np.ndarray]:
-    table = pa.Table.from_batches(list(batches)) if not isinstance(batches, list) else pa.Table.from_batches(batches)
+    table = pa.Table.from_batches(list(batches))
     return {c: np.asarray(table.column(c).combine_chunks()) for c in table.column_names}
 
 
@@ -154,17 +172,18 @@ def _settle(batches):
     if not batches:
         return
     x = whole_partition(batches)
-    order = np.lexsort((x["s"], x["h"]))
-    h, s = x["h"][order], x["s"][order]
-    newh = np.concatenate(([True], h[1:] != h[:-1]))
-    news = newh | np.concatenate(([True], s[1:] != s[:-1]))
-    cls, grp = np.cumsum(news) - 1, np.cumsum(newh) - 1
-    size = np.bincount(cls)
-    classes = np.bincount(grp[news])
-    hit = size[cls] > 1
-    ask = (classes[grp] > 1) & news  # one of each class, where an anchor has several
-    for kind, mask in ((1, hit), (2, ask)):
-        o = order[mask]
+    open_ = np.flatnonzero(x["kind"] == 0)
+    order = open_[np.lexsort((x["s"][open_], x["h"][open_]))]
+    done = [(1, np.flatnonzero(x["kind"] == 1))]
+    if len(order):
+        h, s = x["h"][order], x["s"][order]
+        newh = np.concatenate(([True], h[1:] != h[:-1]))
+        news = newh | np.concatenate(([True], s[1:] != s[:-1]))
+        cls, grp = np.cumsum(news) - 1, np.cumsum(newh) - 1
+        size = np.bincount(cls, weights=x["m"][order])
+        classes = np.bincount(grp[news])
+        done += [(1, order[size[cls] > 1]), (2, order[(classes[grp] > 1) & news])]  # one of each class, where an anchor has several
+    for kind, o in done:
         for i in range(0, len(o), 50_000):
             q = o[i : i + 50_000]
             yield _batch(("kind", "h", "k1", "k2", "a", "n"), (np.full(len(q), kind, np.int32), *(x[c][q] for c in ("h", "k1", "k2", "a", "n"))))
@@ -196,7 +215,7 @@ def _sort_suffixes(window: int):
         h = np.asarray(t.column("h"))
         t = t.take(pa.array(np.argsort(h, kind="stable")))
         h = np.asarray(t.column("h"))
-        size = np.asarray(pa.compute.binary_length(t.column("t"))).astype(np.int64)
+        size = np.asarray(pc.binary_length(t.column("t"))).astype(np.int64)
         ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
         i = 0
         total = np.concatenate(([0], np.cumsum(size)))
@@ -233,8 +252,9 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         return tc.Prefix(d).span(np.arange(len(d) - gram + 1), np.arange(gram, len(d) + 1)) if len(d) >= gram else np.zeros(0, np.uint64)
 
     common = frequent(docs, byte_grams)
-    settled = cut(base.mapInArrow(_piece_map(window, gram, common), PIECE).repartition("h").mapInArrow(_settle, "kind int, h long, k1 long, k2 long, a long, n int"), "pieces")
+    settled = cut(by_anchor(base.mapInArrow(_piece_map(window, gram, common), PIECE)).mapInArrow(_settle, "kind int, h long, k1 long, k2 long, a long, n int"), "pieces", free=True)
     asked = settled.where("kind = 2").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "a", "n")).alias("ask"))
+    # the texts are shuffled by row key once: the join below and the one that removes spans share the exchange
     # a row equal to another in id and text asks once: the pieces of one of them speak for both
     texts = base.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "ask").dropDuplicates(["k1", "k2"])
     found = texts.mapInArrow(_cut_out(window), "h long, k1 long, k2 long, a long, n int, t binary").repartition("h").mapInArrow(_sort_suffixes(window), HIT)
