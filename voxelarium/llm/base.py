@@ -6,33 +6,31 @@ import gc
 import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
+from voxelarium.ship import ship as send
+
+#: Tables written by this process, for clean().
+_WRITTEN: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, and bound the rows of an Arrow batch.
+    """Send this package to the executors, and bound the rows of an Arrow batch.
 
     Long texts make large batches; 512 rows hold a batch of very long documents within a worker's memory.
     """
+    send(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    _SHIPPED.add(sc.applicationId)
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    out = os.path.join(tempfile.mkdtemp(), "voxelarium.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
-    sc.addPyFile(out)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far.  DataFrames that still read them are of no use afterwards."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +52,7 @@ def cut(df: DataFrame, name: str = "step", free: bool = False) -> DataFrame:
     schema = df.schema
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     if free:
         del df
         gc.collect()
