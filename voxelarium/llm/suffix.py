@@ -157,36 +157,76 @@ PIECE_NAMES = ("kind", "h", "s", "k1", "k2", "a", "n", "m")
 
 
 def by_anchor(mapped: DataFrame) -> DataFrame:
-    """Pieces to be settled go to their anchor's partition, settled ones anywhere."""
-    return mapped.repartition(F.when(F.col("kind") == 0, F.col("h")).otherwise(F.xxhash64("k2", "a")))
+    """Pieces to be settled go to their anchor's partition and are sorted by it, settled ones go anywhere."""
+    return mapped.repartition(F.when(F.col("kind") == 0, F.col("h")).otherwise(F.xxhash64("k2", "a"))).sortWithinPartitions("h")
 
 
-def whole_partition(batches) -> dict[str, np.ndarray]:
-    table = pa.Table.from_batches(list(batches))
+#: Rows of whole groups that a task holds at once.
+HELD_ROWS = 1 << 18
+
+
+class Groups:
+    """Whole groups of a partition sorted by a key, some at a time, so that a task holds no more than it needs."""
+
+    def __init__(self, key: str, enough: int = HELD_ROWS, measure=lambda b: b.num_rows):
+        self.key, self.enough, self.measure = key, enough, measure
+        self.held, self.size, self.limit = [], 0, enough
+
+    def push(self, batch: pa.RecordBatch):
+        if not batch.num_rows:
+            return
+        self.held.append(batch)
+        self.size += self.measure(batch)
+        if self.size < self.limit:
+            return
+        t = pa.Table.from_batches(self.held).combine_chunks()
+        key = np.asarray(t.column(self.key).combine_chunks())
+        end = int(np.searchsorted(key, key[-1]))  # the last group may go on
+        self.held = t.slice(end).to_batches()
+        self.size = sum(map(self.measure, self.held))
+        self.limit = max(self.enough, 2 * self.size)
+        if end:
+            yield t.slice(0, end)
+
+    def flush(self):
+        if self.held:
+            yield pa.Table.from_batches(self.held).combine_chunks()
+        self.held = []
+
+
+def columns(table: pa.Table) -> dict[str, np.ndarray]:
     return {c: np.asarray(table.column(c).combine_chunks()) for c in table.column_names}
 
 
+SETTLED = ("kind", "h", "k1", "k2", "a", "n")
+
+
 def _settle(batches):
-    """One partition of pieces by anchor.  kind 1: every start recurs; kind 2: to be compared by content."""
-    batches = list(batches)
-    if not batches:
-        return
-    x = whole_partition(batches)
-    open_ = np.flatnonzero(x["kind"] == 0)
-    order = open_[np.lexsort((x["s"][open_], x["h"][open_]))]
-    done = [(1, np.flatnonzero(x["kind"] == 1))]
-    if len(order):
-        h, s = x["h"][order], x["s"][order]
-        newh = np.concatenate(([True], h[1:] != h[:-1]))
-        news = newh | np.concatenate(([True], s[1:] != s[:-1]))
-        cls, grp = np.cumsum(news) - 1, np.cumsum(newh) - 1
-        size = np.bincount(cls, weights=x["m"][order])
-        classes = np.bincount(grp[news])
-        done += [(1, order[size[cls] > 1]), (2, order[(classes[grp] > 1) & news])]  # one of each class, where an anchor has several
-    for kind, o in done:
+    """A partition of pieces sorted by anchor.  kind 1: every start recurs; kind 2: to be compared by content."""
+    groups = Groups("h")
+    for b in batches:
+        kind = np.asarray(b.column("kind"))
+        if kind.any():
+            yield b.filter(pa.array(kind == 1)).select(list(SETTLED))
+        for t in groups.push(b.filter(pa.array(kind == 0))):
+            yield from _settle_groups(columns(t))
+    for t in groups.flush():
+        yield from _settle_groups(columns(t))
+
+
+def _settle_groups(x: dict[str, np.ndarray]):
+    order = np.lexsort((x["s"], x["h"]))
+    h, s = x["h"][order], x["s"][order]
+    newh = np.concatenate(([True], h[1:] != h[:-1]))
+    news = newh | np.concatenate(([True], s[1:] != s[:-1]))
+    cls, grp = np.cumsum(news) - 1, np.cumsum(newh) - 1
+    size = np.bincount(cls, weights=x["m"][order])
+    classes = np.bincount(grp[news])
+    # one of each class, where an anchor has several
+    for kind, o in ((1, order[size[cls] > 1]), (2, order[(classes[grp] > 1) & news])):
         for i in range(0, len(o), 50_000):
             q = o[i : i + 50_000]
-            yield _batch(("kind", "h", "k1", "k2", "a", "n"), (np.full(len(q), kind, np.int32), *(x[c][q] for c in ("h", "k1", "k2", "a", "n"))))
+            yield _batch(SETTLED, (np.full(len(q), kind, np.int32), *(x[c][q] for c in SETTLED[1:])))
 
 
 def _cut_out(window: int):
@@ -207,35 +247,29 @@ def _cut_out(window: int):
 
 
 def _sort_suffixes(window: int):
-    def run(batches):
-        tables = list(batches)
-        if not tables:
-            return
-        t = pa.Table.from_batches(tables).combine_chunks()
-        h = np.asarray(t.column("h"))
-        t = t.take(pa.array(np.argsort(h, kind="stable")))
-        h = np.asarray(t.column("h"))
+    """Suffix arrays over whole anchor groups of a partition sorted by anchor, some SORTED_BYTES at a time."""
+    def one(t: pa.Table):
         size = np.asarray(pc.binary_length(t.column("t"))).astype(np.int64)
-        ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
-        i = 0
-        total = np.concatenate(([0], np.cumsum(size)))
-        while i < len(h):
-            at = int(np.searchsorted(total, total[i] + SORTED_BYTES, "right")) - 1
-            e = int(np.searchsorted(ends, max(at, i + 1), "right")) - 1
-            j = int(ends[e]) if e >= 0 and ends[e] > i else int(ends[np.searchsorted(ends, i, "right")])
-            sub = t.slice(i, j - i)
-            raw = np.frombuffer(b"".join(sub.column("t").to_pylist()), np.uint8)
-            off = total[i : j + 1] - total[i]
-            starts = repeated_starts(raw, off, window)
-            if len(starts):
-                row = np.searchsorted(off, starts, "right") - 1
-                new = np.concatenate(([True], (starts[1:] != starts[:-1] + 1) | (row[1:] != row[:-1])))
-                f = np.flatnonzero(new)
-                n = np.diff(np.append(f, len(starts)))
-                r = row[f]
-                k1, k2, a = (np.asarray(sub.column(c).combine_chunks()) for c in ("k1", "k2", "a"))
-                yield _batch(("k1", "k2", "a", "n"), (k1[r], k2[r], a[r] + starts[f] - off[r], n.astype(np.int32)))
-            i = j
+        raw = np.frombuffer(b"".join(t.column("t").to_pylist()), np.uint8)
+        off = np.concatenate(([0], np.cumsum(size)))
+        starts = repeated_starts(raw, off, window)
+        if len(starts):
+            row = np.searchsorted(off, starts, "right") - 1
+            new = np.concatenate(([True], (starts[1:] != starts[:-1] + 1) | (row[1:] != row[:-1])))
+            f = np.flatnonzero(new)
+            n = np.diff(np.append(f, len(starts)))
+            r = row[f]
+            k1, k2, a = (np.asarray(t.column(c).combine_chunks()) for c in ("k1", "k2", "a"))
+            yield _batch(("k1", "k2", "a", "n"), (k1[r], k2[r], a[r] + starts[f] - off[r], n.astype(np.int32)))
+
+    def run(batches):
+        groups = Groups("h", SORTED_BYTES, lambda b: b.nbytes)
+        for b in batches:
+            for t in groups.push(b):
+                yield from one(t)
+        for t in groups.flush():
+            yield from one(t)
+
     return run
 
 
@@ -257,7 +291,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     # the texts are shuffled by row key once: the join below and the one that removes spans share the exchange
     # a row equal to another in id and text asks once: the pieces of one of them speak for both
     texts = base.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "ask").dropDuplicates(["k1", "k2"])
-    found = texts.mapInArrow(_cut_out(window), "h long, k1 long, k2 long, a long, n int, t binary").repartition("h").mapInArrow(_sort_suffixes(window), HIT)
+    found = texts.mapInArrow(_cut_out(window), "h long, k1 long, k2 long, a long, n int, t binary").repartition("h").sortWithinPartitions("h").mapInArrow(_sort_suffixes(window), HIT)
     hits = settled.where("kind = 1").select("k1", "k2", "a", "n").unionByName(found)
     return hits.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "n")).alias("hits"))
 
