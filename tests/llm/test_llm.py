@@ -74,6 +74,19 @@ def test_suffix_array():
         assert suffix.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
+def test_groups_stay_whole():
+    import pyarrow as pa
+
+    r = random.Random(3)
+    keys = sorted(r.choice([5, 5, 5, *range(40)]) for _ in range(500))
+    groups, seen = suffix.Groups("h", 20), []
+    for i in range(0, 500, 7):
+        seen += list(groups.push(pa.RecordBatch.from_pydict({"h": pa.array(keys[i : i + 7], pa.int64())})))
+    parts = [t.column("h").to_pylist() for t in [*seen, *groups.flush()]]
+    assert sum(parts, []) == keys and len(parts) > 8
+    assert all(a[-1] != b[0] for a, b in zip(parts, parts[1:]))
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)] + [(200, 200)]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from voxelarium.llm import textcore as tc
 from voxelarium.llm.anchors import Order, frequent, pieces
 from voxelarium.llm.base import cut, keyed, no_key, ship
-from voxelarium.llm.suffix import _batch, whole_partition
+from voxelarium.llm.suffix import Groups, _batch, columns
 
 WINDOW, GRAM = 13, 5
 PIECE = "h long, s long, k1 long, k2 long, a long, n int"
@@ -77,21 +77,27 @@ PIECE = "x long, y long, k1 long, k2 long, p long"
 PIECE_NAMES = ("x", "y", "k1", "k2", "p")
 
 
+SETTLED = ("kind", "k1", "k2", "a", "n", "src", "src_a")
+
+
 def _settle(batches):
-    """Pieces by anchor.  kind 1: every edge has an earlier source; kind 2: edges to be compared one by one."""
-    batches = list(batches)
-    if not batches:
-        return
-    x = whole_partition(batches)
-    x |= {"kind": (x["p"] & 1).astype(np.int32), "n": (x["p"] >> 1 & 0x7FFF).astype(np.int32), "a": x["p"] >> 16}
-    names = ("kind", "k1", "k2", "a", "n", "src", "src_a")
-    q = np.flatnonzero(x["kind"] == 1)
-    if len(q):
-        yield _batch(names, (x["kind"][q], *(x[c][q] for c in ("k1", "k2", "a", "n", "x", "y"))))
-    o = np.flatnonzero(x["kind"] == 0)
-    order = o[np.lexsort((x["a"][o], x["k1"][o], x["y"][o], x["x"][o]))]
-    if not len(order):
-        return
+    """Pieces sorted by anchor.  kind 1: every edge has an earlier source; kind 2: edges to be compared one by one."""
+    groups = Groups("x")
+    for b in batches:
+        p = np.asarray(b.column("p"))
+        done = np.flatnonzero(p & 1)
+        if len(done):
+            x, y, k1, k2 = (np.asarray(b.column(c))[done] for c in ("x", "y", "k1", "k2"))
+            yield _batch(SETTLED, (np.ones(len(done), np.int32), k1, k2, p[done] >> 16, (p[done] >> 1 & 0x7FFF).astype(np.int32), x, y))
+        for t in groups.push(b.filter(pa.array(p & 1 == 0))):
+            yield from _settle_groups(columns(t))
+    for t in groups.flush():
+        yield from _settle_groups(columns(t))
+
+
+def _settle_groups(x: dict[str, np.ndarray]):
+    x |= {"n": (x["p"] >> 1 & 0x7FFF).astype(np.int32), "a": x["p"] >> 16}
+    order = np.lexsort((x["a"], x["k1"], x["y"], x["x"]))
     h, s, k1 = x["x"][order], x["y"][order], x["k1"][order]
     newh = np.concatenate(([True], h[1:] != h[:-1]))
     news = newh | np.concatenate(([True], s[1:] != s[:-1]))
@@ -107,7 +113,7 @@ def _settle(batches):
         o = np.flatnonzero(mask)
         for i in range(0, len(o), 50_000):
             q = o[i : i + 50_000]
-            yield _batch(names, (np.full(len(q), kind, np.int32), *(x[c][order[q]] for c in ("k1", "k2", "a", "n")), source[cls[q]], source_a[cls[q]]))
+            yield _batch(SETTLED, (np.full(len(q), kind, np.int32), *(x[c][order[q]] for c in ("k1", "k2", "a", "n")), source[cls[q]], source_a[cls[q]]))
 
 
 def _edges(window: int):
@@ -133,10 +139,16 @@ def _edges(window: int):
 
 
 def _first_edges(batches):
-    batches = list(batches)
-    if not batches:
-        return
-    x = whole_partition(batches)
+    """Edges sorted by hash: those with an earlier document, with its place."""
+    groups = Groups("w")
+    for b in batches:
+        for t in groups.push(b):
+            yield from _first_of(columns(t))
+    for t in groups.flush():
+        yield from _first_of(columns(t))
+
+
+def _first_of(x: dict[str, np.ndarray]):
     order = np.lexsort((x["a"], x["k1"], x["v"], x["w"]))
     w, v, k1 = x["w"][order], x["v"][order], x["k1"][order]
     new = np.concatenate(([True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])))
@@ -158,11 +170,11 @@ def repeated_edges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         return tc.grams(_word_hashes(d, np.array([0, len(d)]))[0], gram)
 
     common = frequent(docs, word_grams)
-    settled = cut(named.mapInArrow(_piece_map(window, gram, common), PIECE).repartition(F.when(F.col("p").bitwiseAND(F.lit(1)) == 0, F.col("x")).otherwise(F.xxhash64("k2", "p"))).mapInArrow(_settle, f"kind int, {HIT}"), "paths", free=True)
+    settled = cut(named.mapInArrow(_piece_map(window, gram, common), PIECE).repartition(F.when(F.col("p").bitwiseAND(F.lit(1)) == 0, F.col("x")).otherwise(F.xxhash64("k2", "p"))).sortWithinPartitions("x").mapInArrow(_settle, f"kind int, {HIT}"), "paths", free=True)
     asked = settled.where("kind = 2").groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "n")).alias("ask"))
     # the texts are shuffled by row key once: this join and the one that removes spans share the exchange
     texts = base.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "ask").dropDuplicates(["k1", "k2"])
-    single = texts.mapInArrow(_edges(window), "w long, v long, k1 long, k2 long, a long").repartition("w").mapInArrow(_first_edges, HIT)
+    single = texts.mapInArrow(_edges(window), "w long, v long, k1 long, k2 long, a long").repartition("w").sortWithinPartitions("w").mapInArrow(_first_edges, HIT)
     hits = settled.where("kind = 1").drop("kind").unionByName(single)
     return hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "n", "src", "src_a")).alias("hits"))
 
