@@ -46,7 +46,7 @@ def test_codecs():
     assert codecs.decode(zstandard.compress(raw), {"id": "zstd"}, len(raw)) == raw
     assert codecs.decode(struct.pack("<i", len(raw)) + pa.Codec("lz4_raw").compress(raw).to_pybytes(), {"id": "lz4"}, len(raw)) == raw
     assert codecs.decode(raw, None, len(raw)) == raw
-    assert codecs.is_c3d(b"C3DC") and not codecs.is_c3d(b"C3D") and not codecs.is_c3d(b"not a chunk at all")
+    assert codecs.is_lossy(b"C3DC") and not codecs.is_lossy(b"C3D") and not codecs.is_lossy(b"not a chunk at all")
     with pytest.raises(NotImplementedError):
         codecs.decode(b"C3DC", {"id": "c3d"}, 1)
     with pytest.raises(ValueError):

@@ -161,3 +161,19 @@ def test_state_colors(spark):
     c = state_color(F.lit(0), F.lit(None).cast("int"), F.lit("empty"), F.lit(False))
     assert tuple(one(spark, c)) == (60, 200, 110)
     assert one(spark, state_color(F.lit(0), F.lit(0), F.lit("resident"), F.lit(False))) is None
+
+
+@pytest.mark.parametrize("mode", ["alpha", "max"])
+def test_ray_kernel_is_the_column_form(spark, mode):
+    """Rays over dense chunks against the trilinear join and the fold, across chunk seams and past the edge."""
+    v = synthetic(spark, (24, 24, 24), lambda x, y, z: (x * 31 + y * 17 + z * 7) % 256)
+    rng = np.random.default_rng(2)
+    rows = [(i, *rng.uniform(2, 22, 3).tolist(), *rng.uniform(-0.7, 0.7, 3).tolist()) for i in range(40)]
+    rays = spark.createDataFrame(rows, "ray long, ox double, oy double, oz double, dx double, dy double, dz double")
+    c = Compositing(mode, alpha_min=40, alpha_max=230, cutoff=9300, opacity=30)
+    layers = tuple(range(-4, 5))
+    p = sample.rays_to_points(rays, F.array(*map(F.lit, layers)))
+    joined = sample.gather(sample.trilinear_q8(p, ["ray", "k"], v, (1 << 30,) * 3))
+    want = {r.ray: r.value for r in joined.select("ray", fold.composite(c, F.col("samples")).alias("value")).collect()}
+    got = {r.ray: r.value for r in sample.composite_rays(rays, sample.to_chunks(v, 3), c, layers, 3).collect()}
+    assert got == want

@@ -34,15 +34,21 @@ def trilinear_q8_partial(block: np.ndarray, origin, pos: np.ndarray) -> np.ndarr
     """
     base = np.floor(pos).astype(np.int64)
     frac = ((pos - base) * 256).astype(np.int64)
-    total = np.zeros(len(pos), np.int64)
     size = np.array(block.shape[::-1])
-    for corner in range(8):
-        d = np.array([corner & 1, corner >> 1 & 1, corner >> 2])
-        at = base + d - np.asarray(origin)
-        ok = ((at >= 0) & (at < size)).all(1)
-        w = np.where(d == 1, frac, 256 - frac).prod(1)
-        at = at[ok]
-        total[ok] += w[ok] * block[at[:, 2], at[:, 1], at[:, 0]]
+    total = np.zeros(len(pos), np.int64)
+    base = base - np.asarray(origin)
+    near = np.flatnonzero(((base >= -1) & (base < size)).all(1))
+    b, f = base[near], frac[near]
+    # a border of zeros stands for what other blocks hold
+    padded = np.zeros(size[::-1] + 2, np.int64)
+    padded[1:-1, 1:-1, 1:-1] = block
+    flat, sy, sz = padded.ravel(), padded.shape[2], padded.shape[1] * padded.shape[2]
+    at = (b[:, 2] + 1) * sz + (b[:, 1] + 1) * sy + b[:, 0] + 1
+    gx, gy, gz = (256 - f).T
+    fx, fy, fz = f.T
+    row = lambda o: flat[at + o] * gx + flat[at + o + 1] * fx
+    plane = lambda o: row(o) * gy + row(o + sy) * fy
+    total[near] = plane(0) * gz + plane(sz) * fz
     return total
 
 

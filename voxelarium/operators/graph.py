@@ -49,6 +49,8 @@ def components(voxels: DataFrame, rounds: int = 100) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     root = e.groupBy("u").agg(F.min("v").alias("root"))
     return v.join(root, v["id"] == root["u"], "left").select("x", "y", "z", v["v"], F.coalesce("root", "id").alias("component"))
 

@@ -7,8 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelarium.functions import kernels
 from voxelarium.functions.kernels import trilinear_q8_partial
 from voxelarium.functions.voxel import q8, trilinear_weight
+from voxelarium.model import Compositing
 
 
 def nearest(points: DataFrame, voxels: DataFrame, extent, out: str = "value") -> DataFrame:
@@ -157,3 +159,74 @@ def trilinear_q8_chunks(points: DataFrame, key: list[str], chunks: DataFrame, bi
     parts = touched.select(*key, "sx", "sy", "sz", *ck).groupBy(*ck).cogroup(chunks.select(*ck, "bytes").groupBy(*ck)).applyInArrow(kernel, f"{kinds}, part long")
     sums = parts.groupBy(*key).agg(F.sum("part").alias("_sum"))
     return points.join(sums, key, "left").withColumn(out, F.coalesce(F.shiftright("_sum", 24), F.lit(0)).cast("int")).drop("_sum")
+
+
+#: Chunk coordinates below 2**20 on each axis, packed in one number.
+_AXIS = 20
+
+
+def composite_rays(rays: DataFrame, chunks: DataFrame, c: Compositing, layers: tuple[int, ...], bits: int = 6) -> DataFrame:
+    """(ray, value): trilinear samples of rays (ray long, ox..dz) at the layers, folded by alpha or maximum.
+
+    What is shuffled is a ray per chunk it meets, not a sample per corner: a kernel in each chunk adds up the corners of
+    all samples there, and the parts of a ray are added and folded where they meet.
+    """
+    n, steps = 1 << bits, np.asarray(layers, float)
+    names = ("ox", "oy", "oz", "dx", "dy", "dz")
+
+    def places(o: np.ndarray) -> np.ndarray:
+        """(ray, layer, axis) of sample places, not below 0."""
+        return np.maximum(o[:, None, :3] + steps[:, None] * o[:, None, 3:], 0)
+
+    def meet(batches):
+        for b in batches:
+            o = np.stack([np.asarray(b.column(k)) for k in names], 1)
+            base = np.floor(places(o)).astype(np.int64)
+            code = []
+            for corner in range(8):
+                at = base + np.array([corner & 1, corner >> 1 & 1, corner >> 2]) >> bits
+                code.append((at[..., 2] << _AXIS | at[..., 1]) << _AXIS | at[..., 0])
+            code = np.sort(np.concatenate(code, 1), 1)
+            new = np.ones(code.shape, bool)
+            new[:, 1:] = code[:, 1:] != code[:, :-1]
+            row, at = np.nonzero(new)
+            yield pa.RecordBatch.from_arrays([pa.array(code[row, at]), b.column("ray").take(pa.array(row)), *[pa.array(o[row, i]) for i in range(6)]], ["chunk", "ray", *names])
+
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"ray": pa.array([], pa.int64()), "part": pa.array([], pa.list_(pa.int64()))})
+        code = right.column("chunk")[0].as_py()
+        origin = np.array([code & (1 << _AXIS) - 1, code >> _AXIS & (1 << _AXIS) - 1, code >> 2 * _AXIS]) * n
+        block = np.frombuffer(right.column("bytes")[0].as_py(), np.uint8).reshape(n, n, n)
+        o = np.stack([np.asarray(left.column(k)) for k in names], 1)
+        part = trilinear_q8_partial(block, origin, places(o).reshape(-1, 3))
+        offsets = np.arange(left.num_rows + 1, dtype=np.int32) * len(steps)
+        return pa.table({"ray": left.column("ray").combine_chunks(), "part": pa.ListArray.from_arrays(pa.array(offsets), pa.array(part))})
+
+    def finish(batches):
+        held = []
+        for b in [*batches, None]:
+            # batches are sorted by ray: the last ray of a batch may go on in the next
+            if b is not None:
+                held.append(b)
+                if len(held) < 64:
+                    continue
+            t = pa.Table.from_batches(held).combine_chunks() if held else None
+            if t is None or not t.num_rows:
+                continue
+            ray = np.asarray(t.column("ray").combine_chunks())
+            end = len(ray) if b is None else int(np.searchsorted(ray, ray[-1]))
+            held = t.slice(end).to_batches()
+            if not end:
+                continue
+            part = np.asarray(t.column("part").combine_chunks().flatten()).reshape(-1, len(steps))[:end]
+            first = np.flatnonzero(np.concatenate(([True], ray[1:end] != ray[: end - 1])))
+            samples = np.add.reduceat(part, first, axis=0) >> 24
+            value = kernels.composite_max(samples) if c.mode == "max" else kernels.composite_alpha(samples, c)
+            yield pa.RecordBatch.from_arrays([pa.array(ray[first]), pa.array(value)], ["ray", "value"])
+
+    shifted = F.shiftleft(F.shiftleft(F.col("cz").cast("long"), _AXIS) + F.col("cy"), _AXIS) + F.col("cx")
+    blocks = chunks.select(shifted.alias("chunk"), "bytes")
+    met = rays.select("ray", *names).mapInArrow(meet, "chunk long, ray long, " + ", ".join(f"{k} double" for k in names))
+    parts = met.groupBy("chunk").cogroup(blocks.groupBy("chunk")).applyInArrow(kernel, "ray long, part array<long>")
+    return parts.repartition("ray").sortWithinPartitions("ray").mapInArrow(finish, "ray long, value int")

@@ -73,7 +73,7 @@ def blosc_frame(data: bytes, codec: str = "zstd", block: int = 1 << 16) -> bytes
     return head + struct.pack(f"<{n}I", *offsets) + b"".join(parts)
 
 
-def is_c3d(data: bytes) -> bool:
+def is_lossy(data: bytes) -> bool:
     """Whether a chunk begins like the lossy 256-voxel codec, which has no public decoder to build on."""
     return data[:4] == b"C3DC"
 
@@ -89,6 +89,6 @@ def decode(data: bytes, compressor: dict | None, size: int) -> bytes:
         return zstd(data)
     if kind == "lz4":
         return lz4(data[4:], struct.unpack("<i", data[:4])[0])
-    if kind == "c3d" or is_c3d(data):
-        raise NotImplementedError("the c3d codec has no public decoder")
+    if kind == "c3d" or is_lossy(data):
+        raise NotImplementedError("this lossy codec has no public decoder")
     raise ValueError(f"the compressor {kind} is not supported")
