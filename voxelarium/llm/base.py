@@ -101,5 +101,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if (n, h) == before:
             break
         before = (n, h)
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.groupBy("u").agg(F.min("v").alias("m"))
     return nodes.join(roots, nodes["id"] == roots["u"], "left").select("id", F.coalesce("m", "id").alias("component"))
