@@ -254,6 +254,7 @@ def test_pii(spark):
     assert r.spans == ",".join(kept) and r.base_sha256 == brute.sha(",".join(k for k in kept if not k.startswith(("iban", "national"))))
     assert text[r.found[2].start : r.found[2].end] == "4111 1111 1111 1111"
     assert all(x.base_sha256 == brute.sha("") for x in got if x.doc_id in (2, 3))
+    assert pii.base_spans("0" * 9000 + "1.2.3.4 " + "9" * 9000 + ".1.1.1") == [(0, 1, 9007)]
     assert pii.find(table(spark, [])).count() == 0
 
 
@@ -353,12 +354,16 @@ def test_decontamination(spark):
 
 
 def test_decontamination_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 700)  # several blocks
     rows = corpus(16, 15)
     items = [(i, rows[i][1]) for i in range(6)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.mark(table(spark, rows), bench).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
-    assert plain(got) == brute.contaminated(rows, items)
+    docs = table(spark, rows)
+    got = decontaminate.mark(docs, bench).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    want = brute.contaminated(rows, items)
+    assert plain(got) == want
+    clean = decontaminate.decontaminate(docs, bench)
+    assert clean.columns == docs.columns and clean.count() == sum(not r[5] for r in want)
 
 
 def test_longest_match(spark):

@@ -83,7 +83,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(a, 0, e) for a, e in _emails(text)]
     if _DIGITS.search(text):
         for m in _IP.finditer(text):
-            if all(int(x) <= 255 for x in m[0].split(".") if len(x.lstrip("0")) <= 3) and all(len(x.lstrip("0")) <= 3 for x in m[0].split(".")):
+            parts = [x.lstrip("0") for x in m[0].split(".")]  # a part may have any number of digits
+            if all(len(x) <= 3 and int(x or 0) <= 255 for x in parts):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14:
