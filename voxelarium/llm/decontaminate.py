@@ -4,8 +4,9 @@ Each slab of documents (a shard's working set) is turned into a suffix array ove
 test suffix is binary-searched in it.  Neighbouring hits on one diagonal join into the longest verbatim matches, whose
 places give the words hit.  Documents never leave their partition: there is no shuffle.
 
-The benchmark is read in blocks of at most BLOCK_BYTES of text (by hash of item_id); each block is broadcast and the
-blocks are applied one after another, so a large benchmark means more passes in one pipeline, not a larger broadcast.
+The benchmark is read in blocks of about BLOCK_BYTES of text (by hash of item_id).  A single block, the common case, is
+broadcast and applied in one pass.  A larger benchmark means more passes, one block broadcast in each: a pass writes
+the hits it finds, and all passes' hits are merged by row at the end.
 
 Defined results: null text has no words; an item without words is never matched; rows repeated in the benchmark count
 once per item_id; a null item_id counts as the empty string; a document repeated in the table is marked each time;
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxelarium.llm import textcore as tc
-from voxelarium.llm.base import ship
+from voxelarium.llm.base import cut, keyed, no_key, ship
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def _lowered(d: np.ndarray) -> np.ndarray:
@@ -112,7 +114,7 @@ def _search(ids: np.ndarray, sa: np.ndarray, tests: np.ndarray) -> tuple[np.ndar
 
 
 def matches(d: np.ndarray, off: np.ndarray, tests: Tests, window: int):
-    """(words per row offsets, words hit, (row, item) pairs, longest match of each row) of a slab."""
+    """(words before each row, words hit, (row, item) pairs as row * items + item, longest match of each row) of a slab."""
     h, wo = _words(d, off)
     rows = len(off) - 1
     hit = np.zeros(len(h), bool)
@@ -157,61 +159,122 @@ def matches(d: np.ndarray, off: np.ndarray, tests: Tests, window: int):
     return wo, hit, pairs, longest
 
 
-def _blocks(benchmark: DataFrame, window: int) -> list[Tests]:
+def _blocks(benchmark: DataFrame, window: int) -> tuple[int, Iterator[Tests]]:
+    """The number of blocks, and the blocks one by one: the driver holds one at a time."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.encode("text", "UTF-8").alias("t")).where(F.length("t") > 0).distinct()
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, math.ceil(total / BLOCK_BYTES))
-    out = []
-    for k in range(n):
-        block = items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k) if n > 1 else items
-        out.append(Tests([(r.i, bytes(r.t)) for r in block.collect()], window))
-    return out
 
+    def each():
+        for k in range(n):
+            block = items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k) if n > 1 else items
+            yield Tests([(r.i, bytes(r.t)) for r in block.collect()], window)
 
-def _marked_batch(b: pa.RecordBatch, column: int, blocks: list[Tests], window: int):
+    return n, each()
+
+
+def _found(b: pa.RecordBatch, column: int, tests: Tests, window: int):
+    """(words, words hit, longest match, items) of each row of a batch, and the mask of its hit words by slab."""
     rows = b.num_rows
     n_words, n_hit, longest = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-    items: list[set] = [set() for _ in range(rows)]
+    items: list[list[str]] = [[] for _ in range(rows)]
+    masks = []
     for i, j, d, off in tc.slabs(b.column(column)):
-        total = None
-        for tests in blocks:
-            wo, hit, pairs, far = matches(d, off, tests, window)
-            total = hit if total is None else total | hit
-            longest[i:j] = np.maximum(longest[i:j], far)
-            for x in pairs.tolist():
-                items[i + x // len(tests.names)].add(tests.names[x % len(tests.names)])
+        wo, hit, pairs, far = matches(d, off, tests, window)
+        longest[i:j] = far
+        for x in pairs.tolist():
+            items[i + x // len(tests.names)].append(tests.names[x % len(tests.names)])
         n_words[i:j] = np.diff(wo)
-        sums = np.concatenate(([0], np.cumsum(total)))
+        sums = np.concatenate(([0], np.cumsum(hit)))
         n_hit[i:j] = sums[wo[1:]] - sums[wo[:-1]]
-    return n_words, n_hit, longest, [sorted(x) for x in items]
+        masks.append((i, j, wo, hit))
+    return n_words, n_hit, longest, [sorted(x) for x in items], masks
+
+
+def _marks(key, n_words, n_hit, longest, items) -> pa.RecordBatch:
+    digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+    return pa.RecordBatch.from_arrays(
+        [key, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_()), pa.array(longest, pa.int64()), pa.array(items, pa.list_(pa.string()))],
+        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "items"],
+    )
+
+
+MARKS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, items array<string>"
+
+
+def _hits(docs: DataFrame, blocks: Iterator[Tests], window: int) -> DataFrame:
+    """(k1, k2, words, items, longest) of the rows hit, from one pass per block: words are runs (start, end)."""
+    base, found = keyed(docs, "text"), None
+    run_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for tests in blocks:
+        shared = docs.sparkSession.sparkContext.broadcast(tests)
+
+        def run(batches, shared=shared):
+            for b in batches:
+                _, n_hit, longest, items, masks = _found(b, 2, shared.value, window)
+                runs = [[] for _ in range(b.num_rows)]
+                for i, j, wo, hit in masks:
+                    for r in range(i, j):
+                        if n_hit[r]:
+                            m = np.concatenate(([False], hit[wo[r - i] : wo[r - i + 1]], [False])).astype(np.int8)
+                            edge = np.flatnonzero(np.diff(m))
+                            runs[r] = [{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)]
+                some = np.flatnonzero(n_hit)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), b.column(1).take(pa.array(some)), pa.array([runs[r] for r in some], run_type), pa.array([items[r] for r in some], pa.list_(pa.string())), pa.array(longest[some])], ["k1", "k2", "words", "items", "longest"])
+
+        part = cut(base.mapInArrow(run, "k1 long, k2 long, words array<struct<start: long, end: long>>, items array<string>, longest long").dropDuplicates(["k1", "k2"]), "hits")
+        shared.unpersist()
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("words")).alias("words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
+
+
+def _merged(batches):
+    for b in batches:
+        n_words = []
+        for _, _, d, off in tc.slabs(b.column("text")):
+            n_words += np.diff(_words(d, off)[1]).tolist()
+        n_hit = []
+        for words in b.column("words").to_pylist():
+            end = hit = 0
+            for x, y in sorted((w["start"], w["end"]) for w in words or ()):
+                hit += max(0, y - max(x, end))
+                end = max(end, y)
+            n_hit.append(hit)
+        items = [sorted(x or ()) for x in b.column("items").to_pylist()]
+        yield _marks(b.column("k1"), n_words, n_hit, [x or 0 for x in b.column("longest").to_pylist()], items)
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match and items of every row."""
     ship(docs.sparkSession)
-    blocks = docs.sparkSession.sparkContext.broadcast(_blocks(benchmark, window))
+    n, blocks = _blocks(benchmark, window)
+    if n > 1:
+        joined = keyed(docs, "text").join(_hits(docs, blocks, window), ["k1", "k2"], "left").select("k1", "text", "words", "items", "longest")
+        return joined.mapInArrow(_merged, MARKS).withColumn("doc_id", no_key("doc_id"))
+    shared = docs.sparkSession.sparkContext.broadcast(next(blocks))
 
     def run(batches):
         for b in batches:
-            n_words, n_hit, longest, items = _marked_batch(b, 1, blocks.value, window)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array(n_hit > 0), pa.array(longest), pa.array(items, pa.list_(pa.string()))],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "items"],
-            )
+            n_words, n_hit, longest, items, _ = _found(b, 1, shared.value, window)
+            yield _marks(b.column(0), n_words, n_hit, longest, items)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, items array<string>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, MARKS)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs, all columns unchanged, that hold no benchmark window."""
     ship(docs.sparkSession)
-    blocks = docs.sparkSession.sparkContext.broadcast(_blocks(benchmark, window))
+    n, blocks = _blocks(benchmark, window)
+    if n > 1:
+        hit = _hits(docs, blocks, window).select("k1", "k2")
+        rows = keyed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        return rows.join(hit, ["k1", "k2"], "left_anti").select("row.*")
+    shared = docs.sparkSession.sparkContext.broadcast(next(blocks))
     column = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            _, n_hit, _, _ = _marked_batch(b, column, blocks.value, window)
-            yield b.filter(pa.array(n_hit == 0))
+            yield b.filter(pa.array(_found(b, column, shared.value, window)[1] == 0))
 
     return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
 
