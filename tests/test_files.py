@@ -223,3 +223,15 @@ def test_points_by_label(spark, tmp_path):
 def test_covered_closed_form(spark):
     b = spark.createDataFrame([(0, 0, 0, 0, 0, 0)], "lo_x int, lo_y int, lo_z int, hi_x int, hi_y int, hi_z int")
     assert residency.covered(b, (128, 64, 100), (300, 300, 300)).select(F.max("cx"), F.max("cy"), F.max("cz")).first() == (1, 0, 0)
+
+
+def test_catalogue_urls_and_labels(spark):
+    roots = lambda u, x: [(u, x)]
+    e = spark.createDataFrame([("s", "obj-normalized", [("m.obj", roots("standard", "http://a/"))]), ("s", "tifxyz", [("/g", roots("standard", "http://b"))]), ("s", "tifxyz-normalized", [("gn", roots("private", "http://c"))]), ("t", "obj", [("x", roots("private", "http://d"))])], "owner string, type string, origins array<struct<path: string, roots: array<struct<usage: string, url: string>>>>")
+    got = {r.owner: (r.grid_url, r.mesh_url, r.downloadable) for r in catalog.geometry(e).collect()}
+    assert got == {"s": ("http://b/g", "http://a/m.obj", True), "t": (None, None, False)}
+    assert {r.url for r in catalog.urls(e, "private").collect()} == {"http://c/gn", "http://d/x"}
+    row = spark.range(1).select(catalog.scroll_label(F.lit(True), F.lit(3), F.lit("x")).alias("a"), catalog.volume_label(F.lit("v"), F.lit(7.91), F.lit(53), F.lit(220.0)).alias("b"), catalog.volume_label(F.lit("v"), F.lit(None).cast("double"), F.lit(53), F.lit(1.0)).alias("c"), catalog.volume_label(F.lit("v"), F.lit(2.4), F.lit(53), F.lit(1.0), F.lit(2)).alias("d")).first()
+    assert tuple(row) == ("Fragment 3 - x", "7.91µm, 53keV, 0.22m", "v", "2.40µm (^2)")
+    edges = spark.createDataFrame([("a", "b", 1, 0), ("a", "b", 2, 1)], "source string, target string, matrix int, seq int")
+    assert catalog.direct_transform(edges, "a", "b").first().matrix == 1 and catalog.direct_transform(edges, "a", "a").isEmpty()

@@ -66,3 +66,39 @@ def prefer(*urls: Column) -> Column:
 def all_present(files: DataFrame, need: int) -> DataFrame:
     """Segments whose file set is complete."""
     return files.groupBy("segment_id").agg(F.countDistinct("name").alias("n")).where(F.col("n") >= need).select("segment_id")
+
+
+def urls(entries: DataFrame, usage: str) -> DataFrame:
+    """(owner, type, url) of every root of a usage."""
+    o = entries.select("owner", "type", F.explode("origins").alias("o")).select("owner", "type", F.col("o.path").alias("path"), F.explode("o.roots").alias("root"))
+    return o.where(F.col("root.usage") == usage).select("owner", "type", url_join(F.col("root.url"), F.col("path")).alias("url"))
+
+
+def geometry(entries: DataFrame, usage: str = "standard") -> DataFrame:
+    """Per owner: the first grid url (normalised before plain), the first mesh url (plain before normalised), and
+    whether there is either.  The types are looked at in one pass."""
+    o = entries.withColumn("_i", F.monotonically_increasing_id()).select("owner", "type", "_i", F.posexplode("origins").alias("_j", "o"))
+    r = o.select("owner", "type", "_i", "_j", F.col("o.path").alias("path"), F.posexplode("o.roots").alias("_k", "root")).where(F.col("root.usage") == usage)
+    first = lambda kind: F.min_by(F.when(F.col("type") == kind, url_join(F.col("root.url"), F.col("path"))), F.when(F.col("type") == kind, F.struct("_i", "_j", "_k")))
+    per = r.groupBy("owner").agg(F.coalesce(first("tifxyz-normalized"), first("tifxyz")).alias("grid_url"), F.coalesce(first("obj"), first("obj-normalized")).alias("mesh_url"))
+    out = entries.select("owner").distinct().join(per, "owner", "left")
+    return out.withColumn("downloadable", F.col("grid_url").isNotNull() | F.col("mesh_url").isNotNull())
+
+
+def direct_transform(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """The matrix of the first direct edge (source, target, matrix, seq) between two different volumes."""
+    if source == target:
+        return edges.where(F.lit(False)).select("matrix")
+    return edges.where((F.col("source") == source) & (F.col("target") == target)).orderBy("seq").limit(1).select("matrix")
+
+
+def scroll_label(is_fragment: Column, num: Column, scroll_id: Column) -> Column:
+    return F.format_string("%s %s - %s", F.when(is_fragment, "Fragment").otherwise("Scroll"), num.cast("string"), scroll_id)
+
+
+def volume_label(volume_id: Column, pixel_um: Column, energy_kev: Column, distance_mm: Column, shortcut: Column | None = None) -> Column:
+    """Pixel size, energy and distance; with a shortcut number pixel size and number; the id where anything is unknown."""
+    known = pixel_um.isNotNull() & energy_kev.isNotNull() & distance_mm.isNotNull()
+    full = F.format_string("%.2fµm, %skeV, %.2fm", pixel_um.cast("double"), energy_kev.cast("string"), distance_mm.cast("double") / 1000.0)
+    short = full if shortcut is None else F.when(shortcut.isNotNull(), F.format_string("%.2fµm (^%s)", pixel_um.cast("double"), shortcut.cast("string"))).otherwise(full)
+    return F.when(known, short).otherwise(volume_id)
