@@ -54,7 +54,7 @@ def covered_chunks(spark, sf):
     return residency.covered(_boxes(spark, sf), NATIVE, SHAPE).select("s_suppkey", "cx", "cy", "cz")
 
 
-@query("""SELECT CAST(p_partkey % 40 AS INT) >> 2 AS shard, CAST((p_partkey % 40) & 3 AS INT) AS place, count(*) AS n, sum(s_suppkey * 100) AS bytes FROM part JOIN supplier ON s_suppkey % 40 = p_partkey % 40 WHERE s_suppkey % 7 <> 0 GROUP BY ALL""")
+@query("""SELECT CAST(p_partkey % 40 AS INT) >> 2 AS shard, CAST((p_partkey % 40) & 3 AS INT) AS place, count(*) AS n, CAST(sum(s_suppkey * 100) AS BIGINT) AS bytes FROM part JOIN supplier ON s_suppkey % 40 = p_partkey % 40 WHERE s_suppkey % 7 <> 0 GROUP BY ALL""")
 def shard_locate(spark, sf):
     key = lambda c: [F.shiftright((F.col(c) % 40).cast("int"), 2).alias("shard"), (F.col(c) % 4).cast("int").alias("place")]
     absent = F.col("s_suppkey") % 7 == 0
