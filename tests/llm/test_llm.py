@@ -132,6 +132,42 @@ def test_near_duplicates(spark):
     assert plain(got) == brute.near_duplicates(rows)
 
 
+def test_near_duplicates_in_a_crowded_region(spark):
+    """Hundreds of documents share a 70 % passage (similarity 0.54); some have one true partner just above 0.75."""
+    r = random.Random(21)
+    prose = lambda k: [f"w{r.randrange(10**6)}" for _ in range(k)]
+    passage, rows = prose(140), []
+    for i in range(600):
+        own = prose(60)
+        rows.append((i, " ".join(passage + own)))
+        if i < 150:
+            rows.append((1000 + i, " ".join(passage + own[:32] + prose(28))))
+    want = brute.near_duplicates(rows)
+    assert sum(not kept for *_, kept in want) == 150
+    got = forest.near_duplicates(table(spark, rows)).drop("k1", "k2").collect()
+    assert plain(got) == want
+
+
+def test_a_partner_deep_in_a_crowded_region():
+    """Forty classes of one region; the first and the last agree and stand far apart."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(22)
+    sig = rng.integers(0, 2**32, (40, forest.FUNCTIONS), dtype=np.uint32)
+    sig[39] = sig[0]
+    wide = rng.integers(0, 256, (40, forest.WIDE), dtype=np.uint8)
+    wide[39] = wide[0]
+    ids = pa.array(np.arange(40))
+    nibble = (sig & 15).astype(np.uint8)
+    packed = [x.tobytes() for x in nibble[:, ::2] << 4 | nibble[:, 1::2]]
+    rows = pa.RecordBatch.from_arrays([pa.array([7] * 40), ids, ids, pa.array([100] * 40), pa.array(packed, pa.binary())], ["key", "tail", "id", "n", "sig"])
+    found = {(r["a"], r["b"], r["agree"]) for b in forest._neighbours([rows]) for r in b.to_pylist()}
+    assert (7, 0, -1) in found and not any(x[:2] == (0, 39) for x in found)
+    zero = pa.array(np.zeros(40, np.int32))
+    t = pa.table({"block": zero, "i": zero, "j": zero, "tree": zero, "id": ids, "comp": ids, "n": pa.array([100] * 40), "sig": pa.array([x.tobytes() for x in sig], pa.binary()), "wide": pa.array([x.tobytes() for x in wide], pa.binary())})
+    assert [(r["a"], r["b"]) for r in forest._across(t).to_pylist()] == [(0, 39)]
+
+
 def test_near_duplicates_of_one_id_with_several_texts(spark):
     v = vocabulary(4)
     a, b = (" ".join(random.Random(k).choice(v) for _ in range(40)) for k in (1, 2))

@@ -4,13 +4,15 @@ A document's set holds its distinct 5-word shingles (the whole sequence where th
 one class and are compared once.  A class's signature has FUNCTIONS minima; TREES orders of it are sorted, each by its
 own three functions and then by further ones, so that classes with the longest common prefix stand side by side.
 Classes that share the first three functions of a tree form a region; each class is a candidate with its NEIGHBOURS
-predecessors in the region: small regions are compared whole at depth three, in crowded ones only the neighbours of
-longest common prefix are, so the depth grows with the region.  A pair of similarity 0.75 shares no region with
-probability (1 - 0.75**3)**21 = 1e-5.
+predecessors in the region, so small regions are compared whole.  Crowded regions, and those that lie across the edge
+of a partition, are looked at again once the neighbours' links are known: where a region still holds several components,
+all its pairs of different components are compared, block against block.  A pair of similarity 0.75 shares no region
+with probability (1 - 0.75**3)**21 = 1e-5.
 
 Candidates whose signatures agree too rarely for the threshold (below AGREE of 64, where 48 are expected) are dropped;
 the rest are confirmed on full sets, in rounds: each class is first checked with its best candidate, then with more of
-those that the links so far leave in other components, at last with all of them.
+those that the links so far leave in other components, at last with all of them.  Pairs of crowded regions must first
+agree in WIDE_AGREE of WIDE further functions (384 are expected at the threshold, with a deviation of 10).
 
 Defined results: null text and text without words have an empty set, are linked with nothing and kept; rows with null
 doc_id are linked with nothing and kept; rows of one doc_id are one node; ties go to the smallest doc_id; extra columns
@@ -32,9 +34,14 @@ from voxelarium.llm.suffix import _batch
 WORDS, SIMILAR = 5, (75, 100)
 FUNCTIONS, TREES, DEPTH, NEIGHBOURS, AGREE = 64, 21, 3, 6, 30
 U64 = np.uint64
+#: Further functions of the classes in crowded regions, one byte each; members of a block.
+WIDE, WIDE_AGREE, BLOCK = 512, 330, 512
 _A = tc.splitmix(np.arange(1, FUNCTIONS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _B = tc.splitmix(np.arange(1, FUNCTIONS + 1, dtype=U64) * U64(0xD1342543DE82EF95))
 
+_WA = tc.splitmix(np.arange(1, WIDE + 1, dtype=U64) * U64(0xA0761D6478BD642F)) | U64(1)
+_WB = tc.splitmix(np.arange(1, WIDE + 1, dtype=U64) * U64(0xE7037ED1A0B428DB))
+
 
 def shingles(h: np.ndarray, k: int = WORDS) -> np.ndarray:
     """Distinct shingles of one document's word hashes."""
@@ -43,10 +50,11 @@ def shingles(h: np.ndarray, k: int = WORDS) -> np.ndarray:
     return np.unique(tc.grams(h, min(k, len(h)), seed=len(h) if len(h) < k else 0))
 
 
-def signature(u: np.ndarray) -> np.ndarray:
-    low = np.full(FUNCTIONS, np.iinfo(np.uint64).max, U64)
-    for i in range(0, len(u), 1 << 14):
-        low = np.minimum(low, (u[i : i + (1 << 14), None] * _A + _B).min(0))
+def signature(u: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
+    low = np.full(len(a), np.iinfo(np.uint64).max, U64)
+    step = (1 << 20) // len(a)
+    for i in range(0, len(u), step):
+        low = np.minimum(low, (u[i : i + step, None] * a + b).min(0))
     return (low >> U64(32)).astype(np.uint32)
 
 
@@ -70,6 +78,22 @@ def _sketch(batches):
         yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(n, pa.int64()), pa.array(np.array(g1, U64).view(np.int64)), pa.array(np.array(g2, U64).view(np.int64)), pa.array(sig, pa.binary())], ["k1", "k2", "n", "g1", "g2", "sig"])
 
 
+def _key(sig: np.ndarray, t: int) -> np.ndarray:
+    """Region of each signature in tree t."""
+    first = sig[:, DEPTH * t : DEPTH * (t + 1)].astype(U64)
+    return tc.signed(np.ascontiguousarray(tc.grams(np.concatenate((first, np.full((len(sig), 1), t, U64)), 1).ravel(), DEPTH + 1)[:: DEPTH + 1]))
+
+
+def _regions(batches):
+    """The regions of each class."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, FUNCTIONS)
+        for t in range(TREES):
+            yield pa.RecordBatch.from_arrays([pa.array(_key(sig, t)), pa.array(np.full(len(sig), t, np.int32)), b.column("id"), b.column("k2"), b.column("comp")], ["key", "tree", "id", "k2", "comp"])
+
+
 def _grow(batches):
     """Each class once for every tree: region key, further functions as one sortable number, four bits a function."""
     for b in batches:
@@ -80,25 +104,35 @@ def _grow(batches):
         packed = pa.array([x.tobytes() for x in nibble[:, ::2] << 4 | nibble[:, 1::2]], pa.binary())
         for t in range(TREES):
             at = (np.arange(DEPTH + 4) + DEPTH * t) % FUNCTIONS
-            key = tc.signed(tc.grams(np.concatenate((sig[:, at[:DEPTH]].astype(U64), np.full((len(sig), 1), t, U64)), 1).ravel(), DEPTH + 1)[:: DEPTH + 1])
+            key = _key(sig, t)
             tail = ((sig[:, at[DEPTH:]] >> 17).astype(np.int64) << np.array([45, 30, 15, 0])).sum(1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(key)), pa.array(tail), b.column("id"), b.column("n"), packed], ["key", "tail", "id", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(tail), b.column("id"), b.column("n"), packed], ["key", "tail", "id", "n", "sig"])
 
 
 _NIBBLES = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], np.uint8)
 
 
 def _neighbours(batches):
-    """Candidates among a sorted partition's rows: the NEIGHBOURS before each in its region."""
-    carry = None
+    """Candidates among a sorted partition's rows: the NEIGHBOURS before each in its region.
+
+    Regions not compared whole here (crowded, or first or last in the partition) are named too: (region, 0, -1).
+    """
+    carry = last = None
     for b in batches:
+        if not b.num_rows:
+            continue
         x = [np.asarray(b.column(c)) for c in ("key", "id", "n")] + [np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(-1, FUNCTIONS // 2)]
         start = 0
         if carry is not None:
             start = len(carry[0])
             x = [np.concatenate((p, q)) for p, q in zip(carry, x, strict=True)]
-        carry = [p[-NEIGHBOURS:] for p in x]
+        carry = [p[-NEIGHBOURS - 1 :] for p in x]
         key, id_, n, sig = x
+        again = key[NEIGHBOURS + 1 :][key[NEIGHBOURS + 1 :] == key[: -NEIGHBOURS - 1]]
+        again = np.unique(again if last is not None else np.append(again, key[0]))
+        last = key[-1]
+        if len(again):
+            yield _batch(("a", "b", "agree"), (again, np.zeros(len(again), np.int64), np.full(len(again), -1, np.int32)))
         for gap in range(1, NEIGHBOURS + 1):
             i = np.arange(max(start, gap), len(key))
             i = i[(key[i] == key[i - gap]) & (id_[i] != id_[i - gap])]
@@ -108,6 +142,45 @@ def _neighbours(batches):
             i, agree = i[ok], agree[ok]
             if len(i):
                 yield _batch(("a", "b", "agree"), (np.minimum(id_[i], id_[i - gap]), np.maximum(id_[i], id_[i - gap]), agree))
+    if last is not None:
+        yield _batch(("a", "b", "agree"), (np.array([last]), np.zeros(1, np.int64), np.full(1, -1, np.int32)))
+
+
+def _widen(batches):
+    """The further functions of each class."""
+    for b in batches:
+        wide = []
+        for i, j, d, off in tc.slabs(b.column("text")):
+            h, wo = _word_hashes(d, off)
+            wide += [(signature(shingles(h[wo[r] : wo[r + 1]]), _WA, _WB) & 255).astype(np.uint8).tobytes() for r in range(j - i)]
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("k2"), pa.array(wide, pa.binary())], ["id", "k2", "wide"])
+
+
+def _across(table: pa.Table) -> pa.Table:
+    """Candidates of different components between two blocks of one region (or within one)."""
+    t = table.combine_chunks()
+    block, first, second, tree, id_, comp, n = (np.asarray(t.column(c)) for c in ("block", "i", "j", "tree", "id", "comp", "n"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, FUNCTIONS)
+    wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE)
+    own = first[0] == second[0]
+    left, right = np.flatnonzero(block == first[0]), np.flatnonzero(block == second[0])
+    out = []
+    for at, p in enumerate(left):
+        q = right[at + 1 :] if own else right
+        q = q[(comp[q] != comp[p]) & (100 * np.minimum(n[q], n[p]) >= 75 * np.maximum(n[q], n[p]))]
+        if not len(q):
+            continue
+        same = sig[q] == sig[p]
+        # pairs that share a region of an earlier tree are compared there
+        early = same[:, : DEPTH * tree[0]].reshape(len(q), tree[0], DEPTH).all(2).any(1) if tree[0] else np.zeros(len(q), bool)
+        agree = same.sum(1)
+        ok = ~early & (agree >= AGREE)
+        q, agree = q[ok], agree[ok]
+        ok = (wide[q] == wide[p]).sum(1) >= WIDE_AGREE
+        q, agree = q[ok], agree[ok]
+        out.append((np.minimum(id_[q], id_[p]), np.maximum(id_[q], id_[p]), agree.astype(np.int32)))
+    a, b, agree = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+    return pa.table({"a": a, "b": b, "agree": agree})
 
 
 def _confirm(batches):
@@ -129,24 +202,48 @@ def _confirm(batches):
 ROUNDS = (1, 3, 12, None)
 
 
-def links(classes: DataFrame, base: DataFrame) -> DataFrame | None:
-    """Verified links (a, b) between classes that connect every component; None if there are no candidates."""
+def links(classes: DataFrame, base: DataFrame) -> DataFrame:
+    """Verified links (a, b) between classes that connect every component."""
     spark = classes.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     forest = classes.select("id", "n", "sig").mapInArrow(_grow, "key long, tail long, id long, n long, sig binary")
     forest = forest.repartitionByRange(n, "key", "tail", "id").sortWithinPartitions("key", "tail", "id")
-    open_ = cut(forest.mapInArrow(_neighbours, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree")), "candidates")
+    found = cut(forest.mapInArrow(_neighbours, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree")), "candidates")
+    again, open_ = found.where("agree < 0").select(F.col("a").alias("key")), found.where("agree >= 0")
     ids = open_.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    linked = settle(open_, cut(texts(classes, base, ids), "texts"), None)
+    # regions not yet compared whole that hold several components
+    comp = cut(components(linked), "components")
+    sigs = classes.select("id", "k2", "sig").join(comp, "id", "left").select("id", "k2", "sig", F.coalesce("component", "id").alias("comp"))
+    member = cut(sigs.mapInArrow(_regions, "key long, tree int, id long, k2 long, comp long").join(again, "key", "left_semi"), "crowded")
+    region = member.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    region = cut(region.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "regions")
+    if region.isEmpty():
+        return linked
+    member = member.join(region, "key")
+    text = cut(texts(classes, base, member.select("id").distinct()), "texts")
+    wide = cut(text.mapInArrow(_widen, "id long, k2 long, wide binary"), "wide")
+    member = member.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    member = member.select("key", "tree", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "k2", "comp")
+    member = member.join(classes.select("id", "k2", "n", "sig"), ["id", "k2"]).join(wide, ["id", "k2"])
+    across = member.groupBy("key", "i", "j").applyInArrow(_across, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    return settle(cut(across, "across"), text, linked)
+
+
+def texts(classes: DataFrame, base: DataFrame, ids: DataFrame) -> DataFrame:
     wanted = classes.join(ids, "id", "left_semi").select("id", "k1", "k2")
-    texts = cut(base.join(wanted, ["k1", "k2"]).select("id", "text").dropDuplicates(["id", "text"]), "texts")
-    linked = None
+    return base.join(wanted, ["k1", "k2"]).select("id", "k2", "text").dropDuplicates(["id", "k2"])
+
+
+def settle(open_: DataFrame, text: DataFrame, linked: DataFrame | None) -> DataFrame:
+    """The links so far and those among the candidates, confirmed in rounds."""
     for most in ROUNDS:
         pick = open_
         if most is not None:
             # the best of each class, looked at from its later partner: at most so many a class
             best = open_.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("agree", (-F.col("a")).alias("na"))), asc=False), 1, most).alias("best"))
             pick = best.select(F.explode("best").alias("x"), "b").select((-F.col("x.na")).alias("a"), "b")
-        t = texts.select(F.col("id").alias("_i"), F.col("text").alias("_t"))
+        t = text.select(F.col("id").alias("_i"), F.col("text").alias("_t"))
         pairs = pick.select("a", "b").join(t, F.col("a") == F.col("_i")).select("a", "b", F.col("_t").alias("ta")).join(t, F.col("b") == F.col("_i")).select("a", "b", "ta", F.col("_t").alias("tb"))
         checked = cut(pairs.mapInArrow(_confirm, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")), "checked")
         found = checked.where("linked").select("a", "b")
