@@ -318,6 +318,22 @@ def test_projections(spark):
     assert projections.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_projections_in_a_concentrated_label(spark):
+    """3,000 vectors of mutual cosine about 0.97; 300 have one partner at the threshold."""
+    rng = np.random.default_rng(15)
+    centre, unit = rng.standard_normal(64), lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(unit(centre) * 0.9849 + unit(rng.standard_normal((3000, 64))) * 0.1732)
+    x = np.concatenate((x, unit(x[:300] + unit(rng.standard_normal((300, 64))) * 0.195)))
+    link = x @ x.T >= 0.98
+    np.fill_diagonal(link, False)
+    df = spark.createDataFrame([(i, [float(a) for a in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in projections.near_duplicates(df).collect()}
+    u = brute.Sets(range(len(x)))
+    for i, j in zip(*np.nonzero(link), strict=True):
+        u.join(int(i), int(j))
+    assert got == {i: (int(n), u.find(i)) for i, n in enumerate(link.sum(1))}
+
+
 def test_blocks_count_a_large_component(spark, monkeypatch):
     monkeypatch.setattr(projections, "BLOCK", 16)
     rng = np.random.default_rng(14)

@@ -1,15 +1,9 @@
-"""Operator 8: embedding near-duplicates by sorted projection passes.
+"""Operator 8: embedding near-duplicates, exact within each label.
 
-Vectors equal in label and every component form one class and are compared once.  In each of PASSES passes the classes
-are ordered by label and the lexicographic string of BITS random hyperplane signs; every vector is compared in double
-precision with its WINDOW neighbours before it, and verified links of all passes are united.  A pair at the threshold
-keeps its order neighbourhood in a pass with probability about 0.94 per bit that separates label size from window, so
-PASSES grows with the logarithm of the largest label.  Range partitioning splits a label of any size; a pair lost at a
-partition's edge meets in another pass.
-
-Bounded windows connect a dense group but do not hold all its pairs.  The links are therefore counted inside the united
-components: members are dealt into blocks, blocks are compared pairwise as matrix products, and only counts leave a
-task.  That way no partner is capped and no list of all pairs is written.
+Vectors equal in label and every component form one class and are compared once.  The classes of a label are dealt into
+blocks, and all pairs of blocks are compared in double precision as matrix products, so no link depends on an order, a
+window or how a label's vectors are spread.  Only link counts and one edge per vector leave a task.  This departs from
+sorted projection passes, which lose links in concentrated labels; its work grows with the square of a label's classes.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows with null label or
 null vec_id, link with nothing (n_links 0, component their own id, kept); vectors of different length are never
@@ -26,10 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelarium.llm.base import components, cut, ship
-from voxelarium.llm.suffix import _batch
 
 THRESHOLD = 0.98
-PASSES, BITS, WINDOW, BLOCK = 20, 48, 64, 512
+BLOCK = 512
 
 
 def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
@@ -40,87 +33,32 @@ def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
     return x / np.linalg.norm(x, axis=1)[:, None], size
 
 
-def hyperplanes(which: int, dim: int) -> np.ndarray:
-    return np.random.default_rng((which, dim)).standard_normal((dim, BITS))
-
-
-def _project(passes: int):
-    """Each vector once for each pass, with its sign string as a number."""
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, size = _matrix(b.column("e"))
-            for t in range(passes):
-                key = np.zeros(len(x), np.int64)
-                for n in np.unique(size):
-                    rows = size == n
-                    signs = (x[rows, :n] @ hyperplanes(t, int(n))) > 0
-                    key[rows] = (signs.astype(np.int64) << np.arange(BITS - 1, -1, -1)).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), b.column("label"), pa.array(key), b.column("id"), b.column("e")], ["pass", "label", "key", "id", "e"])
-    return run
-
-
-def _sweep(threshold: float, window: int):
-    """Links within the window, reduced to one edge per vector by uniting them within the batch."""
-    def run(batches):
-        tail = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            if tail is not None:
-                t = pa.concat_tables([tail, t])
-            n = t.num_rows
-            if not n:
-                continue
-            start = 0 if tail is None else tail.num_rows
-            tail = t.slice(max(0, n - window))
-            t = t.combine_chunks()
-            x, size = _matrix(t.column("e").combine_chunks())
-            p, label, ids = (np.asarray(t.column(c)) for c in ("pass", "label", "id"))
-            i, j = np.arange(n)[:, None], np.arange(n)[None, :]
-            near = (x @ x.T >= threshold) & (j < i) & (i - j <= window) & (i >= start)
-            near &= (p[:, None] == p) & (label[:, None] == label) & (size[:, None] == size)
-            some = np.flatnonzero(near.any(0) | near.any(1))
-            if not len(some):
-                continue
-            near = near[np.ix_(some, some)]
-            near |= near.T
-            np.fill_diagonal(near, True)
-            mark = np.arange(len(some))
-            while True:
-                low = np.where(near, mark[None, :], len(some)).min(1)
-                low = low[low]
-                if (low == mark).all():
-                    break
-                mark = low
-            yield _batch(("a", "b"), (ids[some], ids[some[mark]]))
-    return run
-
-
-def _count(threshold: float):
-    """Links between two blocks of one component (or within one)."""
+def _compare(threshold: float):
+    """Links between two blocks of one label (or within one): counts, and an edge of each linked vector."""
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
-        block, first, second, many = (np.asarray(t.column(c)) for c in ("block", "i", "j", "many"))
+        block, first, second, many, ids = (np.asarray(t.column(c)) for c in ("block", "i", "j", "many", "id"))
         x, size = _matrix(t.column("e").combine_chunks())
-        n = len(x)
-        links = np.zeros(n, np.int64)
-        own = first[0] == second[0]
-        left = np.flatnonzero(block == first[0])
-        right = left if own else np.flatnonzero(block == second[0])
-        for at in range(0, len(left), BLOCK):
-            rows = left[at : at + BLOCK]
-            c = (x[rows] @ x[right].T >= threshold) & (size[rows][:, None] == size[right])
-            if own:
-                c[np.arange(len(rows)), at + np.arange(len(rows))] = False
-            links[rows] += (c * many[right]).sum(1)
-            if not own:
-                links[right] += (c * many[rows][:, None]).sum(0)
-        return pa.table({"id": t.column("id"), "h1": t.column("h1"), "h2": t.column("h2"), "links": pa.array(links)})
+        near = (x @ x.T >= threshold) & (size[:, None] == size)
+        np.fill_diagonal(near, False)
+        if first[0] != second[0]:
+            near &= block[:, None] != block
+        some = np.flatnonzero(near.any(1))
+        near = near[np.ix_(some, some)]
+        links = (near * many[some]).sum(1, dtype=np.int64)
+        np.fill_diagonal(near, True)
+        mark = np.arange(len(some))
+        while len(some):
+            low = np.where(near, mark[None, :], len(some)).min(1)
+            low = low[low]
+            if (low == mark).all():
+                break
+            mark = low
+        return pa.table({"h1": t.column("h1").take(pa.array(some)), "h2": t.column("h2").take(pa.array(some)), "links": pa.array(links), "a": pa.array(ids[some]), "b": pa.array(ids[some[mark]])})
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label)."""
     spark = vectors.sparkSession
     ship(spark)
@@ -132,19 +70,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     h = [F.xxhash64("label", "e"), F.xxhash64("e", "label", F.lit(7))]
     base = base.withColumn("ok", valid).withColumn("h1", F.when(F.col("ok"), h[0])).withColumn("h2", F.when(F.col("ok"), h[1]))
     classes = cut(base.where("ok").groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("many"), F.first("label").alias("label"), F.first("e").alias("e")), "classes")
-    # PASSES orders of all vectors at once; range partitions split labels of any size
-    spread = classes.select("label", "id", "e").mapInArrow(_project(passes), "pass int, label long, key long, id long, e array<double>")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = spread.repartitionByRange(n, "pass", "label", "key", "id").sortWithinPartitions("pass", "label", "key", "id")
-    links = ordered.mapInArrow(_sweep(threshold, window), "a long, b long")
-    comp = cut(components(links), "components")
-    # exact counts within components, block by block
-    member = classes.join(comp, "id")
-    size = comp.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = member.join(size, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # every pair of blocks of a label
+    size = classes.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    member = classes.join(size, "label").withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "h1", "h2", "many", "e")
-    counted = member.groupBy("component", "i", "j").applyInArrow(_count(threshold), "id long, h1 long, h2 long, links long").groupBy("h1", "h2").agg(F.sum("links").alias("links"))
+    member = member.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "h1", "h2", "many", "e")
+    compared = cut(member.groupBy("label", "i", "j").applyInArrow(_compare(threshold), "h1 long, h2 long, links long, a long, b long"), "compared")
+    comp = cut(components(compared.select("a", "b")), "components")
+    counted = compared.groupBy("h1", "h2").agg(F.sum("links").alias("links"))
     per = classes.select("h1", "h2", "id", "many").join(counted, ["h1", "h2"], "left").join(comp, "id", "left")
     per = per.select("h1", "h2", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("_links"), F.coalesce("component", "id").alias("_component"))
     out = base.select("vec_id", "h1", "h2").join(per, ["h1", "h2"], "left")
