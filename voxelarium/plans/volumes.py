@@ -127,8 +127,10 @@ def lod_mean_2(spark, sf):
 @query(f"WITH {VE}, l1 AS ({_LOD.format('ve')}) SELECT x, y, z, v FROM l1 WHERE z < 248")
 def lod_mean_chunk_form(spark, sf):
     """Means of dense 4x4x4 chunks, back in voxels, over the planes that fill their chunks."""
-    halves = lod.halve_chunks(sample.to_chunks(embedding_volume(spark, sf), 2), 2)
-    return sample.to_voxels(halves, 2).where("x < 4 AND y < 4 AND z < 248")
+    v = embedding_volume(spark, sf)
+    whole = (v.agg(F.max("z")).first()[0] + 1) // 8 * 4
+    halves = lod.halve_chunks(sample.to_chunks(v, 2), 2)
+    return sample.to_voxels(halves, 2).where(f"x < 4 AND y < 4 AND z < {whole}")
 
 
 def _levels(spark, sf):
