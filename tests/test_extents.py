@@ -7,3 +7,7 @@ LARGE = "/root/testdata/sf0.1"
 
 def test_lod_mean_chunk_form(spark):
     assert registry.QUERIES["lod_mean_chunk_form"](spark, LARGE).agg({"z": "max"}).first()[0] == 999
+
+
+def test_tiled_tiff_roundtrip(spark):
+    assert registry.QUERIES["tiled_tiff_roundtrip"](spark, LARGE).count() == 2000 * 64

@@ -41,7 +41,8 @@ ORACLES["zarr_roundtrip"] = f"WITH {VE} SELECT x, y, z, v FROM ve"
 def tiled_tiff_roundtrip(spark, sf):
     """Five planes of the embedding volume, each spread to an image, through tiles and a tiled TIFF, back to pixels."""
     p = embedding_volume(spark, sf).select((F.col("z") % 5).alias("w"), (F.floor(F.col("z") / 5) % 10 * 8 + F.col("x")).cast("int").alias("px"), (F.floor(F.col("z") / 50) * 8 + F.col("y")).cast("int").alias("py"), F.col("v").alias("value"))
-    files = images.layers(images.tiles(p.where("py < 80"), 32), 80, 80, 32)
+    height = embedding_volume(spark, sf).agg(F.max("z")).first()[0] // 50 * 8 + 8
+    files = images.layers(images.tiles(p, 32), 80, height, 32)
 
     def run(batches):
         import numpy as np
