@@ -11,3 +11,14 @@ def test_lod_mean_chunk_form(spark):
 
 def test_tiled_tiff_roundtrip(spark):
     assert registry.QUERIES["tiled_tiff_roundtrip"](spark, LARGE).count() == 2000 * 64
+
+
+def test_aabb_touch(spark):
+    assert registry.QUERIES["aabb_touch"](spark, LARGE).where("cy >= 79").count()
+
+
+def test_lookups_beyond_plane_500(spark):
+    ids = [r.p_partkey for r in spark.read.parquet(f"{LARGE}/part.parquet").where("(p_partkey * 7) % 2011 >= 2000 AND p_partkey % 41 < 32 AND p_partkey % 37 < 30").select("p_partkey").collect()]
+    for name in ("voxel_lookup_oob", "trilinear_q8"):
+        df = registry.QUERIES[name](spark, LARGE)
+        assert df.where(df.id.isin(ids) & (df.value > 0)).count()

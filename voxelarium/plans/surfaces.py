@@ -200,7 +200,8 @@ SELECT cx, cy, cz, count(*) AS n FROM b JOIN g ON floor(lx / 64) <= cx AND floor
 def aabb_touch(spark, sf):
     t = triangles(grid_surface(spark, sf))
     box = t.select("tri_id", *[f(*[F.col(f"{a}{i}") for i in (1, 2, 3)]).alias(f"{n}_{a}") for a in "xyz" for n, f in (("min", F.least), ("max", F.greatest))])
-    return residency.touched(box, (704, 5056, 1280)).groupBy("cx", "cy", "cz").agg(F.count("*").alias("n"))
+    extent = tuple((int(h // 64) + 1) * 64 for h in box.agg(*[F.max(f"max_{a}") for a in "xyz"]).first())
+    return residency.touched(box, extent).groupBy("cx", "cy", "cz").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {SG}, w AS (SELECT k - 8 AS w FROM range(17) t(k)) SELECT DISTINCT c // 16 AS tu, r // 16 AS tv, CAST(floor(px / 64) AS INT) AS cx, CAST(floor(py / 64) AS INT) AS cy, CAST(floor((pz + w) / 64) AS INT) AS cz FROM sg, w WHERE valid""")

@@ -10,7 +10,6 @@ from voxelarium.operators import lod, paint, sample
 from voxelarium.sources.derived import VE, VL, embedding_volume, label_volume
 
 QUERIES, ORACLES = {}, {}
-EXTENT = (8, 8, 500)
 
 
 def query(sql: str):
@@ -22,6 +21,10 @@ def query(sql: str):
     return add
 
 
+def _extent(spark, sf):
+    return 8, 8, embedding_volume(spark, sf).agg(F.max("z")).first()[0] + 1
+
+
 def _pixels(w: int, h: int) -> str:
     return f"px AS (SELECT CAST(i % {w} AS INT) AS px, CAST(i // {w} AS INT) AS py FROM range({w * h}) t(i))"
 
@@ -66,7 +69,7 @@ _P = "p AS (SELECT p_partkey AS id, (p_partkey % 41) / 4.0::DOUBLE - 1.0 AS sx,
 @query(f"""WITH {VE}, {_P}, t AS (SELECT id, greatest(CAST(trunc(sx) AS INT), 0) AS tx, greatest(CAST(trunc(sy) AS INT), 0) AS ty, greatest(CAST(trunc(sz) AS INT), 0) AS tz FROM p)
 SELECT id, CAST(CASE WHEN tx >= 8 OR ty >= 8 OR tz >= 500 THEN 0 ELSE coalesce(v, 0) END AS INT) AS value FROM t LEFT JOIN ve ON x = tx AND y = ty AND z = tz""")
 def voxel_lookup_oob(spark, sf):
-    return sample.nearest(_points(spark, sf), embedding_volume(spark, sf), EXTENT).select("id", F.col("value").cast("int").alias("value"))
+    return sample.nearest(_points(spark, sf), embedding_volume(spark, sf), _extent(spark, sf)).select("id", F.col("value").cast("int").alias("value"))
 
 
 @query(f"""WITH {VE} SELECT x >> 2 AS cx, y >> 2 AS cy, z >> 2 AS cz, CAST(((z >> 2) * 2 + (y >> 2)) * 2 + (x >> 2) AS BIGINT) AS idx, z >> 4 AS shard_z,
@@ -91,7 +94,7 @@ s AS (SELECT w.id, sum((CASE dx WHEN 1 THEN fx ELSE 256 - fx END) * (CASE dy WHE
   FROM w, o LEFT JOIN ve ON x = bx + dx AND y = byy + dy AND z = bz + dz GROUP BY w.id)
 SELECT p.id, CAST(CASE WHEN sx >= 8 OR sy >= 8 OR sz >= 500 THEN 0 ELSE CAST(t AS BIGINT) >> 24 END AS INT) AS value FROM p JOIN s ON p.id = s.id""")
 def trilinear_q8(spark, sf):
-    return sample.trilinear_q8(_points(spark, sf), ["id"], embedding_volume(spark, sf), EXTENT).select("id", "value")
+    return sample.trilinear_q8(_points(spark, sf), ["id"], embedding_volume(spark, sf), _extent(spark, sf)).select("id", "value")
 
 
 @query(ORACLES["trilinear_q8"].replace("CASE WHEN sx >= 8 OR sy >= 8 OR sz >= 500 THEN 0 ELSE CAST(t AS BIGINT) >> 24 END", "CAST(t AS BIGINT) >> 24"))
