@@ -5,8 +5,8 @@ shuffled: consecutive edges that share an anchor (anchors.py) form one path piec
 equi-join by anchor finds the pieces that occur in several documents; a piece whose name recurs is a path without
 branches in all its documents.  Where pieces share an anchor but not their name the path branches inside them, and
 their single edges are compared.  Every repeated edge knows a source in an earlier document; runs of
-edges whose source coordinates advance together compact into maximal spans, and the coordinates are verified to line
-up word by word before a span is reported.
+edges whose source coordinates advance together compact into maximal spans.  Only the coordinates are compared: no word of the
+source is read again, so spans are exact up to collisions of 64-bit word hashes.
 
 Defined results: null text has no words; rows with a null doc_id are neither earlier nor later than others and lose
 nothing; rows of equal doc_id do not count as earlier than each other; a text of fewer than 13 words loses nothing;
