@@ -55,9 +55,12 @@ def test_words_and_hashes():
     d = np.frombuffer(text, np.uint8)
     s, e, wo = textcore.words(d, np.array([0, 10, 10, len(d)]))
     assert [text[a:b].decode() for a, b in zip(s, e, strict=True)] == ["a", "bb", "ccc", "é", "d"] and wo.tolist() == [0, 3, 3, 5]
-    p = textcore.Prefix(np.frombuffer(b"xabcyabc", np.uint8))
-    h = p.span(np.array([1, 5, 0]), np.array([4, 8, 3]))
-    assert h[0] == h[1] != h[2]
+    h = textcore.word_hashes(np.frombuffer(b"xabcyabc" + b"z" * 100 + b"abc" + b"z" * 100, np.uint8), np.array([1, 5, 108, 0, 8, 111]), np.array([4, 8, 111, 3, 108, 211]))
+    assert h[0] == h[1] == h[2] != h[3] and h[4] == h[5]
+    for which in range(2):
+        p = textcore.Prefix(np.frombuffer(b"xabcdefghyabcdefgh", np.uint8), which)
+        h = p.span(np.array([1, 10, 0]), np.array([9, 18, 8]))
+        assert h[0] == h[1] != h[2]
 
 
 @pytest.mark.parametrize("w", [1, 2, 5, 13])
@@ -148,24 +151,70 @@ def test_near_duplicates_in_a_crowded_region(spark):
     assert plain(got) == want
 
 
-def test_a_partner_deep_in_a_crowded_region():
-    """Forty classes of one region; the first and the last agree and stand far apart."""
-    import pyarrow as pa
-
-    rng = np.random.default_rng(22)
-    sig = rng.integers(0, 2**32, (40, forest.FUNCTIONS), dtype=np.uint32)
-    sig[39] = sig[0]
-    wide = rng.integers(0, 256, (40, forest.WIDE), dtype=np.uint8)
-    wide[39] = wide[0]
-    ids = pa.array(np.arange(40))
-    nibble = (sig & 15).astype(np.uint8)
-    packed = [x.tobytes() for x in nibble[:, ::2] << 4 | nibble[:, 1::2]]
-    rows = pa.RecordBatch.from_arrays([pa.array([7] * 40), ids, ids, pa.array([100] * 40), pa.array(packed, pa.binary())], ["key", "tail", "id", "n", "sig"])
-    found = {(r["a"], r["b"], r["agree"]) for b in forest._neighbours([rows]) for r in b.to_pylist()}
-    assert (7, 0, -1) in found and not any(x[:2] == (0, 39) for x in found)
-    zero = pa.array(np.zeros(40, np.int32))
-    t = pa.table({"block": zero, "i": zero, "j": zero, "tree": zero, "id": ids, "comp": ids, "n": pa.array([100] * 40), "sig": pa.array([x.tobytes() for x in sig], pa.binary()), "wide": pa.array([x.tobytes() for x in wide], pa.binary())})
-    assert [(r["a"], r["b"]) for r in forest._across(t).to_pylist()] == [(0, 39)]
+def test_near_duplicates_of_a_template(spark):
+    """5,000 documents at similarity 0.68 to each other; 200 of them have one partner just above the threshold."""
+    r = random.Random(23)
+    prose = lambda k: [f"w{r.randrange(10**9)}" for _ in range(k)]
+    passage, rows, want = prose(200), [], {}
+    for i in range(5000):
+        own = prose(44)
+        rows.append((i, " ".join(passage + own)))
+        want[i] = i
+        if i % 25 == 0:
+            far = passage + own[:12] + prose(32)
+            rows.append((10000 + i, " ".join(far)))
+            a, b = (brute.shingle_set(x[1]) for x in rows[-2:])
+            assert 0.75 <= len(a & b) / len(a | b) < 0.77
+            want[10000 + i] = i
+    a, b = (brute.shingle_set(rows[k][1]) for k in (3, 4))
+    assert 0.67 < len(a & b) / len(a | b) < 0.7
+    got = {x.doc_id: x.component_id for x in forest.near_duplicates(table(spark, rows)).collect()}
+    assert got == want
+
+
+def test_crowded_classes_are_joined_exactly(spark, monkeypatch):
+    """The exact join alone, on sets of many sizes that share passages, in whole groups and in blocks."""
+    r = random.Random(24)
+    v = [f"w{k}" for k in range(400)]
+    passages = [[r.choice(v) for _ in range(n)] for n in (5, 30, 60, 60)]
+    rows = {}
+    for i in range(160):
+        w = sum((p for p in passages if r.random() < 0.6), []) + [r.choice(v) for _ in range(r.randint(0, 20))]
+        rows[i] = " ".join(w) or "x"
+    rows |= {500 + i: rows[i % 9] + " edited" * (i % 3) for i in range(120)}
+    sets = {i: brute.shingle_set(t) for i, t in rows.items()}
+    want = {(i, j) for i in rows for j in rows if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    text = spark.createDataFrame([(i, 0, t) for i, t in rows.items()], "id long, k2 long, text string")
+    sig = lambda t: forest.signature(forest.shingles(forest._word_hashes(*(lambda d: (d, np.array([0, len(d)])))(np.frombuffer(t.encode(), np.uint8)))[0])).tobytes()
+    classes = spark.createDataFrame([(i, sig(t)) for i, t in rows.items()], "id long, sig binary")
+    for block, small in ((1 << 16, 64), (1 << 16, 2), (50, 2)):
+        monkeypatch.setattr(forest, "BLOCK", block)
+        monkeypatch.setattr(forest, "SMALL", small)
+        got = {(x.a, x.b) for x in forest.crowded(text, text.select("id", F.col("id").alias("comp")), classes).collect()}
+        assert want <= got
+        comp = {i: i % 5 for i in rows}
+        some = forest.crowded(text, spark.createDataFrame(list(comp.items()), "id long, comp long"), classes).collect()
+        assert {p for p in want if comp[p[0]] != comp[p[1]]} <= {(x.a, x.b) for x in some} <= {p for p in got if comp[p[0]] != comp[p[1]]}
+
+
+def thue_morse(n=10):
+    """Two words of 2**n letters whose polynomial hashes modulo a power of two are equal, whatever the base."""
+    t = "a"
+    for _ in range(n):
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    x, y = thue_morse()
+    own = lambda k: [f"u{k}x{i}" for i in range(6)]
+    rows = [(1, " ".join([x] * 13)), (2, " ".join([y] * 13)), (3, " ".join([*own(3), x, *own(4)])), (4, " ".join([*own(3), y, *own(4)]))]
+    got = {r.doc_id: r.component_id for r in forest.near_duplicates(table(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert all(r.n_removed == 0 for r in debruijn.remove_spans(table(spark, rows)).collect())
+    bench = spark.createDataFrame([(1, f"{x} {x} {x}")], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate.mark(table(spark, rows), bench).collect()} == {1: 13, 2: 0, 3: 0, 4: 0}
+    assert all(r.n_removed == 0 for r in suffix.remove_repeats(table(spark, [(1, x), (2, y + "c")]), 1000).collect())
 
 
 def test_near_duplicates_of_one_id_with_several_texts(spark):

@@ -77,6 +77,11 @@ def no_key(name: str = "k1"):
     return F.when(F.col(name) != F.lit(-(2**63)), F.col(name)).alias("doc_id")
 
 
+def ends(edges: DataFrame) -> DataFrame:
+    """(id) of both ends of the links (a, b)."""
+    return edges.select(F.col("a").alias("id")).distinct().unionByName(edges.select(F.col("b").alias("id")).distinct()).distinct()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) of every end of the links (a, b): component is the smallest id reachable.
 
@@ -85,7 +90,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Every round is written to the shared folder.  Self links name isolated nodes.
     """
     e = cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct(), "links")
-    nodes = e.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    nodes = ends(e)
     e = cut(e.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
     before = None
     for _ in range(rounds):

@@ -35,7 +35,7 @@ HIT = "k1 long, k2 long, a long, n int, src long, src_a long"
 
 def _word_hashes(d, off):
     start, end, wo = tc.words(d, off)
-    return tc.Prefix(d).span(start, end), wo
+    return tc.word_hashes(d, start, end), wo
 
 
 def _piece_map(window: int, k: int, common: np.ndarray):

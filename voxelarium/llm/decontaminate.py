@@ -39,7 +39,7 @@ def _lowered(d: np.ndarray) -> np.ndarray:
 def _words(d, off):
     d = _lowered(d)
     start, end, wo = tc.words(d, off, tc.ALNUM)
-    return tc.Prefix(d).span(start, end), wo
+    return tc.word_hashes(d, start, end), wo
 
 
 class Tests:

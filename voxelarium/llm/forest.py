@@ -2,17 +2,19 @@
 
 A document's set holds its distinct 5-word shingles (the whole sequence where there are fewer words).  Equal sets form
 one class and are compared once.  A class's signature has FUNCTIONS minima; TREES orders of it are sorted, each by its
-own three functions and then by further ones, so that classes with the longest common prefix stand side by side.
-Classes that share the first three functions of a tree form a region; each class is a candidate with its NEIGHBOURS
-predecessors in the region, so small regions are compared whole.  Crowded regions, and those that lie across the edge
-of a partition, are looked at again once the neighbours' links are known: where a region still holds several components,
-all its pairs of different components are compared, block against block.  A pair of similarity 0.75 shares no region
-with probability (1 - 0.75**3)**21 = 1e-5.
+own three functions and then by all the others in turn.  Classes that share the first three functions of a tree form a
+region.  In a sorted order the classes with the longest common prefix stand side by side, so each class is a candidate
+with its NEIGHBOURS predecessors in the region: a branch of up to NEIGHBOURS + 1 classes, at whatever depth it begins,
+is compared whole.  A pair of similarity 0.75 shares no region with probability (1 - 0.75**3)**21 = 1e-5.
+
+Regions of more classes, and those at a partition's edge, are *crowded*: a pair may stand too far apart there.  Once
+the neighbours' links are known, the classes of crowded regions that still hold several components are joined exactly,
+by the prefixes of their sets (see `crowded`): classes that share a long passage with thousands of others and are no
+near-duplicates have rare shingles at the front of the order, so they meet in small groups.  Nothing is capped.
 
 Candidates whose signatures agree too rarely for the threshold (below AGREE of 64, where 48 are expected) are dropped;
 the rest are confirmed on full sets, in rounds: each class is first checked with its best candidate, then with more of
-those that the links so far leave in other components, at last with all of them.  Pairs of crowded regions must first
-agree in WIDE_AGREE of WIDE further functions (384 are expected at the threshold, with a deviation of 10).
+those that the links so far leave in other components, at last with all of them.
 
 Defined results: null text and text without words have an empty set, are linked with nothing and kept; rows with null
 doc_id are linked with nothing and kept; rows of one doc_id are one node; ties go to the smallest doc_id; extra columns
@@ -23,25 +25,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelarium.llm import textcore as tc
-from voxelarium.llm.base import components, cut, keyed, no_key, ship
-from voxelarium.llm.suffix import _batch
+from voxelarium.llm.base import components, cut, ends, keyed, no_key, ship
+from voxelarium.llm.suffix import Groups, _batch, columns
 
 WORDS, SIMILAR = 5, (75, 100)
 FUNCTIONS, TREES, DEPTH, NEIGHBOURS, AGREE = 64, 21, 3, 6, 30
 U64 = np.uint64
-#: Further functions of the classes in crowded regions, one byte each; members of a block.
-WIDE, WIDE_AGREE, BLOCK = 512, 330, 512
+#: Rows of a group compared in one task; rows of a group compared with plain index arithmetic.
+BLOCK, SMALL = 1 << 16, 64
+#: Ratio of the sizes in a bucket of sizes.
+RATIO = 1.1
 _A = tc.splitmix(np.arange(1, FUNCTIONS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _B = tc.splitmix(np.arange(1, FUNCTIONS + 1, dtype=U64) * U64(0xD1342543DE82EF95))
 
-_WA = tc.splitmix(np.arange(1, WIDE + 1, dtype=U64) * U64(0xA0761D6478BD642F)) | U64(1)
-_WB = tc.splitmix(np.arange(1, WIDE + 1, dtype=U64) * U64(0xE7037ED1A0B428DB))
-
 
 def shingles(h: np.ndarray, k: int = WORDS) -> np.ndarray:
     """Distinct shingles of one document's word hashes."""
@@ -50,18 +50,18 @@ def shingles(h: np.ndarray, k: int = WORDS) -> np.ndarray:
     return np.unique(tc.grams(h, min(k, len(h)), seed=len(h) if len(h) < k else 0))
 
 
-def signature(u: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
-    low = np.full(len(a), np.iinfo(np.uint64).max, U64)
-    step = (1 << 20) // len(a)
+def signature(u: np.ndarray) -> np.ndarray:
+    low = np.full(FUNCTIONS, np.iinfo(np.uint64).max, U64)
+    step = (1 << 20) // FUNCTIONS
     for i in range(0, len(u), step):
-        low = np.minimum(low, (u[i : i + step, None] * a + b).min(0))
+        low = np.minimum(low, (u[i : i + step, None] * _A + _B).min(0))
     return (low >> U64(32)).astype(np.uint32)
 
 
 def _word_hashes(d, off):
     d = tc.LOWER[d]
     start, end, wo = tc.words(d, off)
-    return tc.Prefix(d).span(start, end), wo
+    return tc.word_hashes(d, start, end), wo
 
 
 def _sketch(batches):
@@ -78,46 +78,43 @@ def _sketch(batches):
         yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(n, pa.int64()), pa.array(np.array(g1, U64).view(np.int64)), pa.array(np.array(g2, U64).view(np.int64)), pa.array(sig, pa.binary())], ["k1", "k2", "n", "g1", "g2", "sig"])
 
 
-def _key(sig: np.ndarray, t: int) -> np.ndarray:
-    """Region of each signature in tree t."""
-    first = sig[:, DEPTH * t : DEPTH * (t + 1)].astype(U64)
-    return tc.signed(np.ascontiguousarray(tc.grams(np.concatenate((first, np.full((len(sig), 1), t, U64)), 1).ravel(), DEPTH + 1)[:: DEPTH + 1]))
-
-
-def _regions(batches):
-    """The regions of each class."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, FUNCTIONS)
-        for t in range(TREES):
-            yield pa.RecordBatch.from_arrays([pa.array(_key(sig, t)), pa.array(np.full(len(sig), t, np.int32)), b.column("id"), b.column("k2"), b.column("comp")], ["key", "tree", "id", "k2", "comp"])
+def _packed(sig: np.ndarray) -> pa.Array:
+    """Four bits of each function."""
+    nibble = (sig & 15).astype(np.uint8)
+    return pa.array([x.tobytes() for x in nibble[:, ::2] << 4 | nibble[:, 1::2]], pa.binary())
 
 
 def _grow(batches):
-    """Each class once for every tree: region key, further functions as one sortable number, four bits a function."""
+    """Each class once for every tree: region key, and the other functions in the tree's order, four bits a function."""
     for b in batches:
         if not b.num_rows:
             continue
         sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, FUNCTIONS)
-        nibble = (sig & 15).astype(np.uint8)
-        packed = pa.array([x.tobytes() for x in nibble[:, ::2] << 4 | nibble[:, 1::2]], pa.binary())
         for t in range(TREES):
-            at = (np.arange(DEPTH + 4) + DEPTH * t) % FUNCTIONS
-            key = _key(sig, t)
-            tail = ((sig[:, at[DEPTH:]] >> 17).astype(np.int64) << np.array([45, 30, 15, 0])).sum(1)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(tail), b.column("id"), b.column("n"), packed], ["key", "tail", "id", "n", "sig"])
+            first = sig[:, DEPTH * t : DEPTH * (t + 1)].astype(U64)
+            key = tc.grams(np.concatenate((first, np.full((len(sig), 1), t, U64)), 1).ravel(), DEPTH + 1)[:: DEPTH + 1]
+            order = (np.arange(FUNCTIONS) + DEPTH * (t + 1)) % FUNCTIONS
+            yield pa.RecordBatch.from_arrays([pa.array(tc.signed(np.ascontiguousarray(key))), b.column("id"), b.column("n"), _packed(sig[:, order])], ["key", "id", "n", "sig"])
 
 
 _NIBBLES = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], np.uint8)
 
 
+def _near(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Sizes that the threshold allows."""
+    return SIMILAR[1] * np.minimum(n, m) >= SIMILAR[0] * np.maximum(n, m)
+
+
 def _neighbours(batches):
     """Candidates among a sorted partition's rows: the NEIGHBOURS before each in its region.
 
-    Regions not compared whole here (crowded, or first or last in the partition) are named too: (region, 0, -1).
+    The classes of crowded regions are named too: (region, class, -1).
     """
-    carry = last = None
+    carry = first = None
+
+    def named(key, id_):
+        return _batch(("a", "b", "agree"), (key, id_, np.full(len(key), -1, np.int32)))
+
     for b in batches:
         if not b.num_rows:
             continue
@@ -128,59 +125,164 @@ def _neighbours(batches):
             x = [np.concatenate((p, q)) for p, q in zip(carry, x, strict=True)]
         carry = [p[-NEIGHBOURS - 1 :] for p in x]
         key, id_, n, sig = x
-        again = key[NEIGHBOURS + 1 :][key[NEIGHBOURS + 1 :] == key[: -NEIGHBOURS - 1]]
-        again = np.unique(again if last is not None else np.append(again, key[0]))
-        last = key[-1]
-        if len(again):
-            yield _batch(("a", "b", "agree"), (again, np.zeros(len(again), np.int64), np.full(len(again), -1, np.int32)))
+        first = key[0] if first is None else first
+        many = np.unique(np.append(key[NEIGHBOURS + 1 :][key[NEIGHBOURS + 1 :] == key[: -NEIGHBOURS - 1]], first))
+        in_ = np.isin(key, many)
+        if in_.any():
+            yield named(key[in_], id_[in_])
         for gap in range(1, NEIGHBOURS + 1):
             i = np.arange(max(start, gap), len(key))
             i = i[(key[i] == key[i - gap]) & (id_[i] != id_[i - gap])]
-            i = i[100 * np.minimum(n[i], n[i - gap]) >= 75 * np.maximum(n[i], n[i - gap])]
+            i = i[_near(n[i], n[i - gap])]
             agree = _NIBBLES[sig[i] ^ sig[i - gap]].sum(1, dtype=np.int32)
             ok = agree >= AGREE
             i, agree = i[ok], agree[ok]
             if len(i):
                 yield _batch(("a", "b", "agree"), (np.minimum(id_[i], id_[i - gap]), np.maximum(id_[i], id_[i - gap]), agree))
-    if last is not None:
-        yield _batch(("a", "b", "agree"), (np.array([last]), np.zeros(1, np.int64), np.full(1, -1, np.int32)))
+    if carry is not None:
+        in_ = carry[0] == carry[0][-1]
+        yield named(carry[0][in_], carry[1][in_])
 
 
-def _widen(batches):
-    """The further functions of each class."""
+# ---- classes of crowded regions -------------------------------------------------------------------------------------
+def _tokens(batches):
+    """The shingles of each class."""
     for b in batches:
-        wide = []
+        id_ = np.asarray(b.column("id"))
         for i, j, d, off in tc.slabs(b.column("text")):
             h, wo = _word_hashes(d, off)
-            wide += [(signature(shingles(h[wo[r] : wo[r + 1]]), _WA, _WB) & 255).astype(np.uint8).tobytes() for r in range(j - i)]
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("k2"), pa.array(wide, pa.binary())], ["id", "k2", "wide"])
-
-
-def _across(table: pa.Table) -> pa.Table:
-    """Candidates of different components between two blocks of one region (or within one)."""
-    t = table.combine_chunks()
-    block, first, second, tree, id_, comp, n = (np.asarray(t.column(c)) for c in ("block", "i", "j", "tree", "id", "comp", "n"))
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, FUNCTIONS)
-    wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE)
-    own = first[0] == second[0]
-    left, right = np.flatnonzero(block == first[0]), np.flatnonzero(block == second[0])
-    out = []
-    for at, p in enumerate(left):
-        q = right[at + 1 :] if own else right
-        q = q[(comp[q] != comp[p]) & (100 * np.minimum(n[q], n[p]) >= 75 * np.maximum(n[q], n[p]))]
-        if not len(q):
+            sets = [shingles(h[wo[r] : wo[r + 1]]) for r in range(j - i)]
+            n = np.array([len(u) for u in sets], np.int32)
+            yield _batch(("w", "id", "n"), (tc.signed(np.concatenate(sets)), np.repeat(id_[i:j], n), np.repeat(n, n)))
+
+
+def _bucket(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(RATIO) + 1e-9).astype(np.int64)
+
+
+def _prefixes(batches):
+    """The front of each class's set, from its shingles that occur elsewhere (sorted by class, then rarest first).
+
+    Let a pair of sizes n <= m share its first common shingle at places i and j (from 0) of the two sets.  The overlap
+    is at most min(n - i, m - j), and 3 (n + m) / 7 at least.  So i <= n / 7 and n <= 7 (m - j) / 3 - m.  The smaller
+    set is listed under its own bucket of sizes, the larger one (place as ~j) under the buckets that are left to it.
+    """
+    groups = Groups("id")
+
+    def of(x):
+        new = np.concatenate(([True], x["id"][1:] != x["id"][:-1]))
+        first = np.flatnonzero(new)
+        have = np.diff(np.append(first, len(new)))
+        n = x["n"].astype(np.int64)
+        # shingles of this class alone come first and need no row
+        place = np.arange(len(new)) - np.repeat(first, have) + n - np.repeat(have, have)
+        low, high = _bucket(-(-SIMILAR[0] * n // SIMILAR[1])), _bucket(np.minimum(n, 7 * (n - place) // 3 - n))
+        key = x["w"].view(U64)
+        small = np.flatnonzero(7 * place <= n)
+        k = np.flatnonzero((SIMILAR[1] * (n - place) >= SIMILAR[0] * n) & (high >= low))
+        times = high[k] - low[k] + 1
+        large, at = np.repeat(k, times), tc.ranges(low[k], times)
+        row, bucket = np.concatenate((small, large)), np.concatenate((_bucket(n[small]), at))
+        side = np.concatenate((place[small], ~place[large]))
+        g = tc.splitmix(key[row] + bucket.astype(U64) * U64(0x9E3779B97F4A7C15))
+        for i in range(0, len(row), 50_000):
+            q = slice(i, i + 50_000)
+            yield _batch(("g", "cls", "n", "place"), (tc.signed(g[q]), x["id"][row[q]], x["n"][row[q]], side[q].astype(np.int32)))
+
+    for b in batches:
+        for t in groups.push(b):
+            yield from of(columns(t))
+    for t in groups.flush():
+        yield from of(columns(t))
+
+
+def _allowed(n, i, m, j):
+    """The test of _prefixes for the smaller set (n, i) and the larger one (m, j)."""
+    return (n <= m) & (7 * np.minimum(n - i, m - j) >= 3 * (n + m))
+
+
+def _meet(batches):
+    """Pairs of different components in groups of one shingle and bucket (whole groups, or two blocks of one)."""
+    groups = Groups("g")
+
+    def pairs(a, b):
+        return _batch(("a", "b"), (np.minimum(a, b), np.maximum(a, b)))
+
+    def of(x):
+        g, id_, comp, n, place, block, pair = (x[c] for c in ("g", "id", "comp", "n", "place", "block", "pair"))
+        n, place = n.astype(np.int64), place.astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        size = np.diff(np.append(first, len(g)))
+        crowd = np.repeat(size, size) > SMALL
+        i = np.flatnonzero(~crowd)
+        for gap in range(1, SMALL):
+            i = i[i + gap < len(g)]
+            i = i[g[i] == g[np.minimum(i + gap, len(g) - 1)]]
+            if not len(i):
+                break
+            p, q = i, i + gap
+            ok = (comp[p] != comp[q]) & ((place[p] < 0) != (place[q] < 0)) & ~(pair[p] & (block[p] == block[q]))
+            p, q = p[ok], q[ok]
+            s = np.where(place[p] >= 0, p, q)
+            t = p + q - s
+            ok = _allowed(n[s], place[s], n[t], ~place[t])
+            if ok.any():
+                yield pairs(id_[s[ok]], id_[t[ok]])
+        for f, m in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            r = np.arange(f, f + m)
+            names, count = np.unique(comp[r], return_counts=True)
+            most = names[count.argmax()]
+            s, t = r[place[r] >= 0], r[place[r] < 0]
+            # members of the largest component meet only the others
+            for left, right in ((s[comp[s] == most], t[comp[t] != most]), (s[comp[s] != most], t)):
+                step = max(1, (1 << 20) // max(1, len(right)))
+                for k in range(0, len(left) if len(right) else 0, step):
+                    u = left[k : k + step, None]
+                    ok = (comp[u] != comp[right]) & _allowed(n[u], place[u], n[right], ~place[right]) & ~(pair[u] & (block[u] == block[right]))
+                    p, q = np.nonzero(ok)
+                    if len(p):
+                        yield pairs(id_[left[k + p]], id_[right[q]])
+
+    for b in batches:
+        for t in groups.push(b):
+            yield from of(columns(t))
+    for t in groups.flush():
+        yield from of(columns(t))
+
+
+def _agreed(batches):
+    """Pairs whose signatures agree often enough."""
+    for b in batches:
+        if not b.num_rows:
             continue
-        same = sig[q] == sig[p]
-        # pairs that share a region of an earlier tree are compared there
-        early = same[:, : DEPTH * tree[0]].reshape(len(q), tree[0], DEPTH).all(2).any(1) if tree[0] else np.zeros(len(q), bool)
-        agree = same.sum(1)
-        ok = ~early & (agree >= AGREE)
-        q, agree = q[ok], agree[ok]
-        ok = (wide[q] == wide[p]).sum(1) >= WIDE_AGREE
-        q, agree = q[ok], agree[ok]
-        out.append((np.minimum(id_[q], id_[p]), np.maximum(id_[q], id_[p]), agree.astype(np.int32)))
-    a, b, agree = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-    return pa.table({"a": a, "b": b, "agree": agree})
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, FUNCTIONS) for c in ("sa", "sb"))
+        agree = (x == y).sum(1).astype(np.int32)
+        ok = agree >= AGREE
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok)), pa.array(agree[ok])], ["a", "b", "agree"])
+
+
+def crowded(text: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
+    """Candidates (a, b, agree) of different components among classes (id, text): an exact join by set prefixes.
+
+    A global order puts rare shingles first; two sets at the threshold share one of the first few (see _prefixes).
+    Groups with one component are dropped, groups beyond BLOCK rows are compared block against block.
+    """
+    n = int(text.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a doc_id with several texts may stand for several classes: sets are told apart by both parts of the key
+    key = F.xxhash64("id", "k2")
+    names = text.select(key.alias("cls"), "id").join(comp, "id")
+    tokens = text.select(key.alias("id"), "text").mapInArrow(_tokens, "w long, id long, n int").withColumn("df", F.count("*").over(Window.partitionBy("w"))).where("df > 1")
+    front = tokens.repartition(n, "id").sortWithinPartitions("id", "df", "w").select("id", "w", "n").mapInArrow(_prefixes, "g long, cls long, n int, place int")
+    front = cut(front.join(names, "cls"), "prefixes", free=True)
+    group = front.groupBy("g").agg(F.count("*").alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.col("place") >= 0).alias("small"), F.max(F.col("place") < 0).alias("large"))
+    group = group.where("low <> high AND small AND large").select("g", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    member = front.join(group, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    lone = member.where("blocks = 1").select("g", "id", "comp", "n", "place", "block", F.lit(False).alias("pair"))
+    split = member.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    split = split.select(F.xxhash64("g", F.least("block", "other"), F.greatest("block", "other")).alias("g"), "id", "comp", "n", "place", "block", (F.col("block") != F.col("other")).alias("pair"))
+    found = lone.unionByName(split).repartition(n, "g").sortWithinPartitions("g").mapInArrow(_meet, "a long, b long").distinct()
+    sig = lambda end: classes.select(F.col("id").alias(end), F.col("sig").alias(f"s{end}"))
+    return found.join(sig("a"), "a").join(sig("b"), "b").mapInArrow(_agreed, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
 def _confirm(batches):
@@ -204,30 +306,21 @@ ROUNDS = (1, 3, 12, None)
 
 def links(classes: DataFrame, base: DataFrame) -> DataFrame:
     """Verified links (a, b) between classes that connect every component."""
-    spark = classes.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    forest = classes.select("id", "n", "sig").mapInArrow(_grow, "key long, tail long, id long, n long, sig binary")
-    forest = forest.repartitionByRange(n, "key", "tail", "id").sortWithinPartitions("key", "tail", "id")
-    found = cut(forest.mapInArrow(_neighbours, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree")), "candidates")
-    again, open_ = found.where("agree < 0").select(F.col("a").alias("key")), found.where("agree >= 0")
-    ids = open_.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    linked = settle(open_, cut(texts(classes, base, ids), "texts"), None)
-    # regions not yet compared whole that hold several components
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    forest = classes.select("id", F.col("n").cast("int").alias("n"), "sig").mapInArrow(_grow, "key long, id long, n int, sig binary")
+    forest = forest.repartitionByRange(n, "key", "sig", "id").sortWithinPartitions("key", "sig", "id")
+    found = cut(forest.mapInArrow(_neighbours, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree")), "candidates", free=True)
+    open_ = found.where("agree >= 0")
+    linked = settle(open_, cut(texts(classes, base, ends(open_)), "texts"), None)
+    # crowded regions that still hold several components
     comp = cut(components(linked), "components")
-    sigs = classes.select("id", "k2", "sig").join(comp, "id", "left").select("id", "k2", "sig", F.coalesce("component", "id").alias("comp"))
-    member = cut(sigs.mapInArrow(_regions, "key long, tree int, id long, k2 long, comp long").join(again, "key", "left_semi"), "crowded")
-    region = member.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    region = cut(region.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "regions")
-    if region.isEmpty():
+    member = found.where("agree < 0").select(F.col("a").alias("key"), F.col("b").alias("id")).join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    mixed = member.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    left = cut(member.join(mixed, "key", "left_semi").select("id", "comp").distinct(), "crowded")
+    if left.isEmpty():
         return linked
-    member = member.join(region, "key")
-    text = cut(texts(classes, base, member.select("id").distinct()), "texts")
-    wide = cut(text.mapInArrow(_widen, "id long, k2 long, wide binary"), "wide")
-    member = member.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("key", "tree", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "k2", "comp")
-    member = member.join(classes.select("id", "k2", "n", "sig"), ["id", "k2"]).join(wide, ["id", "k2"])
-    across = member.groupBy("key", "i", "j").applyInArrow(_across, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
-    return settle(cut(across, "across"), text, linked)
+    text = cut(texts(classes, base, left.select("id")), "texts")
+    return settle(cut(crowded(text, left, classes), "across"), text, linked)
 
 
 def texts(classes: DataFrame, base: DataFrame, ids: DataFrame) -> DataFrame:
@@ -241,11 +334,11 @@ def settle(open_: DataFrame, text: DataFrame, linked: DataFrame | None) -> DataF
         pick = open_
         if most is not None:
             # the best of each class, looked at from its later partner: at most so many a class
-            best = open_.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("agree", (-F.col("a")).alias("na"))), asc=False), 1, most).alias("best"))
-            pick = best.select(F.explode("best").alias("x"), "b").select((-F.col("x.na")).alias("a"), "b")
+            best = Window.partitionBy("b").orderBy(F.desc("agree"), "a")
+            pick = open_.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= most)
         t = text.select(F.col("id").alias("_i"), F.col("text").alias("_t"))
         pairs = pick.select("a", "b").join(t, F.col("a") == F.col("_i")).select("a", "b", F.col("_t").alias("ta")).join(t, F.col("b") == F.col("_i")).select("a", "b", "ta", F.col("_t").alias("tb"))
-        checked = cut(pairs.mapInArrow(_confirm, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")), "checked")
+        checked = cut(pairs.mapInArrow(_confirm, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")), "checked", free=True)
         found = checked.where("linked").select("a", "b")
         linked = found if linked is None else cut(linked.unionByName(found), "verified")
         if most is None:

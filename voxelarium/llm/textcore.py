@@ -6,6 +6,7 @@ grouped into slabs of bounded size, so memory follows the slab (or one very long
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ ALNUM = _byte_class([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BYTE_VALUES = [splitmix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(s * 7919)) for s in range(2)]
+_SEEDS = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
 _BASES = [0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1]
 _POWERS: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, U64), np.ones(1, U64))] * 2
 
@@ -60,17 +61,55 @@ def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
+def _octets(data: np.ndarray) -> np.ndarray:
+    """A view of the eight bytes from each place on, zero past the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+
+
 class Prefix:
-    """Polynomial prefix sums of a byte array: the hash of any span in constant time."""
+    """Prefix sums of a byte array: the hash of any span of eight bytes or more in constant time.
+
+    A polynomial modulo 2**64 over bytes has colliding strings whatever its base (Thue-Morse words).  The terms here are
+    mixed values of eight bytes each, which overlap, so strings of that kind do not cancel.
+    """
 
     def __init__(self, data: np.ndarray, which: int = 0):
         p, self.inverse = powers(which, len(data) + 1)
         self.sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(_BYTE_VALUES[which][data] * p[:-1], out=self.sums[1:])
+        for i in range(0, len(data), SLAB):
+            j = min(i + SLAB, len(data))
+            value = splitmix(_octets(data[i : j + 7])[: j - i].copy().view(U64).ravel() + U64(_SEEDS[which]))
+            np.cumsum(value * p[i:j], out=self.sums[i + 1 : j + 1])
+            self.sums[i + 1 : j + 1] += self.sums[i]
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of data[start:end]; the length takes part."""
-        return splitmix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
+        """Hash of data[start:end], eight bytes at least; the length takes part."""
+        return splitmix((self.sums[end - 7] - self.sums[start]) * self.inverse[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
+
+
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+#: Longer words are hashed one by one.
+LONG_WORD = 64
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hash of each word data[start:end]: eight bytes a round, or BLAKE2 for long ones."""
+    size = end - start
+    h = splitmix(size.astype(U64) + U64(_SEEDS[which]))
+    octets = _octets(data)
+    live = np.flatnonzero(size <= LONG_WORD)
+    at = 0
+    while len(live):
+        block = octets[start[live] + at].view(U64).ravel() & _KEEP[np.minimum(size[live] - at, 8)]
+        x = h[live] ^ block
+        h[live] = splitmix(x * U64(0x9FB21C651E98DF25) + U64(0x2545F4914F6CDD1D))
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([which])).digest(), "little")
+    return h
 
 
 def slabs(column, limit: int = SLAB) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
