@@ -7,7 +7,7 @@ budget, found by one ordered pass over the sources.
 A source with target T and size S takes every document floor(T/S) times for certain.  The rest is a sample of fixed
 size in words: documents are ranked by their random odds over their inclusion odds, (u/(1-u)) / (f/(1-f)) with f the
 fractional part of T/S, and taken in that order while each brings the sum nearer to what is missing.  u comes from the
-md5 of doc_id, so reruns agree.  Running sums are two-level (buckets of the ranking variable, then documents of the one
+md5 of doc_id (of the text where the id is null), so reruns agree.  Running sums are two-level (buckets of the ranking variable, then documents of the one
 bucket where the target falls), so that no task ranks a whole source.
 
 Defined results: null or wordless text has size 0 and takes 0; null is a source of its own; rows repeated in the table
@@ -31,9 +31,14 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(doc_id: Column) -> Column:
-    """An integer below 2**48 from the md5 of the id."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
+def name_of(doc_id: Column, text: Column) -> Column:
+    """What a document's random number is made of: its id, or its text where it has none."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("n"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+
+
+def uniform(name: Column) -> Column:
+    """An integer below 2**48 from the md5 of the name."""
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 12), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
@@ -56,9 +61,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int
 
 def _ranked(rows: DataFrame) -> DataFrame:
     """Adds the ranking variable _q and the rest of the order, _u and _id; f is the inclusion probability."""
-    share = uniform(F.col("doc_id")) / F.lit(float(2**48))
+    share = uniform(F.col("name")) / F.lit(float(2**48))
     q = F.when(F.col("f") > 0, (share / (1 - share)) * ((1 - F.col("f")) / F.col("f")))
-    return rows.withColumn("_u", uniform(F.col("doc_id"))).withColumn("_q", q).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    return rows.withColumn("_u", uniform(F.col("name"))).withColumn("_q", q).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
 
 
 def decide(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
@@ -86,7 +91,7 @@ def decide(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int
 
 
 def mix(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The columns of docs (doc_id and source among them) with source_size, target and copies.
+    """The columns of docs (doc_id, name and source among them) with source_size, target and copies.
 
     decisions is one row per source; documents are neither shuffled nor sorted where that table is small.
     """
@@ -103,12 +108,12 @@ def mix(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), name_of(F.col("doc_id"), F.col("text")).alias("name"))
 
 
 def repeat(docs: DataFrame) -> DataFrame:
     """The mix itself: every row of docs, all columns unchanged, as often as it is taken."""
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), name_of(F.col("doc_id"), F.col("text")).alias("name"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     mixed = mix(rows, cut(decide(cut(sizes_of(docs), "sizes")), "decisions"))
     return mixed.where("copies > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
@@ -122,7 +127,7 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS u
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'n' || md5(coalesce(text, '')))), 1, 12) AS BIGINT) AS u
   FROM documents),
 p AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, list_extract([5, 2, 1], 1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT)) AS w FROM d GROUP BY source),
 a AS (
