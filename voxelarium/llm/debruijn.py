@@ -1,12 +1,16 @@
 """Operator 6: remove word spans that earlier documents hold, on a De Bruijn graph of word windows.
 
-Edges are windows of 13 consecutive words, nodes their 12-word overlaps.  Edges are compacted before they are
-shuffled: consecutive edges that share an anchor (anchors.py) form one path piece, named by all the words it spans.  An
-equi-join by anchor finds the pieces that occur in several documents; a piece whose name recurs is a path without
-branches in all its documents.  Where pieces share an anchor but not their name the path branches inside them, and
-their single edges are compared.  Every repeated edge knows a source in an earlier document; runs of
-edges whose source coordinates advance together compact into maximal spans.  Only the coordinates are compared: no word of the
-source is read again, so spans are exact up to collisions of 64-bit word hashes.
+Edges are windows of 13 consecutive words, nodes their 12-word overlaps.  As in published constructions of compacted
+graphs, edges are not shuffled one by one: consecutive edges that share an anchor (anchors.py) travel as one path piece,
+named by all the words it spans.  An equi-join by anchor finds the pieces that occur in several documents; a piece whose
+name recurs is a path without branches in all its documents.  Where pieces share an anchor but not their name the path
+branches inside them, and their single edges are joined.  Every repeated edge so knows a source in an earlier document.
+
+Pieces and edges are then glued in one Spark window over each document (`glued`): two that follow each other have one
+node between them, and the path goes on there if the source's place advances with the document's; it ends where the
+source branches off, changes or ends.  The glued paths are the maximal spans, with the coordinates of their source.
+Anchors and names (and the two hashes of an edge) come from two independent 64-bit hashes of the words, so a span is
+exact up to collisions of 128 bits.
 
 Defined results: null text has no words; rows with a null doc_id are neither earlier nor later than others and lose
 nothing; rows of equal doc_id do not count as earlier than each other; a text of fewer than 13 words loses nothing;
@@ -20,7 +24,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelarium.llm import textcore as tc
@@ -34,8 +38,9 @@ HIT = "k1 long, k2 long, a long, n int, src long, src_a long"
 
 
 def _word_hashes(d, off):
+    """Two independent hashes of each word, and the word offsets of the rows."""
     start, end, wo = tc.words(d, off)
-    return tc.word_hashes(d, start, end), wo
+    return tc.word_hashes(d, start, end), tc.word_hashes(d, start, end, 1), wo
 
 
 def _piece_map(window: int, k: int, common: np.ndarray):
@@ -48,7 +53,7 @@ def _piece_map(window: int, k: int, common: np.ndarray):
             k1, k2 = (np.asarray(b.column(i)) for i in (0, 1))
             parts = []
             for i, j, d, off in tc.slabs(b.column(2)):
-                wh, wo = _word_hashes(d, off)
+                wh, other, wo = _word_hashes(d, off)
                 if len(wh) < window:
                     continue
                 row_of = np.repeat(np.arange(j - i), np.diff(wo))
@@ -56,7 +61,7 @@ def _piece_map(window: int, k: int, common: np.ndarray):
                 at, a, n, row = pieces(g, row_of, wo[1:], order, window, k)
                 power, inverse = tc.powers(1, len(wh) + 1)
                 sums = np.zeros(len(wh) + 1, np.uint64)
-                np.cumsum(wh * power[:-1], out=sums[1:])
+                np.cumsum(other * power[:-1], out=sums[1:])
                 name = tc.splitmix((sums[a + n - 1 + window] - sums[a]) * inverse[a] + tc.splitmix((n * 64 + at - a).astype(np.uint64)))
                 parts.append((tc.signed(g[at]), tc.signed(name), k1[i + row], k2[i + row], (a - wo[row]).astype(np.int64), n.astype(np.int32)))
             if not parts:
@@ -128,13 +133,13 @@ def _edges(window: int):
             row = np.repeat(np.arange(len(counts)), counts)
             for i, j, d, off in tc.slabs(b.column(2)):
                 mine = np.flatnonzero((row >= i) & (row < j))
-                wh, wo = _word_hashes(d, off)
+                wh, other, wo = _word_hashes(d, off)
                 if not len(mine) or len(wh) < window:
                     continue
                 place = tc.ranges(at[mine], n[mine])
                 r = np.repeat(row[mine], n[mine])
                 w = place + wo[r - i]
-                yield _batch(("w", "v", "k1", "k2", "a"), (tc.signed(tc.grams(wh, window)[w]), tc.signed(tc.grams(wh, window, 99)[w]), k1[r], k2[r], place))
+                yield _batch(("w", "v", "k1", "k2", "a"), (tc.signed(tc.grams(wh, window)[w]), tc.signed(tc.grams(other, window, 99)[w]), k1[r], k2[r], place))
     return run
 
 
@@ -160,7 +165,8 @@ def _first_of(x: dict[str, np.ndarray]):
 
 
 def repeated_edges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(k1, k2, hits): for each row with any, runs (a, n, src, src_a) of edges that an earlier document holds."""
+    """(k1, k2, spans): for each row with any, the maximal spans (start, end, source_doc, source_start) that earlier
+    documents hold."""
     spark = docs.sparkSession
     ship(spark)
     base = keyed(docs, "text")
@@ -176,49 +182,48 @@ def repeated_edges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     texts = base.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "ask").dropDuplicates(["k1", "k2"])
     single = texts.mapInArrow(_edges(window), "w long, v long, k1 long, k2 long, a long").repartition("w").sortWithinPartitions("w").mapInArrow(_first_edges, HIT)
     hits = settled.where("kind = 1").drop("kind").unionByName(single)
-    return hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "n", "src", "src_a")).alias("hits"))
+    return glued(hits, window)
 
 
-def compact(hits, window: int) -> list[list[int]]:
-    """Maximal spans [start, end, source, source start] of edges whose source coordinates advance together."""
-    spans: list[list[int]] = []
-    for a, n, src, src_a in sorted(hits):
-        last = spans[-1] if spans else None
-        if last and src == last[2] and a - last[0] == src_a - last[3] and a <= last[1] - window + 1:
-            last[1] = max(last[1], a + n - 1 + window)
-        else:
-            spans.append([a, a + n - 1 + window, src, src_a])
-    return spans
+def glued(hits: DataFrame, window: int) -> DataFrame:
+    """(k1, k2, spans) from pieces (k1, k2, a, n, src, src_a) of paths: n edges from place a on, whose source lies in
+    document src from place src_a on.
 
+    One shuffle by document serves the window, both aggregations and the join with the texts that follows.
+    """
+    one = hits.repartition("k1", "k2").groupBy("k1", "k2", "a", "src", "src_a").agg(F.max("n").alias("n"))
+    along = Window.partitionBy("k1", "k2").orderBy("a")
+    before = lambda c: F.lag(c).over(along)
+    goes_on = (before("src") == F.col("src")) & (F.col("src_a") - before("src_a") == F.col("a") - before("a")) & (F.col("a") <= before("a") + before("n"))
+    path = one.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_path", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    span = path.groupBy("k1", "k2", "_path").agg(F.min("a").alias("start"), (F.max(F.col("a") + F.col("n")) - 1 + window).alias("end"), F.min("src").alias("source_doc"), F.min("src_a").alias("source_start"))
+    return span.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "end", "source_doc", "source_start"))).alias("spans"))
 
-def _remove(window: int):
-    def run(batches):
-        span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source_doc", pa.int64()), ("source_start", pa.int64())])
-        for b in batches:
-            texts = b.column("text").cast(pa.binary())
-            out = {c: [] for c in ("k1", "n_words", "n_removed", "kept_sha256", "spans")}
-            k1 = b.column("k1").to_pylist()
-            for r, hits in enumerate(b.column("hits").to_pylist()):
-                words = (texts[r].as_py() or b"").split()
-                spans = compact([(q["a"], q["n"], q["src"], q["src_a"]) for q in hits or ()], window)
-                kept, last, gone = [], 0, 0
-                for a, e, _, _ in sorted(spans):
-                    if e > last:
-                        kept += words[last:a] if a > last else []
-                        gone += e - max(a, last)
-                        last = e
-                kept += words[last:]
-                for c, v in zip(out, (k1[r], len(words), gone, hashlib.sha256(b" ".join(kept)).hexdigest(), [dict(zip(("start", "end", "source_doc", "source_start"), q, strict=True)) for q in spans]), strict=True):
-                    out[c].append(v)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("k1", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(span))]))
-    return run
+
+def _remove(batches):
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source_doc", pa.int64()), ("source_start", pa.int64())])
+    for b in batches:
+        texts = b.column("text").cast(pa.binary())
+        out = {c: [] for c in ("k1", "n_words", "n_removed", "kept_sha256", "spans")}
+        k1 = b.column("k1").to_pylist()
+        for r, spans in enumerate(b.column("spans").to_pylist()):
+            words = (texts[r].as_py() or b"").split()
+            kept, last, gone = [], 0, 0
+            for a, e in ((q["start"], q["end"]) for q in spans or ()):
+                if e > last:
+                    kept += words[last:a] if a > last else []
+                    gone += e - max(a, last)
+                    last = e
+            kept += words[last:]
+            for c, v in zip(out, (k1[r], len(words), gone, hashlib.sha256(b" ".join(kept)).hexdigest(), spans or []), strict=True):
+                out[c].append(v)
+        yield pa.RecordBatch.from_pydict(out, pa.schema([("k1", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(span))]))
 
 
 def remove_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row per input row: word counts, removed spans with their sources, and the hash of what is left."""
-    hits = repeated_edges(docs, window, gram)
-    joined = keyed(docs, "text").join(hits, ["k1", "k2"], "left")
-    out = joined.mapInArrow(_remove(window), "k1 long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, end: long, source_doc: long, source_start: long>>")
+    joined = keyed(docs, "text").join(repeated_edges(docs, window, gram), ["k1", "k2"], "left")
+    out = joined.mapInArrow(_remove, "k1 long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, end: long, source_doc: long, source_start: long>>")
     return out.select(no_key(), "n_words", "n_removed", "kept_sha256", "spans")
 
 
