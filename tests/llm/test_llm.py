@@ -90,13 +90,15 @@ def test_groups_stay_whole():
     assert all(a[-1] != b[0] for a, b in zip(parts, parts[1:]))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [1 << 20, 20])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(base, "LINKS", at_once)
     r = random.Random(2)
     edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)] + [(200, 200)]
     u = brute.Sets({x for e in edges for x in e})
     for a, b in edges:
         u.join(a, b)
-    got = {x.id: x.component for x in base.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x.id: x.component for x in base.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
     assert got == {x: u.find(x) for x in u.up}
     assert base.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
@@ -123,6 +125,14 @@ def test_mix(spark):
     assert mixing.repeat(docs.limit(0)).count() == 0
 
 
+def test_mix_of_null_ids(spark):
+    """Fifty rows without an id are told apart by their texts: the target falls among them."""
+    rows = [(None, f"t{i} " * 10, None, "b") for i in range(50)] + [(i, "w " * 10, None, "a") for i in range(50)]
+    sizes = mixing.sizes_of(table(spark, rows))
+    taken = [r for r in mixing.mix(sizes, mixing.decide(sizes)).collect() if r.source == "b"]
+    assert abs(sum(r.size * r.copies for r in taken) - taken[0].target) <= 10
+
+
 def test_targets_of_one_source(spark):
     got = mixing.targets(spark.createDataFrame([("a", 10), ("a", 5)], "source string, size long")).first()
     assert (got.source_size, got.target) == (15, 22.5)
@@ -367,20 +377,62 @@ def test_projections(spark):
     assert projections.near_duplicates(df.limit(0)).count() == 0
 
 
+def linked(x, block=1000):
+    """Number of links and component of each row of unit vectors, by brute force."""
+    u, n = brute.Sets(range(len(x))), np.zeros(len(x), int)
+    for k in range(0, len(x), block):
+        i, j = np.nonzero(x[k : k + block] @ x.T >= 0.98)
+        i += k
+        i, j = i[i != j], j[i != j]
+        n += np.bincount(i, minlength=len(x))
+        for p, q in zip(i.tolist(), j.tolist(), strict=True):
+            u.join(p, q)
+    return [(int(n[i]), u.find(i)) for i in range(len(x))]
+
+
+def unit(v):
+    return v / np.linalg.norm(v, axis=-1, keepdims=True)
+
+
+def vectors(spark, x, label):
+    import pandas as pd
+
+    return spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist(), "label": label})).repartition(4)
+
+
 def test_projections_in_a_concentrated_label(spark):
-    """3,000 vectors of mutual cosine about 0.97; 300 have one partner at the threshold."""
+    """3,000 vectors of mutual cosine about 0.97; 300 have one partner at the threshold: compared whole."""
     rng = np.random.default_rng(15)
-    centre, unit = rng.standard_normal(64), lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
-    x = unit(unit(centre) * 0.9849 + unit(rng.standard_normal((3000, 64))) * 0.1732)
+    x = unit(unit(rng.standard_normal(64)) * 0.9849 + unit(rng.standard_normal((3000, 64))) * 0.1732)
     x = np.concatenate((x, unit(x[:300] + unit(rng.standard_normal((300, 64))) * 0.195)))
-    link = x @ x.T >= 0.98
-    np.fill_diagonal(link, False)
-    df = spark.createDataFrame([(i, [float(a) for a in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    df = vectors(spark, x, 0)
+    assert [r.passes for r in projections.plan(df.selectExpr("label", "embedding AS e")).collect()] == [0]
     got = {r.vec_id: (r.n_links, r.component_id) for r in projections.near_duplicates(df).collect()}
-    u = brute.Sets(range(len(x)))
-    for i, j in zip(*np.nonzero(link), strict=True):
-        u.join(int(i), int(j))
-    assert got == {i: (int(n), u.find(i)) for i, n in enumerate(link.sum(1))}
+    assert [got[i] for i in range(len(x))] == linked(x)
+
+
+def test_projections_of_a_large_label(spark):
+    """12,000 vectors about a mean, 400 planted pairs near the threshold, a crowd of 500 and fifty copies: by passes."""
+    rng = np.random.default_rng(16)
+    x = unit(unit(rng.standard_normal(48)) * 0.6 + unit(rng.standard_normal((12000, 48))) * 0.8)
+    pairs = unit(x[:400] + unit(rng.standard_normal((400, 48))) * 0.19)
+    crowd = unit(x[500] + unit(rng.standard_normal((500, 48))) * 0.17)
+    x = np.concatenate((x, pairs, crowd, np.repeat(x[900:901], 50, 0)))
+    df = vectors(spark, x, 3).withColumn("h1", F.lit("clash")).withColumn("passes", F.lit(1.5)).withColumn("id", F.lit(None).cast("string"))
+    (passes,) = [r.passes for r in projections.plan(df.selectExpr("label", "embedding AS e")).collect()]
+    assert 5 < passes and 2 * passes * projections.WINDOW < len(x)
+    want = linked(x)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in projections.near_duplicates(df).collect()}
+    same = [got[i] == w for i, w in enumerate(want)]
+    assert sum(w[0] > 0 for w in want) > 1300 and not any(w[0] == 0 and not s for w, s in zip(want, same, strict=True))
+    right = sum(s for w, s in zip(want, same, strict=True) if w[0])
+    assert right >= 0.995 * sum(w[0] > 0 for w in want), (right, sum(w[0] > 0 for w in want))
+
+
+def test_projections_of_extreme_components(spark):
+    rows = [(1, [1e-200, 2e-200], 0), (2, [1e200, 2e200], 0), (3, [2e200, 1e200], 0), (4, [5e-324, 1e-323], 0)]
+    got = {r.vec_id: r.component_id for r in projections.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1}
 
 
 def test_blocks_count_a_large_component(spark, monkeypatch):

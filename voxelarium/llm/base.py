@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import gc
+import math
 import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,16 +85,48 @@ def ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id")).distinct().unionByName(edges.select(F.col("b").alias("id")).distinct()).distinct()
 
 
+#: Links that one task contracts.
+LINKS = 1 << 20
+
+
+def _contract(batches):
+    """(u, v): each node of a partition's links (a, b) with the least node it reaches there, itself included."""
+    parts = [(np.asarray(x.column(0)), np.asarray(x.column(1))) for x in batches]
+    if not parts:
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    node, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    mark = np.arange(len(node))
+    while len(i):
+        low = np.minimum(mark[i], mark[j])
+        new = mark.copy()
+        # the marks of both ends are tied too, so that chains halve
+        for end in (i, j, mark[i], mark[j]):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == mark).all():
+            break
+        mark = new
+    for k in range(0, len(node), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(node[k : k + 50_000]), pa.array(node[mark[k : k + 50_000]])], ["u", "v"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) of every end of the links (a, b): component is the smallest id reachable.
 
-    Alternating large-star and small-star steps.  Each is a minimum per node (combined before the shuffle) and one
-    equi-join, which adaptive execution can split where a hub is hot; no step gathers a node's neighbours in one row.
-    Every round is written to the shared folder.  Self links name isolated nodes.
+    The links are contracted within partitions of about LINKS rows, which leaves one link a node; where that is one
+    partition it is all.  Else alternating large-star and small-star steps follow.  Each is a minimum per node (combined
+    before the shuffle) and one equi-join, which adaptive execution can split where a hub is hot; no step gathers a
+    node's neighbours in one row.  Every round is written to the shared folder.  Self links name isolated nodes.
     """
-    e = cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct(), "links")
-    nodes = ends(e)
-    e = cut(e.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
+    links = cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "links")
+    parts = max(1, math.ceil(links.count() / LINKS))
+    e = cut(links.coalesce(parts).mapInArrow(_contract, "u long, v long"), "contracted")
+    if parts == 1:
+        return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    nodes = e.select(F.col("u").alias("id")).distinct()
+    e = cut(e.where("u <> v").distinct(), "star")
     before = None
     for _ in range(rounds):
         # large star: every node ties its larger neighbours to its smallest one

@@ -4,11 +4,11 @@ A document's set holds its distinct 5-word shingles (the whole sequence where th
 one class and are compared once.  A class's signature has FUNCTIONS minima; TREES orders of it are sorted, each by its
 own three functions and then by all the others in turn.  Classes that share the first three functions of a tree form a
 region.  In a sorted order the classes with the longest common prefix stand side by side, so each class is a candidate
-with its NEIGHBOURS predecessors in the region: a branch of up to NEIGHBOURS + 1 classes, at whatever depth it begins,
-is compared whole.  A pair of similarity 0.75 shares no region with probability (1 - 0.75**3)**21 = 1e-5.
+with its NEIGHBOURS predecessors in the region: a region of up to NEIGHBOURS + 1 classes is compared whole.  A pair of
+similarity 0.75 shares no region with probability (1 - 0.75**3)**21 = 1e-5.
 
-Regions of more classes, and those at a partition's edge, are *crowded*: a pair may stand too far apart there.  Once
-the neighbours' links are known, the classes of crowded regions that still hold several components are joined exactly,
+Regions of more classes, and those at a partition's edge, are *crowded*.  There a class is a candidate with CROWDED
+predecessors, those of the longest common prefix at whatever depth they branch off.  Once these links are known, the classes of crowded regions that still hold several components are joined exactly,
 by the prefixes of their sets (see `crowded`): classes that share a long passage with thousands of others and are no
 near-duplicates have rare shingles at the front of the order, so they meet in small groups.  Nothing is capped.
 
@@ -34,6 +34,8 @@ from voxelarium.llm.suffix import Groups, _batch, columns
 
 WORDS, SIMILAR = 5, (75, 100)
 FUNCTIONS, TREES, DEPTH, NEIGHBOURS, AGREE = 64, 21, 3, 6, 30
+#: Neighbours before each class of a crowded region.
+CROWDED = 2
 U64 = np.uint64
 #: Rows of a group compared in one task; rows of a group compared with plain index arithmetic.
 BLOCK, SMALL = 1 << 16, 64
@@ -106,7 +108,7 @@ def _near(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(batches):
-    """Candidates among a sorted partition's rows: the NEIGHBOURS before each in its region.
+    """Candidates among a sorted partition's rows: the NEIGHBOURS before each in its region, or CROWDED of them.
 
     The classes of crowded regions are named too: (region, class, -1).
     """
@@ -132,7 +134,7 @@ def _neighbours(batches):
             yield named(key[in_], id_[in_])
         for gap in range(1, NEIGHBOURS + 1):
             i = np.arange(max(start, gap), len(key))
-            i = i[(key[i] == key[i - gap]) & (id_[i] != id_[i - gap])]
+            i = i[(key[i] == key[i - gap]) & (id_[i] != id_[i - gap]) & ((gap <= CROWDED) | ~in_[i])]
             i = i[_near(n[i], n[i - gap])]
             agree = _NIBBLES[sig[i] ^ sig[i - gap]].sum(1, dtype=np.int32)
             ok = agree >= AGREE
