@@ -47,7 +47,10 @@ def rewrite(urls: DataFrame, rules: DataFrame) -> DataFrame:
     keys = base.select("_id", "usage", "url").distinct().withColumn("_n", F.explode(F.array(*map(F.lit, lengths)))).where(F.length("url") >= F.col("_n")).withColumn("_p", F.expr("substring(url, 1, _n)"))
     hit = keys.join(r, "_p").where(F.col("_u").isNull() | (F.col("_u") == F.col("usage")))
     first = hit.groupBy("usage", "url").agg(F.min_by(F.concat("replacement", F.expr("substring(url, length(_p) + 1)")), "_seq").alias("rewritten"))
-    return urls.join(first, ["usage", "url"], "left").withColumn("rewritten", F.coalesce("rewritten", "url"))
+    first = first.select(F.col("usage").alias("_usage"), F.col("url").alias("_url"), "rewritten")
+    # a null usage meets the rules for every usage
+    out = urls.join(first, F.col("usage").eqNullSafe(F.col("_usage")) & (F.col("url") == F.col("_url")), "left")
+    return out.select(*[F.col(f"`{c}`") for c in urls.columns], F.coalesce("rewritten", "url").alias("rewritten"))
 
 
 def first_url(entries: DataFrame, kind: str, usage: str = "standard") -> DataFrame:

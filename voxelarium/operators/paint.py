@@ -121,7 +121,7 @@ def render_tiles(spark: SparkSession, width: int, height: int, layers: int, tile
     t = i.select(idiv(F.col("id"), nu * nv).cast("int").alias("w"), (idiv(F.col("id"), nu) % nv).cast("int").alias("tv"), (F.col("id") % nu).cast("int").alias("tu"))
     x0, y0 = F.greatest(F.col("tu") * tile, F.lit(crop.left)), F.greatest(F.col("tv") * tile, F.lit(crop.top))
     x1, y1 = F.least((F.col("tu") + 1) * tile, F.lit(min(width, crop.left + crop.width))), F.least((F.col("tv") + 1) * tile, F.lit(min(height, crop.top + crop.height)))
-    return t.select("*", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")).where("x0 < x1 AND y0 < y1")
+    return t.select("*", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")).where("x0 < x1 AND y0 < y1").orderBy("w", "tv", "tu")
 
 
 def lines(segments: DataFrame, key: list[str]) -> DataFrame:

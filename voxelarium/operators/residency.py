@@ -69,6 +69,16 @@ def fetch_plan(needs: DataFrame) -> DataFrame:
     return needs.groupBy("source_key").agg(F.min_by(F.struct("kind", "url", "off", "len"), "chunk").alias("s"), F.countDistinct("chunk").alias("waiters")).select("source_key", "s.*", "waiters")
 
 
+def purge_target(state: DataFrame, cap_bytes: int, chunk_bytes: int, free_bytes: int | None = None, floor_bytes: int = 5 << 30) -> DataFrame:
+    """(resident, target): how many chunks must go.  Down to 80 % of the capacity once above 95 %, and enough to leave
+    the floor free on disk where free_bytes is known."""
+    capacity = cap_bytes // chunk_bytes
+    n = F.col("resident")
+    target = F.when(n > capacity * 95 // 100, n - capacity * 80 // 100).otherwise(0)
+    short = -(-(floor_bytes - free_bytes) // chunk_bytes) if free_bytes is not None and free_bytes < floor_bytes else 0
+    return state.where("state = 1").agg(F.count("*").alias("resident")).withColumn("target", F.greatest(target, F.lit(short)).cast("long"))
+
+
 def age(current: int, epoch: str = "access_epoch") -> Column:
     return F.pmod(F.lit(current) - F.col(epoch), F.lit(EPOCHS))
 

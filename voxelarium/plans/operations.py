@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxelarium.functions.voxel import cache_key, http_outcome, url_host, volume_key
 from voxelarium.model import View
 from voxelarium.operators import catalog, graph, paint, residency, telemetry
-from voxelarium.sources.derived import CE, EV, VL, chunk_state, label_volume, table
+from voxelarium.sources.derived import CE, EV, VE, VL, chunk_state, embedding_volume, label_volume, table
 from voxelarium.sources.derived import telemetry as events
 
 QUERIES, ORACLES = {}, {}
@@ -72,12 +72,15 @@ def epoch_histogram(spark, sf):
     return residency.histogram(chunk_state(spark, sf))
 
 
+CAPACITY, FREE, FLOOR = 6000, 100, 900
+
+
 @query(f"""WITH {CE}, t AS (SELECT count(*) AS resident FROM ce WHERE state = 1)
-SELECT resident, greatest(CASE WHEN resident > 6000 * 95 // 100 THEN resident - 6000 * 80 // 100 ELSE 0 END, 0) AS target FROM t""")
+SELECT resident, CASE WHEN resident > {CAPACITY} * 95 // 100 THEN resident - {CAPACITY} * 80 // 100 ELSE 0 END AS by_capacity, greatest(CASE WHEN resident > {CAPACITY} * 95 // 100 THEN resident - {CAPACITY} * 80 // 100 ELSE 0 END, {FLOOR - FREE}) AS target FROM t""")
 def purge_target(spark, sf):
-    capacity = 6000
-    r = chunk_state(spark, sf).where("state = 1").agg(F.count("*").alias("resident"))
-    return r.select("resident", F.when(F.col("resident") > capacity * 95 // 100, F.col("resident") - capacity * 80 // 100).otherwise(0).cast("long").alias("target"))
+    state = chunk_state(spark, sf)
+    plenty = residency.purge_target(state, CAPACITY, 1).withColumnRenamed("target", "by_capacity")
+    return plenty.join(residency.purge_target(state, CAPACITY, 1, FREE, FLOOR), "resident")
 
 
 @query(f"""WITH {CE}, h AS (SELECT (({CURRENT} - access_epoch) % 256 + 256) % 256 AS age, count(*) AS n FROM ce WHERE state = 1 GROUP BY 1),
@@ -259,18 +262,17 @@ def latest_access_epoch(spark, sf):
     return residency.latest(a, ["idx"])
 
 
-@query("""WITH ve AS (SELECT CAST(vec_id AS INT) AS z, CAST(k // 8 AS INT) AS y, CAST(k % 8 AS INT) AS x, CAST(least(greatest(floor((CAST(e AS DOUBLE) + 1) * 127.5), 0), 255) AS INT) AS v FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(len(embedding))) AS k FROM embeddings))
-SELECT x, y, z, v FROM ve WHERE z < 64""")
+@query(f"WITH {VE} SELECT x, y, z, v FROM ve")
 def native_assembly(spark, sf):
     """Cache chunks of 16 voxels assembled from native chunks of 5 x 3 x 7 and read back as voxels."""
     import numpy as np
     import pyarrow as pa
 
     from voxelarium.operators import sample
-    from voxelarium.sources.derived import embedding_volume
 
-    sides, shape = (5, 3, 7), (8, 8, 64)
-    v = embedding_volume(spark, sf, (0, 63)).select(*[F.floor(F.col(a) / s).cast("int").alias(f"n{a}") for a, s in zip("xyz", sides, strict=True)], (((F.col("z") % 7) * 3 + F.col("y") % 3) * 5 + F.col("x") % 5).alias("at"), "v")
+    planes = embedding_volume(spark, sf).agg(F.max("z")).first()[0] + 1
+    sides, shape = (5, 3, 7), (8, 8, planes)
+    v = embedding_volume(spark, sf).select(*[F.floor(F.col(a) / s).cast("int").alias(f"n{a}") for a, s in zip("xyz", sides, strict=True)], (((F.col("z") % 7) * 3 + F.col("y") % 3) * 5 + F.col("x") % 5).alias("at"), "v")
 
     def dense(t: pa.Table) -> pa.Table:
         block = np.zeros(105, np.uint8)
@@ -278,5 +280,5 @@ def native_assembly(spark, sf):
         return pa.table({**{c: pa.array([t.column(c)[0].as_py()], pa.int32()) for c in ("nx", "ny", "nz")}, "bytes": pa.array([block.tobytes()], pa.binary())})
 
     native = v.groupBy("nx", "ny", "nz").applyInArrow(dense, "nx int, ny int, nz int, bytes binary")
-    wanted = spark.range(4).select(F.lit(0).alias("cx"), F.lit(0).alias("cy"), F.col("id").cast("int").alias("cz"))
-    return sample.to_voxels(residency.assemble(wanted, native, sides, shape, 16), 4).where("x < 8 AND y < 8 AND z < 64")
+    wanted = spark.range(-(-planes // 16)).select(F.lit(0).alias("cx"), F.lit(0).alias("cy"), F.col("id").cast("int").alias("cz"))
+    return sample.to_voxels(residency.assemble(wanted, native, sides, shape, 16), 4).where((F.col("x") < 8) & (F.col("y") < 8) & (F.col("z") < planes))

@@ -251,7 +251,7 @@ def _formula(x: str, y: str, z: str) -> str:
 
 def _around(spark, sf, offsets):
     """The dense volume restricted to the voxels around the mesh of the pixels."""
-    t = triangles(grid_surface(spark, sf).where("r < 62"))
+    t = triangles(grid_surface(spark, sf))
     n = mesh.face_normals(t).select("tri_id", "nx", "ny", "nz")
     at = mesh.locate(_uv_pixels(spark), ["px", "py"], t).join(n, "tri_id").withColumn("w", F.explode(F.array(*map(F.lit, offsets))))
     places = at.select(*[F.greatest((F.col(a) + F.col("w") * F.col(f"n{a}")).cast("int"), F.lit(0)).alias(a) for a in "xyz"])
@@ -272,7 +272,7 @@ def mesh_uv_composite(spark, sf):
 
 @query(f"WITH {TM}, {_ON} SELECT px, py, CAST(CASE WHEN abs(x - 300.0) < 2.0 THEN 0 ELSE CASE WHEN abs(y - 200.0) < 2.0 THEN 255 ELSE 0 END END AS INT) AS r, CAST(CASE WHEN abs(x - 300.0) < 2.0 OR abs(y - 200.0) < 2.0 THEN 0 ELSE 255 END AS INT) AS g, CAST(CASE WHEN abs(x - 300.0) < 2.0 THEN 255 ELSE 0 END AS INT) AS b FROM o WHERE abs(x - 300.0) < 2.0 OR abs(y - 200.0) < 2.0 OR abs(z - 1128.0) < 2.0")
 def uv_iso_outline(spark, sf):
-    at = mesh.locate(_uv_pixels(spark), ["px", "py"], triangles(grid_surface(spark, sf).where("r < 62")))
+    at = mesh.locate(_uv_pixels(spark), ["px", "py"], triangles(grid_surface(spark, sf)))
     out = at.withColumn("c", mesh.iso_color(F.col("x"), F.col("y"), F.col("z"), (300.0, 200.0, 1128.0))).where("c IS NOT NULL")
     return out.select("px", "py", "c.r", "c.g", "c.b")
 

@@ -102,8 +102,12 @@ def points(voxels: DataFrame, path: str, by: str = "v") -> None:
 
 
 def store_chunks(chunks: DataFrame, path: str, key: tuple[str, ...] = ("volume_id", "lod", "cx", "cy", "cz")) -> DataFrame:
-    """Append the chunks that the store does not hold yet; returns every key offered with its outcome."""
+    """Append the chunks that the store does not hold yet; returns every key offered with its outcome.
+
+    A key offered several times is written once: the chunk with bytes, of several the least.
+    """
     spark = chunks.sparkSession
+    chunks = chunks.groupBy(*key).agg(F.min("bytes").alias("bytes"))
     try:
         held = spark.read.parquet(path).select(*key, F.col("bytes").isNull().alias("_empty"))
     except Exception as e:  # noqa: BLE001
