@@ -228,4 +228,18 @@ def remove_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
 
 
 def op6_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return remove_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, i, list_slice(w, i, i + 12) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT k, min(doc_id) AS first FROM g GROUP BY k),
+h AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM (SELECT g.doc_id, g.i FROM g JOIN f ON f.k = g.k WHERE f.first < g.doc_id)),
+w AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM w ANTI JOIN h ON w.doc_id = h.doc_id AND w.p = h.p GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+"""

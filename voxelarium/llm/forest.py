@@ -389,3 +389,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op2_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("k1", "k2")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, list_slice(w, i, i + 4) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+cc(id, m) USING KEY (id) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, min(cc.m) FROM cc JOIN e ON e.a = cc.id JOIN recurring.cc r ON r.id = e.b WHERE cc.m < r.m GROUP BY e.b)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, cc.m AS component_id, d.doc_id = cc.m AS kept FROM d JOIN cc ON cc.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""

@@ -244,3 +244,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: in
 
 def op8_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+cc(id, m) USING KEY (id) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, min(cc.m) FROM cc JOIN l ON l.a = cc.id JOIN recurring.cc r ON r.id = l.b WHERE cc.m < r.m GROUP BY l.b)
+SELECT v.vec_id, CAST((SELECT count(*) FROM l WHERE l.a = v.vec_id) AS BIGINT) AS n_links, cc.m AS component_id, v.vec_id = cc.m AS kept FROM v JOIN cc ON cc.id = v.vec_id
+"""

@@ -16,4 +16,12 @@ QUERIES = {
     "op9_language": language.op9_language,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
-ORACLES: dict[str, str] = {"op1_pareto_mix": mixing.SQL, "op3_temporal_list": urllist.SQL, "op10_decontamination": decontaminate.SQL}
+ORACLES: dict[str, str] = {
+    "op1_pareto_mix": mixing.SQL,
+    "op2_lsh_forest": forest.SQL,
+    "op3_temporal_list": urllist.SQL,
+    "op5_suffix_dedup": suffix.SQL,
+    "op6_debruijn_dedup": debruijn.SQL,
+    "op8_sorted_projections": projections.SQL,
+    "op10_decontamination": decontaminate.SQL,
+}

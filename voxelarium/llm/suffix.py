@@ -329,4 +329,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+
+
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, h, len(h) // 2 AS n FROM d),
+g AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(n - 399)) AS i FROM b WHERE n >= 400)),
+r AS (SELECT k FROM g GROUP BY k HAVING count(*) > 1),
+s AS (SELECT g.doc_id, g.i FROM g SEMI JOIN r ON r.k = g.k),
+j AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM s),
+c AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM j),
+x AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS e FROM c GROUP BY doc_id, run),
+y AS (SELECT doc_id, a, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM x),
+z AS (SELECT y.doc_id, sum(e - a) AS gone, count(*) AS spans, string_agg(substr(b.h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS front, max(e) AS last FROM y JOIN b ON b.doc_id = y.doc_id GROUP BY y.doc_id)
+SELECT b.doc_id, CAST(b.n AS BIGINT) AS n_bytes, CAST(coalesce(z.gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(z.spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(z.front, '') || substr(b.h, 2 * coalesce(z.last, 0) + 1))) AS kept_sha256
+FROM b LEFT JOIN z ON z.doc_id = b.doc_id
+"""
