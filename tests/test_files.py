@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxelarium.operators import catalog, graph, mesh, residency
 from voxelarium.sinks import images
-from voxelarium.sources import codecs, formats, tiff, zarr
+from voxelarium.sources import codecs, formats, store, tiff, zarr
 from voxelarium.sources.formats import synthetic
 
 
@@ -177,6 +177,121 @@ def test_store_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store")).count() == 2
 
 
+def test_a_chunk_offered_twice_is_written_once(spark, tmp_path):
+    c = spark.createDataFrame([("v", 0, 1, 0, 0, bytearray(b"a")), ("v", 0, 1, 0, 0, bytearray(b"a")), ("v", 0, 2, 0, 0, None)], "volume_id string, lod int, cx int, cy int, cz int, bytes binary")
+    assert sorted((r.cx, r.outcome) for r in images.store_chunks(c, str(tmp_path / "store")).collect()) == [(1, "Wrote"), (2, "Wrote")]
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 2
+    assert sorted((r.cx, r.outcome) for r in images.store_chunks(c, str(tmp_path / "store")).collect()) == [(1, "AlreadyResident"), (2, "AlreadyEmpty")]
+
+
+def test_tiles_written_in_place(spark, tmp_path):
+    image = np.fromfunction(lambda y, x: (7 * x + 13 * y) % 251, (40, 56)).astype(np.uint8)
+    rows = [(w, x, y, int(image[y, x]) if w else 255 - int(image[y, x])) for w in (0, 3) for y in range(40) for x in range(56)]
+    tiled = images.tiles(spark.createDataFrame(rows, "w int, px int, py int, value int"), 16)
+    out = images.write_layers(tiled, f"file://{tmp_path}/out", 56, 40, 16, "text")
+    assert [(r.w, r.name, r.tiles) for r in out.orderBy("w").collect()] == [(0, "00000.tif", 12), (3, "00003.tif", 12)]
+    assert (tiff.read((tmp_path / "out/00003.tif").read_bytes())[0] == image).all() and (tiff.read((tmp_path / "out/00000.tif").read_bytes())[0] == 255 - image).all()
+    with pytest.raises(ValueError):
+        images.write_layers(tiled.where("tu > 0"), str(tmp_path / "short"), 56, 40, 16)
+    for big in (False, True):
+        header, first = tiff.tiled_header(40, 24, 16, "d", big)
+        padded = np.pad(image, ((0, 8), (0, 8)))
+        data = header + b"".join(padded[y : y + 16, x : x + 16].tobytes() for y in (0, 16) for x in (0, 16, 32))
+        assert first == len(header) and (tiff.read(data)[0] == image[:24, :40]).all()
+
+
+class Counting:
+    """A store that counts what is asked of it."""
+
+    def __init__(self, have):
+        self.have, self.asked = have, []
+
+    def read(self, name):
+        self.asked.append(name)
+        return self.have.get(name)
+
+    def read_range(self, name, start, size):
+        self.asked.append((name, start, size))
+        data = self.have.get(name)
+        return data and (data[start:][:size] if start >= 0 else data[max(0, len(data) + start) :][:size])
+
+    def write(self, name, data):
+        self.have[name] = data
+
+
+def test_stores(tmp_path):
+    inner = Counting({"a/b": b"0123456789"})
+    kept = store.Kept(inner, store.Folder(str(tmp_path)))
+    for _ in range(3):
+        assert kept.read("a/b") == b"0123456789" and kept.read("none") is None and kept.read_range("a/b", -3, 2) == b"78" and kept.read_range("no", 0, 1) is None
+    assert inner.asked == ["a/b", "none", ("a/b", -3, 2), ("no", 0, 1)]
+    for s in (store.store_of(str(tmp_path)), store.store_of(f"file://{tmp_path}"), store.Remote(f"file://{tmp_path}")):
+        assert s.read("a/b") == b"0123456789" and s.read("x/y") is None and s.read_range("a/b", 2, 3) == b"234" and s.read_range("a/b", -4, 2) == b"67"
+        s.write("n/m", b"new")
+        assert s.read("n/m") == b"new"
+
+
+def test_a_shard_is_read_by_ranges():
+    meta = zarr.ArrayMeta((4, 2, 2), (2, 2, 2), {"id": "zstd"}, 0, "/", 3, (4, 2, 2), "end")
+    a, b = (zstandard.compress(bytes([k] * 8)) for k in (1, 2))
+    inner = Counting({"c/0/0/0": a + b + struct.pack("<QQQQ", 0, len(a), len(a), len(b)) + bytes(4)})
+    assert list(zarr.stored(meta, inner, (0, 0, 0), lambda at: at == (1, 0, 0))) == [((1, 0, 0), bytes([2] * 8))]
+    assert inner.asked == [("c/0/0/0", -36, 32), ("c/0/0/0", len(a), len(b))]
+    assert list(zarr.stored(meta, inner, (9, 0, 0))) == [] and list(zarr.stored(meta, inner, (0, 0, 0), lambda at: False)) == []
+
+
+def test_purge_as_a_job(spark):
+    class Log:
+        def evict(self, victims):
+            self.seen = sorted((r.volume_id, r.idx, r.batch) for r in victims.collect())
+
+    log = Log()
+    state = spark.createDataFrame([(0, i, 1, e) for i, e in enumerate([10] * 5 + [20] * 3 + [40] * 9)] + [(1, 0, 2, 10)], "volume_id int, idx int, state int, access_epoch int")
+    after = residency.purge(state, 40, 16, 1, targets=(log,))
+    assert log.seen == [(0, i, 0) for i in range(5)]
+    assert sorted((r.volume_id, r.idx, r.state) for r in after.collect()) == [(0, i, 0 if i < 5 else 1) for i in range(17)] + [(1, 0, 2)]
+    assert residency.purge(state, 40, 100, 1) is state
+    assert residency.victims(state, 40, 100).isEmpty()
+
+
+def test_a_loading_plan_composes_its_transforms(spark):
+    from voxelarium.model import Affine
+
+    r = Affine(((2.0, 0.0, 0.5, 1.0), (0.0, 2.0, 0.0, 2.0), (0.0, 0.25, 2.0, 3.0)))
+    edges = spark.createDataFrame([("a", "b", 1, [float(x) for row in r.rows for x in row]), ("a", "b", 2, [0.0] * 12), ("a", "a", 0, [9.0] * 12)], "source string, target string, seq int, matrix array<double>")
+    segments = spark.createDataFrame([("s", "a", 4.0, None), ("t", "a", None, None)], "segment_id string, original_volume_id string, downscale double, current_volume_id string")
+    wanted = spark.createDataFrame([("s", "b"), ("s", None), ("t", "b"), ("t", "a"), ("t", "c")], "segment_id string, volume_id string")
+    got = {(x.segment_id, x.volume_id): (x.matrix, x.uv_scale) for x in catalog.load_plan(wanted, segments, edges).collect()}
+    both = [float(x) for row in Affine.uniform(4.0).then(r).rows for x in row]
+    assert got["s", "b"][0] == both and got["s", "b"][1] == pytest.approx(r.scale())
+    assert got["s", "a"] == ([4.0, 0, 0, 0, 0, 4.0, 0, 0, 0, 0, 4.0, 0], 1.0)
+    assert got["t", "b"][0] == [float(x) for row in r.rows for x in row] and got["t", "a"] == got["t", "c"] == (None, 1.0)
+
+
+def test_components_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 4)
+    rng = np.random.default_rng(5)
+    grid = rng.integers(0, 3, (11, 9, 10))
+    want = np.arange(grid.size).reshape(grid.shape)
+    while True:
+        before = want.copy()
+        for axis in range(3):
+            a, b = [slice(None)] * 3, [slice(None)] * 3
+            a[axis], b[axis] = slice(None, -1), slice(1, None)
+            a, b = tuple(a), tuple(b)
+            low = np.where(grid[a] == grid[b], np.minimum(want[a], want[b]), want[a])
+            want[a] = np.minimum(want[a], low)
+            want[b] = np.where(grid[a] == grid[b], np.minimum(want[a], want[b]), want[b])
+        if (want == before).all():
+            break
+    v = spark.createDataFrame([(x, y, z, int(grid[z, y, x])) for z, y, x in np.ndindex(*grid.shape)] + [(0, 0, 0, int(grid[0, 0, 0]))], "x int, y int, z int, v int")
+    got = {(r.z, r.y, r.x): r.component for r in graph.components(v).collect()}
+    groups = {}
+    for at in np.ndindex(*grid.shape):
+        groups.setdefault(want[at], set()).add(got[at])
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
 def test_components_by_hand(spark):
     v = spark.createDataFrame([(0, 0, 0, 1), (1, 0, 0, 1), (2, 0, 0, 2), (3, 0, 0, 1), (3, 1, 0, 1), (0, 5, 5, 9)], "x int, y int, z int, v int")
     assert sorted(r.n for r in graph.sizes(graph.components(v)).collect()) == [1, 1, 2, 2]

@@ -25,6 +25,20 @@ def clamp(x: Column, low, high) -> Column:
     return F.least(F.greatest(x, lit(low)), lit(high))
 
 
+# ---- transforms as arrays of twelve numbers, row by row ----
+def affine_then(first: Column, after: Column) -> Column:
+    """The map that applies one transform and then another; a null one changes nothing."""
+    a, b = (lambda i, j: first[4 * i + j]), (lambda i, j: after[4 * i + j])
+    cells = [b(i, 0) * a(0, j) + b(i, 1) * a(1, j) + b(i, 2) * a(2, j) + (b(i, 3) if j == 3 else F.lit(0.0)) for i in range(3) for j in range(4)]
+    return F.when(first.isNull(), after).when(after.isNull(), first).otherwise(F.array(*cells))
+
+
+def affine_scale(m: Column) -> Column:
+    """Mean length of the images of the axes; 1 without a transform."""
+    axis = [F.sqrt(m[j] * m[j] + m[4 + j] * m[4 + j] + m[8 + j] * m[8 + j]) for j in range(3)]
+    return F.when(m.isNull(), 1.0).otherwise((axis[0] + axis[1] + axis[2]) / 3.0)
+
+
 # ---- addresses ----
 def chunk_of(x: Column, bits: int = 6) -> Column:
     return F.shiftright(x, bits)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelarium.functions.voxel import url_join
+from voxelarium.functions.voxel import affine_scale, affine_then, url_join
 
 
 def by_scroll(segments: DataFrame, last_run_only: bool = False) -> DataFrame:
@@ -88,6 +88,34 @@ def geometry(entries: DataFrame, usage: str = "standard") -> DataFrame:
     return out.withColumn("downloadable", F.col("grid_url").isNotNull() | F.col("mesh_url").isNotNull())
 
 
+def lookup(segments: DataFrame, volumes: DataFrame, scans: DataFrame) -> DataFrame:
+    """Segments with their original volume and its scan; null where a record is missing."""
+    return segments.join(volumes, segments["original_volume_id"] == volumes["volume_id"], "left").join(scans, "scan_id", "left")
+
+
+def first_edges(edges: DataFrame) -> DataFrame:
+    """The first direct transform (source, target, matrix) of each pair of different volumes, by seq."""
+    return edges.where("source <> target").groupBy("source", "target").agg(F.min_by("matrix", "seq").alias("matrix"))
+
+
+def load_plan(wanted: DataFrame, segments: DataFrame, edges: DataFrame) -> DataFrame:
+    """(segment_id, volume_id, matrix, uv_scale) of segments to be shown in a volume (null: their original one).
+
+    matrix maps stored coordinates to the volume: the segment's downscaling first (segments: segment_id,
+    original_volume_id, downscale or null, current_volume_id or null), then the registration into the volume where it
+    is another one; null where neither applies.  uv_scale is the mean scale of the transform from the volume now shown
+    (current_volume_id) to the wanted one, 1 where there is none.
+    """
+    s = wanted.join(segments, "segment_id").withColumn("volume_id", F.coalesce("volume_id", "original_volume_id"))
+    s = s.withColumn("_from", F.coalesce("current_volume_id", "original_volume_id"))
+    e = first_edges(edges)
+    edge = lambda a, out: e.select(F.col("source").alias(a), F.col("target").alias("volume_id"), F.col("matrix").alias(out))
+    s = s.join(edge("original_volume_id", "_r"), ["original_volume_id", "volume_id"], "left").join(edge("_from", "_s"), ["_from", "volume_id"], "left")
+    zero, d = F.lit(0.0), F.col("downscale")
+    down = F.when(d.isNotNull(), F.array(*[d if i == j else zero for i in range(3) for j in range(4)]))
+    return s.select("segment_id", "volume_id", affine_then(down, F.col("_r")).alias("matrix"), affine_scale(F.col("_s")).alias("uv_scale"))
+
+
 def direct_transform(edges: DataFrame, source: str, target: str) -> DataFrame:
     """The matrix of the first direct edge (source, target, matrix, seq) between two different volumes."""
     if source == target:

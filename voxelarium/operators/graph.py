@@ -2,43 +2,17 @@
 
 from __future__ import annotations
 
-import gc
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelarium.shared import cut, delete, folder
+
 #: Voxels along each side of a block that is labelled in one task.
 BLOCK = 64
 
 
-class _Cuts:
-    """Tables in the folder the cluster names for checkpoints, so that lineage ends there; old rounds are deleted."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "voxelarium-shared")
-        self.folder = f"{folder}/components/{uuid.uuid4().hex}"
-        self.n = 0
-
-    def cut(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.folder}/{self.n}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, rounds: range) -> None:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for n in rounds:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}")
-            path.getFileSystem(conf).delete(path, True)
-        gc.collect()
-
-
 def _local(t: pa.Table) -> pa.Table:
     """The least id reachable within a block of each of its voxels."""
     x, y, z, id_ = (np.asarray(t.column(c).combine_chunks()).astype(np.int64) for c in ("x", "y", "z", "id"))
@@ -80,9 +54,10 @@ def components(voxels: DataFrame, rounds: int = 100) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in voxels.schema.fields}
     v = voxels.select("x", "y", "z", "v").withColumn("id", F.shiftleft(F.shiftleft(F.col("z").cast("long"), 20) + F.col("y"), 20) + F.col("x"))
     block = [F.floor(F.col(c) / BLOCK).alias(f"_{c}") for c in "xyz"]
-    cuts = _Cuts(voxels.sparkSession)
+    spark = voxels.sparkSession
+    home = folder(spark, "components")
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("x", "y", "z", "v")) + ", id long, root long"
-    v = cuts.cut(v.select("*", *block).groupBy("_x", "_y", "_z").applyInArrow(_local, schema))
+    v = cut(v.select("*", *block).groupBy("_x", "_y", "_z").applyInArrow(_local, schema), "", f"{home}/blocks")
     edges = None
     for axis in "xyz":
         # the voxels on both sides of the faces between blocks
@@ -90,17 +65,17 @@ def components(voxels: DataFrame, rounds: int = 100) -> DataFrame:
         other = v.where(face == 0).select(*[(F.col(c) - 1 if c == axis else F.col(c)).alias(c) for c in "xyz"], "v", F.col("root").alias("b"))
         e = v.where(face == BLOCK - 1).select("x", "y", "z", "v", F.col("root").alias("a")).join(other, ["x", "y", "z", "v"]).select("a", "b")
         edges = e if edges is None else edges.unionByName(e)
-    e = cuts.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "", f"{home}/0")
     if e.isEmpty():
         return v.select("x", "y", "z", "v", F.col("root").alias("component"))
     before = None
-    for _ in range(rounds):
+    for k in range(1, rounds + 1):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = cuts.cut(e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        cuts.drop(range(cuts.n - 1, cuts.n))
+        e = cut(e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "", f"{home}/{k}")
+        delete(spark, f"{home}/{k - 1}")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

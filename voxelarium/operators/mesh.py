@@ -54,14 +54,17 @@ def barycentric():
     return b1, b2, 1.0 - b1 - b2
 
 
-def locate(points: DataFrame, key: list[str], tri: DataFrame, size: float = 4.0) -> DataFrame:
-    """points (key, u, v) with the triangle painted last there (the largest tri_id) and x, y, z; others drop out."""
+def locate(points: DataFrame, key: list[str], tri: DataFrame, size: float = 4.0, also: tuple[str, ...] = ()) -> DataFrame:
+    """points (key, u, v) with the triangle painted last there (the largest tri_id) and x, y, z; others drop out.
+
+    also: further quantities of the corners (as x1, x2, x3 are of x) to interpolate.
+    """
     b1, b2, b3 = barycentric()
     hit = point_cells(points, size).join(to_cells(tri, size), ["grid", "cell_u", "cell_v"])
     hit = hit.withColumn("_b", F.array(b1, b2, b3)).where(F.col("_b")[0].isNotNull() & (F.array_min("_b") >= 0.0))
-    at = [sum((F.col("_b")[i - 1] * F.col(f"{a}{i}") for i in (2, 3)), F.col("_b")[0] * F.col(f"{a}1")).alias(a) for a in "xyz"]
+    at = [sum((F.col("_b")[i - 1] * F.col(f"{a}{i}") for i in (2, 3)), F.col("_b")[0] * F.col(f"{a}1")).alias(a) for a in ("x", "y", "z", *also)]
     hit = hit.select(*key, "u", "v", "tri_id", *at)
-    return hit.groupBy(*key, "u", "v").agg(F.max_by(F.struct("tri_id", "x", "y", "z"), "tri_id").alias("h")).select(*key, "u", "v", "h.*")
+    return hit.groupBy(*key, "u", "v").agg(F.max_by(F.struct("tri_id", "x", "y", "z", *also), "tri_id").alias("h")).select(*key, "u", "v", "h.*")
 
 
 def transformed(tri: DataFrame, a: Affine) -> DataFrame:
@@ -100,18 +103,28 @@ def orthographic(tri: DataFrame) -> DataFrame:
     return out.withColumns({"nx": F.lit(0.0), "ny": F.lit(1.0), "nz": F.lit(0.0)}).drop("_x0", "_z0")
 
 
-def paint_uv(pixels: DataFrame, tri: DataFrame, voxels: DataFrame, w: float = 0.0, extent=(1 << 30,) * 3) -> DataFrame:
-    """(px, py, value) of pixels (px, py, u, v) under a mesh, w along the face normal; pixels off the mesh drop out."""
-    n = face_normals(tri).select("tri_id", "nx", "ny", "nz")
-    at = locate(pixels, ["px", "py"], tri).join(n, "tri_id")
+NORMAL = ("nx", "ny", "nz")
+
+
+def with_normals(pixels: DataFrame, tri: DataFrame) -> DataFrame:
+    """pixels (px, py, u, v) on a mesh with x, y, z and a normal: that of the corners (nx1 .. nz3) interpolated as it is
+    where the mesh has them, else the face's."""
+    if "nx1" in tri.columns:
+        return locate(pixels, ["px", "py"], tri, also=NORMAL)
+    return locate(pixels, ["px", "py"], tri).join(face_normals(tri).select("tri_id", *NORMAL), "tri_id")
+
+
+def paint_uv(pixels: DataFrame, tri: DataFrame, voxels: DataFrame, w: float = 0.0, extent=(1 << 30,) * 3, trilinear: bool = False) -> DataFrame:
+    """(px, py, value) of pixels (px, py, u, v) under a mesh, w along the normal; pixels off the mesh drop out."""
+    at = with_normals(pixels, tri)
     at = at.select("px", "py", *[(F.col(a) + w * F.col(f"n{a}")).alias(f"s{a}") for a in "xyz"])
-    return sample.nearest(at, voxels, extent).select("px", "py", "value")
+    hit = sample.trilinear_q8(at, ["px", "py"], voxels, extent) if trilinear else sample.nearest(at, voxels, extent)
+    return hit.select("px", "py", "value")
 
 
 def composite_uv(pixels: DataFrame, tri: DataFrame, voxels: DataFrame, c: Compositing, overlay: DataFrame | None = None, w: int = 0) -> DataFrame:
-    """(px, py, value): rays along the face normals, folded."""
-    n = face_normals(tri).select("tri_id", *[F.col(f"n{a}").alias(f"d{a}") for a in "xyz"])
-    at = locate(pixels, ["px", "py"], tri).join(n, "tri_id")
+    """(px, py, value): rays along the normals, folded."""
+    at = with_normals(pixels, tri).withColumnsRenamed({f"n{a}": f"d{a}" for a in "xyz"})
     ray = F.shiftleft(F.col("py").cast("long"), 32) + F.col("px")
     rays = at.select(ray.alias("ray"), *[F.col(a).alias(f"o{a}") for a in "xyz"], "dx", "dy", "dz")
     out = paint.rays(rays, voxels, c, overlay, w=w)

@@ -77,6 +77,38 @@ def rays(surface_points: DataFrame, voxels: DataFrame, c: Compositing, overlay:
     return sample.gather(base, "b").select("ray", fold.composite(c, F.col("samples"), None, len(c.layers(w))).alias("value"))
 
 
+def tinted_rays(surface_points: DataFrame, voxels: DataFrame, overlay: DataFrame, c: Compositing, coloring: Coloring, extent=(1 << 30,) * 3, w: int = 0) -> DataFrame:
+    """(ray, r, g, b): the base folded by its mode, tinted by the largest label along the ray."""
+    most = Compositing("max", in_front=c.in_front, behind=c.behind, reverse=c.reverse)
+    labels = rays(surface_points, overlay, most, extent=extent, w=w).withColumnRenamed("value", "label")
+    both = rays(surface_points, voxels, c, extent=extent, w=w).join(labels, "ray")
+    return both.withColumn("_c", tinted(F.col("value"), F.col("label"), coloring)).select("ray", "_c.r", "_c.g", "_c.b")
+
+
+def slice_levels(levels: DataFrame, view: View, most: int, f: Filter | None = None) -> DataFrame:
+    """(px, py, lod, value) of a plane: each pixel from the finest level that is resident there, filtered; pixels that no
+    level holds drop out, and so does a plane below 0.  A coarse level is painted over by any finer one."""
+    p = view_points(levels.sparkSession, view).where(" AND ".join(f"{a} >= 0" for a in "xyz"))
+    points = p.select("px", "py", *[F.col(a).cast("double").alias(f"s{a}") for a in "xyz"])
+    hit = sample.fallback(points, ["px", "py"], levels, most).where("lod IS NOT NULL")
+    value = filtered(F.col("value"), f) if f else F.col("value")
+    return hit.select("px", "py", "lod", value.cast("int").alias("value"))
+
+
+def levels_overlaid(levels: DataFrame, overlay: DataFrame, view: View, most: int, c: Coloring, f: Filter | None = None) -> DataFrame:
+    """(px, py, r, g, b) of slice_levels under a label volume's colouring."""
+    labels = slice_plane(overlay, view).withColumnRenamed("value", "label")
+    both = slice_levels(levels, view, most, f).join(labels, ["px", "py"], "left")
+    return both.withColumn("_c", tinted(F.col("value"), F.coalesce("label", F.lit(0)), c)).select("px", "py", "_c.r", "_c.g", "_c.b")
+
+
+def outline_raster(segments: DataFrame, key: list[str], radius: int = 1) -> DataFrame:
+    """Distinct pixels (key, px, py, marker) of outline segments (x0, y0, x1, y1) and square markers at their starts."""
+    drawn = lines(segments, key).withColumn("marker", F.lit(False))
+    dots = points(segments.select(*key, F.col("x0").alias("px"), F.col("y0").alias("py")), key, radius).withColumn("marker", F.lit(True))
+    return drawn.unionByName(dots).groupBy(*key, "px", "py").agg(F.max("marker").alias("marker"))
+
+
 def surface_image(spark: SparkSession, grid: DataFrame, voxels: DataFrame, width: int, height: int, scale=(1.0, 1.0), origin=(0.0, 0.0), step: float = 1.0) -> DataFrame:
     """(px, py, value): the volume at the surface point under each pixel, null where there is no surface."""
     p = pixels(spark, width, height).withColumn("u", F.col("px") * step + origin[0]).withColumn("v", F.col("py") * step + origin[1])

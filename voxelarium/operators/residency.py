@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -107,6 +109,55 @@ def purge_report(state: DataFrame, current: int, limit: int) -> DataFrame:
     return breakdown(state, current, limit).withColumn("percent", F.col("victims") * 100.0 / F.col("resident")).orderBy(F.desc("victims"), F.desc("resident"), "volume_id")
 
 
+class PurgeTarget(Protocol):
+    """What holds chunks: told which of them (volume_id, idx, batch) go."""
+
+    def evict(self, victims: DataFrame) -> None: ...
+
+
+def victims(state: DataFrame, current: int, target: int, batch: int = 1024) -> DataFrame:
+    """(volume_id, idx, batch) of the chunks that go so that the target is met: those of the threshold's age or older,
+    in batches of a volume.  None where the target is out of reach."""
+    limit = threshold(state, current, target).select("age_threshold")
+    old = state.where("state = 1").withColumn("_age", age(current)).join(F.broadcast(limit), F.col("_age") >= F.col("age_threshold"))  # one row at most
+    order = Window.partitionBy("volume_id").orderBy("idx")
+    return old.select("volume_id", "idx", idiv(F.row_number().over(order) - 1, batch).cast("int").alias("batch"))
+
+
+def purge(state: DataFrame, current: int, cap_bytes: int, chunk_bytes: int, free_bytes: int | None = None, floor_bytes: int = 5 << 30, targets: tuple[PurgeTarget, ...] = ()) -> DataFrame:
+    """The state after a purge as a whole: how many must go, which, and each of them missing afterwards.  The targets
+    are told before the new state is returned."""
+    n = purge_target(state, cap_bytes, chunk_bytes, free_bytes, floor_bytes).first().target  # one number
+    if not n:
+        return state
+    gone = victims(state, current, n)
+    for t in targets:
+        t.evict(gone)
+    out = state.join(gone.select("volume_id", "idx", F.lit(True).alias("_gone")), ["volume_id", "idx"], "left")
+    return out.select(*[F.when(F.col("_gone"), 0).otherwise(F.col(c)).alias(c) if c == "state" else F.col(c) for c in state.columns])
+
+
+def pending(keys: DataFrame, state: DataFrame, key: list[str]) -> DataFrame:
+    """The keys that are neither resident nor settled as empty yet."""
+    return keys.join(state.where("state <> 0").select(*key), key, "left_anti")
+
+
+def both_groups(base: DataFrame, overlay: DataFrame) -> DataFrame:
+    """Chunks of a base and an overlay volume as one table, tagged by volume."""
+    return base.withColumn("volume", F.lit("base")).unionByName(overlay.withColumn("volume", F.lit("overlay")))
+
+
+def accumulated(histograms: DataFrame) -> DataFrame:
+    """Resident chunks by epoch over volumes; a volume reported several times (volume_id, epochs: map) counts once."""
+    one = histograms.dropDuplicates(["volume_id"]).select(F.explode("epochs").alias("access_epoch", "n"))
+    return one.groupBy("access_epoch").agg(F.sum("n").alias("n"))
+
+
+def touched_once(touches: DataFrame) -> DataFrame:
+    """One touch of a chunk a frame."""
+    return touches.dropDuplicates(["chunk", "frame"])
+
+
 def evict_oldest(items: DataFrame, keep_bytes: int, by: str = "mtime", size: str = "bytes", key: str = "id", buckets: int = 1024) -> DataFrame:
     """The oldest items that must go so that at most keep_bytes stay.
 

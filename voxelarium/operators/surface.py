@@ -78,7 +78,7 @@ def outlines(triangles: DataFrame, axis: str, w: float) -> DataFrame:
         point = F.struct(*[(F.col(f"{b}{i}") + (F.col(f"{b}{j}") - F.col(f"{b}{i}")) * t).alias(b) for b in "xyz"])
         edges.append(F.when(crosses(p, q, w), point))
     cut = near.withColumn("_p", F.filter(F.array(*edges), lambda e: e.isNotNull())).where(F.size("_p") == 2)
-    return cut.select("tri_id", *[F.col("_p")[k][b].alias(f"{b}{k}") for k in (0, 1) for b in "xyz"])
+    return cut.select("tri_id", *[F.get("_p", F.lit(k))[b].alias(f"{b}{k}") for k in (0, 1) for b in "xyz"])
 
 
 def uv_size(rows: int, cols: int, scale: tuple[float, float]) -> tuple[int, int]:

@@ -46,6 +46,15 @@ def statuses(ev: DataFrame) -> DataFrame:
     return ev.groupBy("host", "status").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"))
 
 
+def breakdown(records: DataFrame, by: dict[str, Column]) -> DataFrame:
+    """(dimension, value, n, n_ok) of each named column, null values aside: one pass over the records, with a row a
+    dimension that is summed before the shuffle.  Reasons are cut at their first colon, to 60 characters."""
+    cut = lambda name, c: F.substring(F.substring_index(c, ":", 1), 1, 60) if name == "reason" else c
+    rows = F.array(*[F.struct(F.lit(k).alias("dimension"), cut(k, c.cast("string")).alias("value")) for k, c in by.items()])
+    each = records.select("ok", F.explode(rows).alias("r")).select("ok", "r.*").where("value IS NOT NULL")
+    return each.groupBy("dimension", "value").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"))
+
+
 def slowest(ev: DataFrame, n: int = 10) -> DataFrame:
     total = F.col("wait_ms") + F.col("ttfb_ms") + F.col("body_ms")
     return ev.withColumn("total_ms", total).orderBy(F.desc("total_ms"), "event_id").limit(n)

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from voxelarium.operators import sample
+from voxelarium.shared import folder as _folder
 from voxelarium.sinks import images
 from voxelarium.sources import tiff, zarr
 from voxelarium.sources.derived import EV, VE, embedding_volume
@@ -18,12 +15,6 @@ from voxelarium.streaming import telemetry as stream
 QUERIES, ORACLES = {}, {}
 
 
-def _folder(spark, name: str) -> str:
-    """A folder of our own under the shared one, as a plain path."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "voxelarium-shared")
-    return os.path.join(base.removeprefix("file://").removeprefix("file:"), name, uuid.uuid4().hex)
-
-
 def zarr_roundtrip(spark, sf):
     """The embedding volume written as a blosc-compressed array of 16-voxel chunks and read back."""
     folder = _folder(spark, "zarr")
@@ -62,14 +53,14 @@ ORACLES["tiled_tiff_roundtrip"] = f"WITH {VE} SELECT CAST(z % 5 AS INT) AS w, CA
 
 
 def netlog_stream_daily(spark, sf):
-    """Daily downloads per host from a stream of telemetry lines, in complete mode."""
-    folder = _folder(spark, "telemetry")
+    """Daily downloads per host from a stream of telemetry lines; each result replaces the one before in a table."""
+    folder, out = _folder(spark, "telemetry"), _folder(spark, "daily")
     events(spark, sf).write.json(folder)
-    name = f"daily_{uuid.uuid4().hex[:12]}"
     s = stream.per_window(stream.read(spark, folder))
-    q = s.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", _folder(spark, "stream")).trigger(availableNow=True).start()
+    q = s.writeStream.outputMode("complete").foreachBatch(lambda df, k: df.write.parquet(f"{out}/{k}")).option("checkpointLocation", _folder(spark, "stream")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("date").alias("day"), "host", "n", "bytes")
+    last = q.lastProgress["batchId"]
+    return spark.read.parquet(f"{out}/{last}").select(F.col("start").cast("date").alias("day"), "host", "n", "bytes")
 
 
 QUERIES["netlog_stream_daily"] = netlog_stream_daily

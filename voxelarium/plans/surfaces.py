@@ -195,7 +195,7 @@ def mesh_face_normals(spark, sf):
 
 
 @query(f"""WITH {TM}, b AS (SELECT tri_id, least(x1, x2, x3) lx, greatest(x1, x2, x3) hx, least(y1, y2, y3) ly, greatest(y1, y2, y3) hy, least(z1, z2, z3) lz, greatest(z1, z2, z3) hz FROM tm),
-g AS (SELECT CAST(a AS INT) cx, CAST(b AS INT) cy, CAST(c AS INT) cz FROM range(11) t(a), range(79) u(b), range(20) w(c))
+g AS (SELECT CAST(a AS INT) cx, CAST(b AS INT) cy, CAST(c AS INT) cz FROM range((SELECT max(floor(hx / 64))::BIGINT + 1 FROM b)) t(a), range((SELECT max(floor(hy / 64))::BIGINT + 1 FROM b)) u(b), range((SELECT max(floor(hz / 64))::BIGINT + 1 FROM b)) w(c))
 SELECT cx, cy, cz, count(*) AS n FROM b JOIN g ON floor(lx / 64) <= cx AND floor(hx / 64) >= cx AND floor(ly / 64) <= cy AND floor(hy / 64) >= cy AND floor(lz / 64) <= cz AND floor(hz / 64) >= cz GROUP BY ALL""")
 def aabb_touch(spark, sf):
     t = triangles(grid_surface(spark, sf))
@@ -231,7 +231,7 @@ def _uv_pixels(spark):
 
 
 _ON = """pp AS (SELECT CAST(i % 126 AS INT) px, CAST(i // 126 AS INT) py FROM range(15120) t(i)), p AS (SELECT px, py, px / 2.0::DOUBLE + 0.3125 AS u, py / 2.0::DOUBLE + 0.15625 AS v FROM pp),
-h AS (SELECT p.px, p.py, p.u, p.v, tm.*, (v2 - v3) * (u1 - u3) + (u3 - u2) * (v1 - v3) AS d FROM p JOIN tm ON p.u BETWEEN least(u1, u2, u3) AND greatest(u1, u2, u3) AND p.v BETWEEN least(v1, v2, v3) AND greatest(v1, v2, v3)),
+h AS (SELECT p.px, p.py, p.u, p.v, tm.*, (v2 - v3) * (u1 - u3) + (u3 - u2) * (v1 - v3) AS d FROM p JOIN (SELECT * FROM tm WHERE least(v1, v2, v3) <= 61) tm ON p.u BETWEEN least(u1, u2, u3) AND greatest(u1, u2, u3) AND p.v BETWEEN least(v1, v2, v3) AND greatest(v1, v2, v3)),
 b AS (SELECT *, ((v2 - v3) * (u - u3) + (u3 - u2) * (v - v3)) / d AS b1, ((v3 - v1) * (u - u3) + (u1 - u3) * (v - v3)) / d AS b2 FROM h),
 k AS (SELECT *, 1.0 - b1 - b2 AS b3 FROM b), i AS (SELECT * FROM k WHERE b1 >= 0 AND b2 >= 0 AND b3 >= 0 QUALIFY row_number() OVER (PARTITION BY px, py ORDER BY tri_id DESC) = 1),
 o AS (SELECT px, py, b1 * x1 + b2 * x2 + b3 * x3 AS x, b1 * y1 + b2 * y2 + b3 * y3 AS y, b1 * z1 + b2 * z2 + b3 * z3 AS z,

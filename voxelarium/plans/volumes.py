@@ -67,7 +67,7 @@ _P = "p AS (SELECT p_partkey AS id, (p_partkey % 41) / 4.0::DOUBLE - 1.0 AS sx,
 
 
 @query(f"""WITH {VE}, {_P}, t AS (SELECT id, greatest(CAST(trunc(sx) AS INT), 0) AS tx, greatest(CAST(trunc(sy) AS INT), 0) AS ty, greatest(CAST(trunc(sz) AS INT), 0) AS tz FROM p)
-SELECT id, CAST(CASE WHEN tx >= 8 OR ty >= 8 OR tz >= 500 THEN 0 ELSE coalesce(v, 0) END AS INT) AS value FROM t LEFT JOIN ve ON x = tx AND y = ty AND z = tz""")
+SELECT id, CAST(CASE WHEN tx >= 8 OR ty >= 8 OR tz >= (SELECT max(z) + 1 FROM ve) THEN 0 ELSE coalesce(v, 0) END AS INT) AS value FROM t LEFT JOIN ve ON x = tx AND y = ty AND z = tz""")
 def voxel_lookup_oob(spark, sf):
     return sample.nearest(_points(spark, sf), embedding_volume(spark, sf), _extent(spark, sf)).select("id", F.col("value").cast("int").alias("value"))
 
@@ -92,12 +92,12 @@ o AS (SELECT * FROM (VALUES (0,0,0),(1,0,0),(0,1,0),(1,1,0),(0,0,1),(1,0,1),(0,1
 w AS (SELECT id, CAST(trunc((sx - bx) * 256) AS BIGINT) AS fx, CAST(trunc((sy - byy) * 256) AS BIGINT) AS fy, CAST(trunc((sz - bz) * 256) AS BIGINT) AS fz, bx, byy, bz FROM k),
 s AS (SELECT w.id, sum((CASE dx WHEN 1 THEN fx ELSE 256 - fx END) * (CASE dy WHEN 1 THEN fy ELSE 256 - fy END) * (CASE dz WHEN 1 THEN fz ELSE 256 - fz END) * coalesce(v, 0)) AS t
   FROM w, o LEFT JOIN ve ON x = bx + dx AND y = byy + dy AND z = bz + dz GROUP BY w.id)
-SELECT p.id, CAST(CASE WHEN sx >= 8 OR sy >= 8 OR sz >= 500 THEN 0 ELSE CAST(t AS BIGINT) >> 24 END AS INT) AS value FROM p JOIN s ON p.id = s.id""")
+SELECT p.id, CAST(CASE WHEN sx >= 8 OR sy >= 8 OR sz >= (SELECT max(z) + 1 FROM ve) THEN 0 ELSE CAST(t AS BIGINT) >> 24 END AS INT) AS value FROM p JOIN s ON p.id = s.id""")
 def trilinear_q8(spark, sf):
     return sample.trilinear_q8(_points(spark, sf), ["id"], embedding_volume(spark, sf), _extent(spark, sf)).select("id", "value")
 
 
-@query(ORACLES["trilinear_q8"].replace("CASE WHEN sx >= 8 OR sy >= 8 OR sz >= 500 THEN 0 ELSE CAST(t AS BIGINT) >> 24 END", "CAST(t AS BIGINT) >> 24"))
+@query(ORACLES["trilinear_q8"].replace("CASE WHEN sx >= 8 OR sy >= 8 OR sz >= (SELECT max(z) + 1 FROM ve) THEN 0 ELSE CAST(t AS BIGINT) >> 24 END", "CAST(t AS BIGINT) >> 24"))
 def trilinear_q8_chunk_form(spark, sf):
     """The same stencil over dense 4x4x4 chunks, a kernel per chunk."""
     chunks = sample.to_chunks(embedding_volume(spark, sf), 2)
@@ -127,7 +127,7 @@ def lod_mean_2(spark, sf):
     return lod.halve(lod.halve(embedding_volume(spark, sf)))
 
 
-@query(f"WITH {VE}, l1 AS ({_LOD.format('ve')}) SELECT x, y, z, v FROM l1 WHERE z < 248")
+@query(f"WITH {VE}, l1 AS ({_LOD.format('ve')}) SELECT x, y, z, v FROM l1 WHERE z < (SELECT (max(z) + 1) // 8 * 4 FROM ve)")
 def lod_mean_chunk_form(spark, sf):
     """Means of dense 4x4x4 chunks, back in voxels, over the planes that fill their chunks."""
     v = embedding_volume(spark, sf)

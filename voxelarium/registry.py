@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from voxelarium.plans import files, operations, surfaces, volumes
+from voxelarium.plans import files, formats, operations, rasters, records, surfaces, volumes
 
-QUERIES: dict = {**volumes.QUERIES, **surfaces.QUERIES, **operations.QUERIES, **files.QUERIES}
-ORACLES: dict = {**volumes.ORACLES, **surfaces.ORACLES, **operations.ORACLES, **files.ORACLES}
+QUERIES: dict = {}
+ORACLES: dict = {}
+for plans in (volumes, surfaces, operations, files, rasters, records, formats):
+    QUERIES.update(plans.QUERIES)
+    ORACLES.update(plans.ORACLES)
 FLAGSHIP = "slice_xy"

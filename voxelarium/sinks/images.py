@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import struct
 import zlib
 
@@ -12,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelarium.shared import cut
 from voxelarium.sources import tiff
+from voxelarium.sources.store import plain
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -83,6 +86,45 @@ def layers(tiled: DataFrame, width: int, height: int, tile: int, form: str = "ti
     return tiled.groupBy("w").applyInArrow(run, "w int, name string, content binary")
 
 
+def write_layers(tiled: DataFrame, folder: str, width: int, height: int, tile: int, text: str = "") -> DataFrame:
+    """Tiled TIFFs `WWWWW.tif` of every layer in a mounted folder, from many tasks: (w, name, tiles).
+
+    Tiles are not compressed, so the place of each follows from its number: the driver writes the headers, tasks write
+    their tiles in place, whatever their order, and a task that runs twice writes the same bytes.  No task holds more
+    than a batch of tiles.  A layer with tiles missing raises.
+    """
+    folder = plain(folder)
+    across, down = -(-width // tile), -(-height // tile)
+    header, first = tiff.tiled_header(width, height, tile, text)
+    found = tiled.groupBy("w").agg(F.countDistinct("tu", "tv").alias("tiles")).orderBy("w").collect()  # a row for each layer
+    short = [r.w for r in found if r.tiles != across * down]
+    if short:
+        raise ValueError(f"tiles are missing in layers {short[:5]}")
+    os.makedirs(folder, exist_ok=True)
+    name = "{:05d}.tif".format
+    for r in found:
+        with open(os.path.join(folder, name(r.w)), "wb") as f:
+            f.write(header)
+            f.truncate(first + across * down * tile * tile)
+
+    def run(rows):
+        for r in rows:
+            with open(os.path.join(folder, name(r["w"])), "r+b") as f:
+                f.seek(first + (r["tv"] * across + r["tu"]) * tile * tile)
+                f.write(bytes(r["bytes"]))
+
+    tiled.select("w", "tv", "tu", "bytes").foreachPartition(run)
+    return tiled.sparkSession.createDataFrame([(r.w, name(r.w), r.tiles) for r in found], "w int, name string, tiles long")
+
+
+def every_tile(tiled: DataFrame, width: int, height: int, tile: int) -> DataFrame:
+    """The tiles of each layer with blank ones where there is none."""
+    across, down = -(-width // tile), -(-height // tile)
+    grid = tiled.select("w").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(across * down - 1))))
+    grid = grid.select("w", F.floor(F.col("k") / across).cast("int").alias("tv"), (F.col("k") % across).cast("int").alias("tu"))
+    return grid.join(tiled, ["w", "tv", "tu"], "left").withColumn("bytes", F.coalesce("bytes", F.lit(bytes(tile * tile))))
+
+
 def provenance(spark: SparkSession, arguments: dict, inputs: list[str]) -> str:
     """Arguments with size and sha256 of every input file, as JSON."""
     found = []
@@ -116,7 +158,6 @@ def store_chunks(chunks: DataFrame, path: str, key: tuple[str, ...] = ("volume_i
         held = chunks.select(*key, F.lit(True).alias("_empty")).limit(0)
     keys = chunks.select(*key).join(held, list(key), "left")
     outcome = keys.select(*key, F.when(F.col("_empty"), "AlreadyEmpty").when(~F.col("_empty"), "AlreadyResident").otherwise("Wrote").alias("outcome"))
-    result = outcome.persist()
-    result.count()  # before the store changes
+    result = cut(outcome, "outcomes")  # before the store changes
     chunks.join(held.select(*key), list(key), "left_anti").write.mode("append").partitionBy("volume_id", "lod").parquet(path)
     return result

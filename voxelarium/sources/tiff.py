@@ -110,6 +110,24 @@ def _assemble(body: list[bytes], at: int, entries, big: bool, word: str) -> byte
     return start + b"".join(body) + struct.pack("<Q" if big else "<H", len(entries)) + head + struct.pack("<" + word, 0) + extra
 
 
+def tiled_header(width: int, height: int, tile: int, description: str = "", big: bool | None = None) -> tuple[bytes, int]:
+    """(header, place of the first tile) of a tiled grey byte image whose tiles follow in row order: directory and
+    offsets come first, so that tiles can be written anywhere and in any order."""
+    if tile % 16:
+        raise ValueError("a tile's side is a multiple of 16")
+    n = -(-width // tile) * -(-height // tile)
+    big = width * height >= 2 << 30 if big is None else big
+    word, code = ("Q", 16) if big else ("I", 4)
+
+    def built(first: int) -> bytes:
+        offsets = [first + k * tile * tile for k in range(n)]
+        entries = [(256, 4, [width]), (257, 4, [height]), (258, 3, [8]), (259, 3, [1]), (262, 3, [1]), (270, 2, description.encode() + b"\0"), (277, 3, [1]), (322, 4, [tile]), (323, 4, [tile]), (324, code, offsets), (325, code, [tile * tile] * n)]
+        return _assemble([], 16 if big else 8, entries, big, word)
+
+    first = -(-len(built(0)) // 16) * 16  # its length doesn't depend on the offsets
+    return built(first).ljust(first, b"\0"), first
+
+
 def write(image: np.ndarray, description: str = "") -> bytes:
     """One grey image in a single strip: bytes, 16-bit, or 32-bit floats."""
     bits, form = {"u1": (8, 1), "u2": (16, 1), "f4": (32, 3)}[image.dtype.str[1:]]

@@ -1,12 +1,16 @@
 """Zarr arrays and OME-Zarr groups as a Spark data source of dense chunks.
 
     spark.dataSource.register(ZarrSource)
-    spark.read.format("zarr3d").option("path", folder).load()
+    spark.read.format("zarr3d").option("path", location).load()
 
 gives (lod, cz, cy, cx, bytes), one row per stored chunk; absent chunks have no row.  Filters on lod, cz, cy and cx
 prune the chunks that are opened (with spark.sql.python.filterPushdown.enabled).  Version 2 arrays of bytes with raw,
 blosc, zstd or lz4 chunks are read, and version 3 sharded arrays with raw or zstd sub-chunks; a group's levels come
-from its multiscales.  Paths are local or mounted folders; other stores are read with binaryFile and `decoded`.
+from its multiscales.  Scans with different filters need a load each.  A location is a folder or the url of a store (see store.py); the option `keep` names a folder
+that what is read from a store is kept in.
+
+Chunk names follow from the metadata, so nothing is listed: a task gets a run of places of the grid.  Of a shard its
+index is read, then the wanted sub-chunks, each by its range.  Other stores are read with binaryFile and `decoded`.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from voxelarium.sources.codecs import decode
+from voxelarium.sources.store import Store, plain, store_of
 
 SCHEMA = "lod int, cz int, cy int, cx int, bytes binary"
 
@@ -41,10 +46,21 @@ class ArrayMeta:
 
     @classmethod
     def read(cls, path: str) -> ArrayMeta:
-        old, new = os.path.join(path, ".zarray"), os.path.join(path, "zarr.json")
-        if os.path.exists(new):
-            return cls.v3(json.load(open(new)))
-        return cls.v2(json.load(open(old)))
+        new = _json(path, "zarr.json")
+        if new is not None:
+            return cls.v3(new)
+        old = _json(path, ".zarray")
+        if old is None:
+            raise ValueError(f"{path} holds no array")
+        return cls.v2(old)
+
+    def per_file(self) -> list[int]:
+        """Chunks of a file along each axis."""
+        return [s // c for s, c in zip(self.shard, self.chunks, strict=True)] if self.shard else [1, 1, 1]
+
+    def name(self, index) -> str:
+        """The object of a chunk or shard."""
+        return ("c" + self.separator if self.version == 3 else "") + self.separator.join(map(str, index))
 
     @classmethod
     def v2(cls, m: dict) -> ArrayMeta:
@@ -74,30 +90,37 @@ def shard_index(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw[: n * 16], "<u8").reshape(n, 2).view(np.int64)
 
 
+def _json(path: str, name: str):
+    raw = store_of(path).read(name)
+    return json.loads(raw) if raw is not None else None
+
+
+def _below(path: str, name: str) -> str:
+    return f"{path.rstrip('/')}/{name}"
+
+
 def levels(path: str) -> list[tuple[int, str]]:
-    """(lod, folder) of an array or of a group's published levels."""
-    attrs = None
-    if os.path.exists(os.path.join(path, ".zattrs")):
-        attrs = json.load(open(os.path.join(path, ".zattrs")))
-    elif os.path.exists(os.path.join(path, "zarr.json")):
-        m = json.load(open(os.path.join(path, "zarr.json")))
-        attrs = m.get("attributes", {}).get("ome", m.get("attributes")) if m.get("node_type") == "group" else None
+    """(lod, folder) of an array or of a group's published levels; unpublished ones are left out."""
+    attrs = _json(path, ".zattrs")
+    if attrs is None:
+        m = _json(path, "zarr.json")
+        attrs = m.get("attributes", {}).get("ome", m.get("attributes")) if m and m.get("node_type") == "group" else None
     if attrs and attrs.get("multiscales"):
-        found = [(k, os.path.join(path, d["path"])) for k, d in enumerate(attrs["multiscales"][0]["datasets"])]
-        return [(k, p) for k, p in found if os.path.exists(os.path.join(p, ".zarray")) or os.path.exists(os.path.join(p, "zarr.json"))]
+        found = [(k, _below(path, d["path"])) for k, d in enumerate(attrs["multiscales"][0]["datasets"])]
+        return [(k, p) for k, p in found if _json(p, ".zarray") is not None or _json(p, "zarr.json") is not None]
     return [(0, path)]
 
 
 def sniff(path: str) -> str:
     """What a location holds: ome, zarr, cells, layers, or an error."""
-    if os.path.exists(os.path.join(path, ".zattrs")) and "multiscales" in json.load(open(os.path.join(path, ".zattrs"))):
+    if "multiscales" in (_json(path, ".zattrs") or {}):
         return "ome"
-    if os.path.exists(os.path.join(path, "zarr.json")):
-        m = json.load(open(os.path.join(path, "zarr.json")))
+    m = _json(path, "zarr.json")
+    if m:
         return "zarr" if m.get("node_type") == "array" else "ome"
-    if os.path.exists(os.path.join(path, ".zarray")):
+    if _json(path, ".zarray") is not None:
         return "zarr"
-    names = os.listdir(path)
+    names = os.listdir(plain(path))
     if any(re.fullmatch(r"cell_yxz_\d+_\d+_\d+\.tif", n) for n in names):
         return "cells"
     if any(re.fullmatch(r"\d{5}\.tif", n) for n in names):
@@ -105,14 +128,20 @@ def sniff(path: str) -> str:
     raise ValueError(f"{path} holds no known volume")
 
 
-class _File(InputPartition):
-    def __init__(self, lod: int, folder: str, name: str, index: tuple[int, int, int]):
-        self.lod, self.folder, self.name, self.index = lod, folder, name, index
+#: Grid places of a task, and the most tasks of a level.
+RUN, MOST_TASKS = 64, 1 << 17
+
+
+class _Run(InputPartition):
+    """Places first to last (in z, y, x order) of the box from low to high of a level's chunks or shards."""
+
+    def __init__(self, lod: int, folder: str, low, high, first: int, last: int):
+        self.lod, self.folder, self.low, self.high, self.first, self.last = lod, folder, low, high, first, last
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"]
+        self.path, self.keep = options["path"], options.get("keep")
         self.bounds: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters):
@@ -127,46 +156,62 @@ class _Reader(DataSourceReader):
         test = {"=": lambda a, b: a == b, "in": lambda a, b: a in b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}
         return all(test[op](at[k], v) for k, op, v in self.bounds if k in at)
 
+    def _ends(self, name: str, n: int) -> tuple[int, int]:
+        """First and last wanted place of n on an axis."""
+        low, high = 0, n - 1
+        for k, op, v in self.bounds:
+            if k == name:
+                few = sorted(v) if op == "in" else [v]
+                low = max(low, {"=": few[0], "in": few[0], ">": few[0] + 1, ">=": few[0]}.get(op, low))
+                high = min(high, {"=": few[-1], "in": few[-1], "<": few[-1] - 1, "<=": few[-1]}.get(op, high))
+        return low, high
+
     def partitions(self):
         out = []
         for lod, folder in levels(self.path):
             if not self._wanted(lod=lod):
                 continue
             meta = ArrayMeta.read(folder)
-            pattern = re.compile((r"c/" if meta.version == 3 else "") + re.escape(meta.separator).join([r"(\d+)"] * 3))
-            for top, _, names in os.walk(folder):
-                for n in names:
-                    rel = os.path.relpath(os.path.join(top, n), folder)
-                    m = pattern.fullmatch(rel)
-                    if m:
-                        index = tuple(map(int, m.groups()))
-                        if meta.shard or self._wanted(lod=lod, cz=index[0], cy=index[1], cx=index[2]):
-                            out.append(_File(lod, folder, rel, index))
-        return out or [_File(-1, "", "", (0, 0, 0))]
-
-    def read(self, p: _File) -> Iterator[pa.RecordBatch]:
+            per = meta.per_file()
+            ends = [self._ends(name, -(-n // c)) for name, n, c in zip(("cz", "cy", "cx"), meta.shape, meta.chunks, strict=True)]
+            low, high = ([e[i] // k for e, k in zip(ends, per, strict=True)] for i in (0, 1))
+            total = int(np.prod([max(0, h - l + 1) for l, h in zip(low, high, strict=True)]))
+            run = max(1 if meta.shard else RUN, -(-total // MOST_TASKS))
+            out += [_Run(lod, folder, low, high, i, min(i + run, total)) for i in range(0, total, run)]
+        return out or [_Run(-1, "", (), (), 0, 0)]
+
+    def read(self, p: _Run) -> Iterator[pa.RecordBatch]:
         if p.lod < 0:
             return
-        meta = ArrayMeta.read(p.folder)
-        for at, raw in chunks_of(meta, p.index, open(os.path.join(p.folder, p.name), "rb").read()):
-            if self._wanted(lod=p.lod, cz=at[0], cy=at[1], cx=at[2]):
+        meta, store = ArrayMeta.read(p.folder), store_of(p.folder, os.path.join(self.keep, str(p.lod)) if self.keep else None)
+        sides = [h - l + 1 for l, h in zip(p.low, p.high, strict=True)]
+        for i in range(p.first, p.last):
+            index = tuple(int(k) + l for k, l in zip(np.unravel_index(i, sides), p.low, strict=True))
+            for at, raw in stored(meta, store, index, lambda at: self._wanted(lod=p.lod, cz=at[0], cy=at[1], cx=at[2])):
                 yield pa.RecordBatch.from_pydict({"lod": [p.lod], "cz": [at[0]], "cy": [at[1]], "cx": [at[2]], "bytes": [raw]}, pa.schema([("lod", pa.int32()), ("cz", pa.int32()), ("cy", pa.int32()), ("cx", pa.int32()), ("bytes", pa.binary())]))
 
 
-def chunks_of(meta: ArrayMeta, index, data: bytes) -> Iterator[tuple[tuple[int, int, int], bytes]]:
-    """(chunk index, decoded bytes) of a chunk file, or of every sub-chunk present in a shard."""
-    size = int(np.prod(meta.chunks))
+def stored(meta: ArrayMeta, store: Store, index: tuple[int, int, int], wanted=lambda at: True) -> Iterator[tuple[tuple[int, int, int], bytes]]:
+    """(chunk index, decoded bytes) of a chunk file, or of the wanted sub-chunks of a shard: the index first, then each
+    by its range."""
+    size, name = int(np.prod(meta.chunks)), meta.name(index)
     if not meta.shard:
-        yield tuple(index), decode(data, meta.compressor, size)
+        data = store.read(name) if wanted(index) else None
+        if data is not None:
+            yield index, decode(data, meta.compressor, size)
+        return
+    per = meta.per_file()
+    places = [tuple(int(i * p + s) for i, p, s in zip(index, per, sub, strict=True)) for sub in np.ndindex(*per)]
+    some = [k for k, at in enumerate(places) if wanted(at)]
+    n = len(places)
+    table = store.read_range(name, 0, n * 16) if some and meta.index_at == "start" else store.read_range(name, -(n * 16 + 4), n * 16) if some else None
+    if table is None:
         return
-    per = [s // c for s, c in zip(meta.shard, meta.chunks, strict=True)]
-    n = int(np.prod(per))
-    table = shard_index(data if meta.index_at == "start" else data[-(n * 16 + 4) :], n)
-    for k, (off, length) in enumerate(table.tolist()):
-        if off < 0:
-            continue
-        sub = np.unravel_index(k, per)
-        yield tuple(int(i * p + s) for i, p, s in zip(index, per, sub, strict=True)), decode(data[off : off + length], meta.compressor, size)
+    entries = shard_index(table, n)
+    for k in some:
+        off, length = entries[k].tolist()
+        if off >= 0:
+            yield places[k], decode(store.read_range(name, off, length), meta.compressor, size)
 
 
 class ZarrSource(DataSource):
@@ -210,21 +255,17 @@ def voxels(chunks: DataFrame, shape: tuple[int, int, int], sides: tuple[int, int
 
 
 def write(chunks: DataFrame, folder: str, shape, sides, compressor: str | None = "zstd") -> None:
-    """A version 2 array of dense chunks (cz, cy, cx, bytes), each task writing its own files into the folder."""
+    """A version 2 array of dense chunks (cz, cy, cx, bytes), each task writing its own objects into the store."""
     from voxelarium.sources.codecs import blosc_frame
 
-    os.makedirs(folder, exist_ok=True)
     meta = {"zarr_format": 2, "shape": list(shape), "chunks": list(sides), "dtype": "|u1", "fill_value": 0, "order": "C", "filters": None, "dimension_separator": ".", "compressor": {"id": "blosc", "cname": compressor, "clevel": 3, "shuffle": 0, "blocksize": 0} if compressor else None}
-    with open(os.path.join(folder, ".zarray"), "w") as f:
-        json.dump(meta, f)
+    store_of(folder).write(".zarray", json.dumps(meta).encode())
 
     def run(rows):
+        store = store_of(folder)
         for r in rows:
             data = bytes(r["bytes"])
-            name = os.path.join(folder, f"{r['cz']}.{r['cy']}.{r['cx']}")
-            with open(f"{name}.part", "wb") as f:
-                f.write(blosc_frame(data, compressor) if compressor else data)
-            os.replace(f"{name}.part", name)  # a task that runs twice leaves the same file
+            store.write(f"{r['cz']}.{r['cy']}.{r['cx']}", blosc_frame(data, compressor) if compressor else data)
 
     chunks.select("cz", "cy", "cx", "bytes").foreachPartition(run)
 
