@@ -177,3 +177,10 @@ def test_ray_kernel_is_the_column_form(spark, mode):
     want = {r.ray: r.value for r in joined.select("ray", fold.composite(c, F.col("samples")).alias("value")).collect()}
     got = {r.ray: r.value for r in sample.composite_rays(rays, sample.to_chunks(v, 3), c, layers, 3).collect()}
     assert got == want
+
+
+def test_points_of_a_hot_chunk_are_dealt_to_copies(spark, monkeypatch):
+    monkeypatch.setattr(sample, "HOT", 7)
+    v = synthetic(spark, (12, 8, 8), lambda x, y, z: (x * 7 + y * 13 + z * 29) % 251)
+    p = spark.range(60).select("id", ((F.col("id") * 37 % 100) / 10.0).alias("sx"), ((F.col("id") * 11 % 60) / 10.0).alias("sy"), ((F.col("id") % 7) / 1.5).alias("sz"))
+    assert values(sample.trilinear_q8_chunks(p, ["id"], sample.to_chunks(v, 2), 2)) == values(sample.trilinear_q8(p, ["id"], v, (12, 8, 8)))

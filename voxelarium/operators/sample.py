@@ -27,8 +27,11 @@ def nearest(points: DataFrame, voxels: DataFrame, extent, out: str = "value") ->
 _CORNERS = [(i & 1, i >> 1 & 1, i >> 2) for i in range(8)]
 
 
-def _stencil(points: DataFrame, voxels: DataFrame, fraction, one) -> DataFrame:
-    """Every point with its eight corners' values and weights; absent corners are dropped (they count 0)."""
+def _stencil(points: DataFrame, voxels: DataFrame, fraction, one, level: tuple[str, ...] = ()) -> DataFrame:
+    """Every point with its eight corners' values and weights; absent corners are dropped (they count 0).
+
+    level: a column of both sides that corners must share too.
+    """
     p = points
     for a in "xyz":
         base = F.floor(F.greatest(F.col(f"s{a}"), F.lit(0.0))).cast("int")
@@ -37,8 +40,8 @@ def _stencil(points: DataFrame, voxels: DataFrame, fraction, one) -> DataFrame:
     p = p.withColumn("_c", corner)
     p = p.withColumn("_w", trilinear_weight(F.col("_c.x"), F.col("_c.y"), F.col("_c.z"), F.col("_fx"), F.col("_fy"), F.col("_fz"), one)).where("_w > 0")
     p = p.select("*", *[(F.col(f"_b{a}") + F.col(f"_c.{a}")).alias(f"_{a}") for a in "xyz"])
-    v = voxels.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z"), F.col("v").alias("_v"))
-    return p.join(v, ["_x", "_y", "_z"], "inner")
+    v = voxels.select(*level, F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z"), F.col("v").alias("_v"))
+    return p.join(v, [*level, "_x", "_y", "_z"], "inner")
 
 
 def trilinear_q8(points: DataFrame, key: list[str], voxels: DataFrame, extent, out: str = "value") -> DataFrame:
@@ -82,16 +85,11 @@ def fallback(points: DataFrame, key: list[str], levels: DataFrame, most: int, tr
     out_rows = points.join(found, key, "left").withColumn("lod", F.col("_hit._lod")).withColumn(out, F.coalesce("_hit._v", F.lit(0))).drop("_hit")
     if not trilinear:
         return out_rows
-    scaled = out_rows.where("lod IS NOT NULL").drop(out)
-    parts = []
-    for k in range(most + 1):
-        at = scaled.where(F.col("lod") == k)
-        moved = at.select(*key, "lod", *[(F.col(f"s{a}") / float(1 << k)).alias(f"s{a}") for a in "xyz"])
-        parts.append(trilinear_q8(moved, key, levels.where(F.col("lod") == k), (1 << 30,) * 3, out).select(*key, "lod", out))
-    every = parts[0]
-    for x in parts[1:]:
-        every = every.unionByName(x)
-    return points.join(every, key, "left").withColumn(out, F.coalesce(out, F.lit(0)))
+    # the level is part of the key: one stencil for all of them
+    scaled = out_rows.where("lod IS NOT NULL").select(*key, "lod", *[(F.col(f"s{a}") / F.pow(F.lit(2.0), F.col("lod"))).alias(f"s{a}") for a in "xyz"])
+    hit = _stencil(scaled, levels, q8, 256, ("lod",)).withColumn("_p", F.col("_w").cast("long") * F.col("_v"))
+    sums = hit.groupBy(*key).agg(F.sum("_p").alias("_sum"))
+    return out_rows.drop(out).join(sums, key, "left").withColumn(out, F.coalesce(F.shiftright("_sum", 24), F.lit(0)).cast("int")).drop("_sum")
 
 
 def rays_to_points(rays: DataFrame, layers: Column) -> DataFrame:
@@ -137,7 +135,8 @@ def to_voxels(chunks: DataFrame, bits: int = 6, keep_zero: bool = True) -> DataF
 
 def trilinear_q8_chunks(points: DataFrame, key: list[str], chunks: DataFrame, bits: int = 6, out: str = "value") -> DataFrame:
     """As trilinear_q8, over dense chunks: a point meets each of the one to eight chunks its corners fall in, a kernel
-    adds up the corners there, and partial sums are combined.  Eight corners cost one row, not eight, away from edges."""
+    adds up the corners there, and partial sums are combined.  Eight corners cost one row, not eight, away from edges.
+    A chunk that more than HOT points touch is copied, and its points are dealt to the copies."""
     n = 1 << bits
     touched = points
     for a in "xyz":
@@ -156,11 +155,19 @@ def trilinear_q8_chunks(points: DataFrame, key: list[str], chunks: DataFrame, bi
         return out_.append_column("part", pa.array(trilinear_q8_partial(block, [x * n for x in c], pos)))
 
     ck = ["cx", "cy", "cz"]
-    parts = touched.select(*key, "sx", "sy", "sz", *ck).groupBy(*ck).cogroup(chunks.select(*ck, "bytes").groupBy(*ck)).applyInArrow(kernel, f"{kinds}, part long")
+    touched = touched.select(*key, "sx", "sy", "sz", *ck)
+    # few chunks are hot: the table of them is small, and the rest are on their first copy
+    hot = touched.groupBy(*ck).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select(*ck, F.ceil(F.col("_n") / HOT).cast("int").alias("_copies"))
+    dealt = touched.join(hot, ck, "left").withColumn("_copy", F.coalesce(F.pmod(F.xxhash64(*key), F.col("_copies")), F.lit(0)).cast("int")).drop("_copies")
+    copied = chunks.select(*ck, "bytes").join(hot, ck, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_copies") - 1, F.lit(0))))).drop("_copies")
+    ck = [*ck, "_copy"]
+    parts = dealt.groupBy(*ck).cogroup(copied.groupBy(*ck)).applyInArrow(kernel, f"{kinds}, part long")
     sums = parts.groupBy(*key).agg(F.sum("part").alias("_sum"))
     return points.join(sums, key, "left").withColumn(out, F.coalesce(F.shiftright("_sum", 24), F.lit(0)).cast("int")).drop("_sum")
 
 
+#: Points of a chunk that one task samples.
+HOT = 1 << 20
 #: Chunk coordinates below 2**20 on each axis, packed in one number.
 _AXIS = 20
 
