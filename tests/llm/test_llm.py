@@ -252,6 +252,14 @@ def test_temporal_list(spark):
     assert not urllist.evaluate(spark.createDataFrame(caps, "id int, url string, fetched_at int"), log.limit(0)).where("blocked").count()
 
 
+def test_temporal_list_keeps_other_columns(spark):
+    caps = spark.createDataFrame([(1, "http://a.org/x", 5, "h", 7, True)], "id int, url string, fetched_at int, pattern string, start int, kind boolean")
+    log = spark.createDataFrame([("domain", "a.org", "add", 1)], "kind string, pattern string, action string, at int")
+    r = urllist.evaluate(caps, log).first()
+    assert (r.blocked, r.n_active, r.pattern, r.start, r.kind) == (True, 1, "h", 7, True)
+    assert urllist.evaluate(caps.limit(0), log).count() == 0
+
+
 # ---- 4: sharding ----
 def test_sharding(spark):
     rows = corpus(5) * 3
@@ -268,6 +276,35 @@ def test_sharding(spark):
     assert sharding.shard(table(spark, rows).limit(0)).count() == 0
 
 
+def test_sharding_by_brute_force(spark, sf):
+    """Every row of the documents against a plain computation: slots by xxHash, sums, the edited map, ranks."""
+    import xxhash
+
+    def spark_hash(*values):
+        h = 42
+        for v in values:
+            h = h if v is None else xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True), h)
+        return h - 2**64 if h >= 2**63 else h
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()] + [(None, "x"), (None, None), (3, "y"), (3, "y")]
+    records = [(d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in rows]
+    slot = [spark_hash(d, c) % 8192 for d, _, c in records]
+    weight = [0] * 8192
+    for (_, n, _), k in zip(records, slot, strict=True):
+        weight[k] += n
+    shard_of = sharding.SlotMap.initial().rebalanced(weight).shard_of
+    load = [sum(w for w, x in zip(weight, shard_of, strict=True) if x == k) for k in range(40)]
+    assert max(load) - min(load) <= 0.01 * sum(load) / 40
+    order = sorted(range(len(rows)), key=lambda i: (shard_of[slot[i]], slot[i], records[i][0] is not None, records[i][0] or 0, records[i][2], records[i][1]))
+    want, seen = [], defaultdict(int)
+    for i in order:
+        k = shard_of[slot[i]]
+        want.append((*records[i], "bytes", k, seen[k], None))
+        seen[k] += 1
+    got = sharding.shard(table(spark, rows)).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard").collect()
+    assert plain(got) == sorted(want, key=repr)
+
+
 def test_slot_map(spark, tmp_path):
     weight = [random.Random(i).randint(1, 100) for i in range(512)]
     first = sharding.SlotMap.initial(8, 512)
@@ -490,6 +527,11 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language.identify(table(spark, rows), language.fit(table(spark, []))).collect()} == {"und"}
 
 
+def test_language_of_an_empty_table(spark):
+    model = language.fit(table(spark, [(i, "the cat and the dog", "en") for i in range(60)] + [(i, "le chat et le chien", "fr") for i in range(100, 160)]))
+    assert language.identify(table(spark, []), model).count() == 0 and language.accept(table(spark, []), model).count() == 0
+
+
 # ---- 10: decontamination ----
 def test_decontamination(spark):
     rows = corpus(15)
