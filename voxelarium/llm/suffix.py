@@ -135,7 +135,7 @@ def _piece_map(window: int, k: int, common: np.ndarray):
                 if len(d) < window:
                     continue
                 p = tc.Prefix(d)
-                g = p.span(np.arange(len(d) - k + 1), np.arange(k, len(d) + 1))
+                g = p.grams(k)
                 row_of = np.repeat(np.arange(j - i), np.diff(off))
                 at, a, n, row = pieces(g, row_of, off[1:], order, window, k)
                 whole = tc.Prefix(d, 1).span(a, a + n - 1 + window) ^ tc.splitmix((at - a).astype(np.uint64) + np.uint64(11))
@@ -283,7 +283,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     base = keyed(docs, "text")
 
     def byte_grams(d):
-        return tc.Prefix(d).span(np.arange(len(d) - gram + 1), np.arange(gram, len(d) + 1)) if len(d) >= gram else np.zeros(0, np.uint64)
+        return tc.Prefix(d).grams(gram)
 
     common = frequent(docs, byte_grams)
     settled = cut(by_anchor(base.mapInArrow(_piece_map(window, gram, common), PIECE)).mapInArrow(_settle, "kind int, h long, k1 long, k2 long, a long, n int"), "pieces", free=True)

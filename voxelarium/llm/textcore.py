@@ -68,6 +68,22 @@ def _octets(data: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
 
 
+#: Values handled at once where arrays pass through several steps: what fits the processor's cache.
+STEP = 1 << 15
+
+
+def _mixed(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """The splitmix64 finalizer in place."""
+    spare = spare[: len(x)]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        np.right_shift(x, U64(shift), out=spare)
+        x ^= spare
+        x *= U64(factor)
+    np.right_shift(x, U64(31), out=spare)
+    x ^= spare
+    return x
+
+
 class Prefix:
     """Prefix sums of a byte array: the hash of any span of eight bytes or more in constant time.
 
@@ -78,16 +94,36 @@ class Prefix:
     def __init__(self, data: np.ndarray, which: int = 0):
         p, self.inverse = powers(which, len(data) + 1)
         self.sums = np.zeros(len(data) + 1, U64)
-        for i in range(0, len(data), SLAB):
-            j = min(i + SLAB, len(data))
-            value = splitmix(_octets(data[i : j + 7])[: j - i].copy().view(U64).ravel() + U64(_SEEDS[which]))
-            np.cumsum(value * p[i:j], out=self.sums[i + 1 : j + 1])
-            self.sums[i + 1 : j + 1] += self.sums[i]
+        padded = np.zeros(len(data) + STEP + 16, np.uint8)
+        padded[: len(data)] = data
+        value, spare = np.empty(STEP, U64), np.empty(STEP, U64)
+        for i in range(0, len(data), STEP):
+            n = min(STEP, len(data) - i)
+            for k in range(8):
+                value[k::8] = padded[i + k : i + k + STEP].view(U64)
+            x = value[:n]
+            x += U64(_SEEDS[which])
+            _mixed(x, spare)
+            x *= p[i : i + n]
+            x[:1] += self.sums[i : i + 1]
+            np.cumsum(x, out=self.sums[i + 1 : i + n + 1])
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of data[start:end], eight bytes at least; the length takes part."""
         return splitmix((self.sums[end - 7] - self.sums[start]) * self.inverse[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
 
+    def grams(self, k: int) -> np.ndarray:
+        """span(i, i + k) of every place."""
+        out = np.empty(max(0, len(self.sums) - k), U64)
+        size, spare = U64(k * 0xA24BAED4963EE407 % 2**64), np.empty(STEP, U64)
+        for i in range(0, len(out), STEP):
+            x = out[i : i + STEP]
+            np.subtract(self.sums[i + k - 7 : i + k - 7 + len(x)], self.sums[i : i + len(x)], out=x)
+            x *= self.inverse[i : i + len(x)]
+            x += size
+            _mixed(x, spare)
+        return out
+
 
 _KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
 #: Longer words are hashed one by one.
@@ -192,16 +228,17 @@ def minimizers(h: np.ndarray, w: int) -> np.ndarray:
     """For each run of w hashes the place of its smallest one, the leftmost among equals.
 
     Hashes are compared by their upper 40 bits; which gram is chosen depends on the run's content alone.
-    Arrays beyond 2**24 values are handled in overlapping pieces.
+    The array is handled in overlapping pieces.
     """
     n = len(h) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    piece = (1 << PLACE_BITS) - w
-    if n > piece:
-        return np.concatenate([minimizers(h[i : i + piece + w - 1], w) + i for i in range(0, n, piece)])
-    low = U64((1 << PLACE_BITS) - 1)
-    return (window_min((h & ~low) | np.arange(len(h), dtype=U64), w) & low).astype(np.int64)
+    low, out = U64((1 << PLACE_BITS) - 1), np.empty(n, np.int64)
+    for i in range(0, n, 2 * STEP):
+        x = h[i : i + 2 * STEP + w - 1]
+        m = len(x) - w + 1
+        out[i : i + m] = (window_min((x & ~low) | np.arange(len(x), dtype=U64), w) & low).astype(np.int64) + i
+    return out
 
 
 def marked(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
