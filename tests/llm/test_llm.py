@@ -561,6 +561,16 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert clean.columns == docs.columns and clean.count() == sum(not r[5] for r in want)
 
 
+def test_words_of_equal_hash_are_told_apart(monkeypatch):
+    """All words of the same length share a hash: matches are those of the spelling."""
+    monkeypatch.setattr(textcore, "word_hashes", lambda d, start, end, which=0: (end - start).astype(np.uint64))
+    flat = lambda t: (np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+    tests = decontaminate.Tests([("1", b"aa bbb c dddd")], 4)
+    for text, want in (("x AA bbb c dddd y", 4), ("zz bbb c dddd", 0), ("aa bbb c dddd zz yyy x wwww aa bbb c dddd", 8)):
+        assert int(decontaminate.matches(*flat(text), tests, 4)[1].sum()) == want
+    assert not forest._similar(b"aa bb cc dd ee", b"x1 bb cc") and forest._similar(b"aa", b"aa")
+
+
 def test_longest_match(spark):
     words = [f"w{i}" for i in range(60)]
     r = decontaminate.mark(table(spark, [(1, "x " + " ".join(words[5:40]) + " y")]), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).first()

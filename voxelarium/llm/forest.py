@@ -45,11 +45,13 @@ _A = tc.splitmix(np.arange(1, FUNCTIONS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15
 _B = tc.splitmix(np.arange(1, FUNCTIONS + 1, dtype=U64) * U64(0xD1342543DE82EF95))
 
 
+def _grams(h: np.ndarray, k: int = WORDS) -> np.ndarray:
+    return tc.grams(h, min(k, len(h)), seed=len(h) if len(h) < k else 0) if len(h) else h
+
+
 def shingles(h: np.ndarray, k: int = WORDS) -> np.ndarray:
     """Distinct shingles of one document's word hashes."""
-    if not len(h):
-        return h
-    return np.unique(tc.grams(h, min(k, len(h)), seed=len(h) if len(h) < k else 0))
+    return np.unique(_grams(h, k))
 
 
 def signature(u: np.ndarray) -> np.ndarray:
@@ -60,22 +62,23 @@ def signature(u: np.ndarray) -> np.ndarray:
     return (low >> U64(32)).astype(np.uint32)
 
 
-def _word_hashes(d, off):
+def _word_hashes(d, off, which: int = 0):
     d = tc.LOWER[d]
     start, end, wo = tc.words(d, off)
-    return tc.word_hashes(d, start, end), wo
+    return tc.word_hashes(d, start, end, which), wo
 
 
 def _sketch(batches):
     for b in batches:
         n, g1, g2, sig = [], [], [], []
         for i, j, d, off in tc.slabs(b.column("text")):
-            h, wo = _word_hashes(d, off)
+            (h, wo), (other, _) = _word_hashes(d, off), _word_hashes(d, off, 1)
             for r in range(j - i):
-                u = shingles(h[wo[r] : wo[r + 1]])
+                u, at = np.unique(_grams(h[wo[r] : wo[r + 1]]), return_index=True)
                 n.append(len(u))
+                # the two halves of a set's name come from two independent hashes of its words
                 g1.append(int(tc.splitmix(u ^ U64(0x1F83D9ABFB41BD6B)).sum(dtype=U64)))
-                g2.append(int(tc.splitmix(u + U64(0x5BE0CD19137E2179)).sum(dtype=U64)))
+                g2.append(int(tc.splitmix(_grams(other[wo[r] : wo[r + 1]])[at] + U64(0x5BE0CD19137E2179)).sum(dtype=U64)))
                 sig.append(signature(u).tobytes() if len(u) else None)
         yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(n, pa.int64()), pa.array(np.array(g1, U64).view(np.int64)), pa.array(np.array(g2, U64).view(np.int64)), pa.array(sig, pa.binary())], ["k1", "k2", "n", "g1", "g2", "sig"])
 
@@ -287,18 +290,21 @@ def crowded(text: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
     return found.join(sig("a"), "a").join(sig("b"), "b").mapInArrow(_agreed, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
+def _similar(a: bytes, b: bytes) -> bool:
+    """Whether two texts' sets meet the threshold, under each of two independent hashes."""
+    for which in (0, 1):
+        u = [shingles(_word_hashes(d, np.array([0, len(d)]), which)[0]) for d in (np.frombuffer(t, np.uint8) for t in (a, b))]
+        both = len(np.intersect1d(*u, assume_unique=True))
+        if SIMILAR[1] * both < SIMILAR[0] * (len(u[0]) + len(u[1]) - both):
+            return False
+    return True
+
+
 def _confirm(batches):
     """Pairs whose full sets meet the threshold."""
     for b in batches:
-        keep = []
-        left, right = b.column("ta"), b.column("tb")
-        for r in range(b.num_rows):
-            u = []
-            for t in (left[r].as_py(), right[r].as_py()):
-                d = np.frombuffer(t.encode(), np.uint8)
-                u.append(shingles(_word_hashes(d, np.array([0, len(d)]))[0]))
-            both = len(np.intersect1d(*u, assume_unique=True))
-            keep.append(SIMILAR[1] * both >= SIMILAR[0] * (len(u[0]) + len(u[1]) - both))
+        left, right = (b.column(c).cast(pa.binary()) for c in ("ta", "tb"))
+        keep = [_similar(left[r].as_py(), right[r].as_py()) for r in range(b.num_rows)]
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
 
 
