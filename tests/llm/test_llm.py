@@ -351,6 +351,22 @@ def test_word_spans_line_up_with_their_source(spark):
     assert n > 20
 
 
+def test_word_spans_are_verified_at_their_source(spark, monkeypatch):
+    """Spans come from the glued paths, and only where the words at their source are the same: a span whose
+    coordinates point elsewhere removes nothing."""
+    rows = [(1, " ".join(f"w{i}" for i in range(40))), (2, "x " + " ".join(f"w{i}" for i in range(5, 35))), (3, " ".join(f"w{i}" for i in range(40)))]
+    docs = table(spark, rows)
+    whole = {r.doc_id: r for r in debruijn.remove_spans(docs).collect()}
+    assert [tuple(s) for s in whole[2].spans] == [(1, 31, 1, 5)] and [tuple(s) for s in whole[3].spans] == [(0, 40, 1, 0)]
+    glued = debruijn.glued
+    monkeypatch.setattr(debruijn, "glued", lambda hits, window: glued(hits, window).withColumn("source_start", F.when(F.col("k1") == 2, F.col("source_start") + 1).otherwise(F.col("source_start"))))
+    shifted = {r.doc_id: r for r in debruijn.remove_spans(docs).collect()}
+    assert shifted[2].n_removed == 0 and not shifted[2].spans and shifted[3].n_removed == 40
+    monkeypatch.setattr(debruijn, "ASKED", 1)
+    monkeypatch.setattr(debruijn, "glued", glued)
+    assert plain(debruijn.remove_spans(docs).collect()) == plain(whole.values())
+
+
 @pytest.mark.parametrize("f", [suffix.remove_repeats, debruijn.remove_spans])
 def test_repeats_of_an_empty_table(spark, f):
     assert f(table(spark, [])).count() == 0

@@ -9,8 +9,10 @@ branches inside them, and their single edges are joined.  Every repeated edge so
 Pieces and edges are then glued in one Spark window over each document (`glued`): two that follow each other have one
 node between them, and the path goes on there if the source's place advances with the document's; it ends where the
 source branches off, changes or ends.  The glued paths are the maximal spans, with the coordinates of their source.
-Anchors and names (and the two hashes of an edge) come from two independent 64-bit hashes of the words, so a span is
-exact up to collisions of 128 bits.
+
+At last the spans are verified: the words at each span's source coordinates are read in the source document and
+digested, the digests are joined to the spans, and a span is removed only where its own words, read from the text, have
+the same digest (`verified`).
 
 Defined results: null text has no words; rows with a null doc_id are neither earlier nor later than others and lose
 nothing; rows of equal doc_id do not count as earlier than each other; a text of fewer than 13 words loses nothing;
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 
 from voxelarium.llm import textcore as tc
 from voxelarium.llm.anchors import Order, frequent, pieces
-from voxelarium.llm.base import cut, keyed, no_key, ship
+from voxelarium.llm.base import cut, no_key, ship
+from voxelarium.llm.base import keyed as keyed_
 from voxelarium.llm.suffix import Groups, _batch, columns
 
 WINDOW, GRAM = 13, 5
@@ -37,6 +40,11 @@ PIECE = "h long, s long, k1 long, k2 long, a long, n int"
 HIT = "k1 long, k2 long, a long, n int, src long, src_a long"
 
 
+def keyed(docs: DataFrame, *keep: str) -> DataFrame:
+    """As keyed of base; 32 bits of k2 are enough here, as rows with a null id take no part in any join."""
+    return keyed_(docs, *keep).withColumn("k2", F.col("k2").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
 def _word_hashes(d, off):
     """Two independent hashes of each word, and the word offsets of the rows."""
     start, end, wo = tc.words(d, off)
@@ -165,8 +173,8 @@ def _first_of(x: dict[str, np.ndarray]):
 
 
 def repeated_edges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(k1, k2, spans): for each row with any, the maximal spans (start, end, source_doc, source_start) that earlier
-    documents hold."""
+    """(k1, k2, spans): for each row with any, the maximal spans (start, end, source_doc, source_start, digests) that
+    earlier documents hold."""
     spark = docs.sparkSession
     ship(spark)
     base = keyed(docs, "text")
@@ -178,26 +186,58 @@ def repeated_edges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     common = frequent(docs, word_grams)
     settled = cut(named.mapInArrow(_piece_map(window, gram, common), PIECE).repartition(F.when(F.col("p").bitwiseAND(F.lit(1)) == 0, F.col("x")).otherwise(F.xxhash64("k2", "p"))).sortWithinPartitions("x").mapInArrow(_settle, f"kind int, {HIT}"), "paths", free=True)
     asked = settled.where("kind = 2").groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "n")).alias("ask"))
-    # the texts are shuffled by row key once: this join and the one that removes spans share the exchange
     texts = base.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "ask").dropDuplicates(["k1", "k2"])
     single = texts.mapInArrow(_edges(window), "w long, v long, k1 long, k2 long, a long").repartition("w").sortWithinPartitions("w").mapInArrow(_first_edges, HIT)
     hits = settled.where("kind = 1").drop("kind").unionByName(single)
-    return glued(hits, window)
+    return verified(cut(glued(hits, window), "spans", free=True), base)
 
 
 def glued(hits: DataFrame, window: int) -> DataFrame:
-    """(k1, k2, spans) from pieces (k1, k2, a, n, src, src_a) of paths: n edges from place a on, whose source lies in
-    document src from place src_a on.
-
-    One shuffle by document serves the window, both aggregations and the join with the texts that follows.
-    """
+    """(k1, k2, start, end, source_doc, source_start) from pieces (k1, k2, a, n, src, src_a) of paths: n edges from place
+    a on, whose source lies in document src from place src_a on.  One shuffle by document."""
     one = hits.repartition("k1", "k2").groupBy("k1", "k2", "a", "src", "src_a").agg(F.max("n").alias("n"))
     along = Window.partitionBy("k1", "k2").orderBy("a")
     before = lambda c: F.lag(c).over(along)
     goes_on = (before("src") == F.col("src")) & (F.col("src_a") - before("src_a") == F.col("a") - before("a")) & (F.col("a") <= before("a") + before("n"))
     path = one.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_path", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     span = path.groupBy("k1", "k2", "_path").agg(F.min("a").alias("start"), (F.max(F.col("a") + F.col("n")) - 1 + window).alias("end"), F.min("src").alias("source_doc"), F.min("src_a").alias("source_start"))
-    return span.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "end", "source_doc", "source_start"))).alias("spans"))
+    return span.drop("_path")
+
+
+#: Spans of one source that its text is read for at once.
+ASKED = 4096
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _source_digests(batches):
+    """(source_doc, source_start, size, digest) of the spans asked for in each source's text."""
+    for b in batches:
+        texts = b.column("text").cast(pa.binary())
+        out = {c: [] for c in ("source_doc", "source_start", "size", "digest")}
+        k1 = b.column("k1").to_pylist()
+        for r, asked in enumerate(b.column("asked").to_pylist()):
+            words = (texts[r].as_py() or b"").split()
+            for q in asked:
+                at, size = q["source_start"], q["size"]
+                for c, v in zip(out, (k1[r], at, size, _digest(words[at : at + size])), strict=True):
+                    out[c].append(v)
+        yield pa.RecordBatch.from_pydict(out, pa.schema([("source_doc", pa.int64()), ("source_start", pa.int64()), ("size", pa.int64()), ("digest", pa.binary())]))
+
+
+def verified(spans: DataFrame, base: DataFrame) -> DataFrame:
+    """(k1, k2, spans): the spans of each row, each with the digests of the words at its source coordinates (several
+    where several texts bear the source's doc_id), to be compared with its own."""
+    spans = spans.withColumn("size", F.col("end") - F.col("start"))
+    want = spans.select(F.col("source_doc").alias("k1"), "source_start", "size").distinct()
+    part = F.floor((F.row_number().over(Window.partitionBy("k1").orderBy("source_start", "size")) - 1) / ASKED)
+    asked = want.withColumn("_part", part).groupBy("k1", "_part").agg(F.collect_list(F.struct("source_start", "size")).alias("asked"))
+    read = base.select("k1", "text").join(asked, "k1").select("k1", "text", "asked").mapInArrow(_source_digests, "source_doc long, source_start long, size long, digest binary")
+    read = cut(read.groupBy("source_doc", "source_start", "size").agg(F.collect_set("digest").alias("digests")), "digests", free=True)
+    whole = spans.join(read, ["source_doc", "source_start", "size"])
+    return whole.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "end", "source_doc", "source_start", "digests"))).alias("spans"))
 
 
 def _remove(batches):
@@ -208,14 +248,15 @@ def _remove(batches):
         k1 = b.column("k1").to_pylist()
         for r, spans in enumerate(b.column("spans").to_pylist()):
             words = (texts[r].as_py() or b"").split()
+            spans = [q for q in spans or () if _digest(words[q["start"] : q["end"]]) in q.pop("digests")]
             kept, last, gone = [], 0, 0
-            for a, e in ((q["start"], q["end"]) for q in spans or ()):
+            for a, e in ((q["start"], q["end"]) for q in spans):
                 if e > last:
                     kept += words[last:a] if a > last else []
                     gone += e - max(a, last)
                     last = e
             kept += words[last:]
-            for c, v in zip(out, (k1[r], len(words), gone, hashlib.sha256(b" ".join(kept)).hexdigest(), spans or []), strict=True):
+            for c, v in zip(out, (k1[r], len(words), gone, hashlib.sha256(b" ".join(kept)).hexdigest(), spans), strict=True):
                 out[c].append(v)
         yield pa.RecordBatch.from_pydict(out, pa.schema([("k1", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(span))]))
 
