@@ -6,6 +6,8 @@ stop of a front-to-back walk.  Sums are DOUBLE.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,9 +99,20 @@ def overlay_combined(base: Column, overlay: Column, c: Compositing) -> Column:
     return F.aggregate(_pairs(base, overlay), _state(mv=0, ma=0, rv=0, ra=0), step, done)
 
 
+#: Folds of further modes: name to a function of (samples, overlay samples or None, parameters, number of layers).
+CUSTOM: dict[str, Callable[[Column, Column | None, Compositing, Column | int], Column]] = {}
+
+
+def register(mode: str, fold: Callable[[Column, Column | None, Compositing, Column | int], Column]) -> None:
+    """Add a compositing mode."""
+    CUSTOM[mode] = fold
+
+
 def composite(c: Compositing, base: Column, overlay: Column | None = None, layers: Column | int | None = None) -> Column:
     """The fold of a mode; modes that need an overlay fall back to alpha without one."""
     n = layers if layers is not None else F.size(base)
+    if c.mode in CUSTOM:
+        return CUSTOM[c.mode](base, overlay, c, n)
     if c.mode == "max":
         return top(base)
     if c.mode == "none":

@@ -55,6 +55,16 @@ def touched(boxes: DataFrame, extent: tuple[int, int, int], lod: int = 0, size:
     return _cells(boxes.where(ok), names)
 
 
+def pretouched(boxes: DataFrame, extent: tuple[int, int, int], lod: int, preview: int, size: int = 64) -> DataFrame:
+    """Distinct (lod, cx, cy, cz) to ask for ahead: the chunks that boxes meet at a level and at the coarse one of the
+    preview."""
+    each = [touched(boxes, extent, k, size).select(F.lit(k).alias("lod"), "cx", "cy", "cz") for k in sorted({lod, preview})]
+    out = each[0]
+    for x in each[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
+
+
 def missing(wanted: DataFrame, filled: DataFrame, key: list[str]) -> DataFrame:
     """Wanted keys that are not filled."""
     return wanted.select(*key).distinct().join(filled.select(*key), key, "left_anti")

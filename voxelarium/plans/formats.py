@@ -205,6 +205,7 @@ def obj_file(spark, sf):
         for c in range(7):
             for tri in ((n(r, c), n(r + 1, c), n(r, c + 1)), (n(r + 1, c), n(r + 1, c + 1), n(r, c + 1))):
                 lines.append("f " + " ".join(f"{k}/{k}" for k in tri))
+    lines += ["o other", "v 9 9 9", "vt 0 0", "f 1/1 2/2 81/81"]
     path = _folder(spark, "obj") + "/sheet.obj"
     put(spark, path, "\n".join(lines).encode())
     return formats.obj_triangles(*formats.obj(spark, path))

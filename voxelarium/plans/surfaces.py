@@ -204,6 +204,20 @@ def aabb_touch(spark, sf):
     return residency.touched(box, extent).groupBy("cx", "cy", "cz").agg(F.count("*").alias("n"))
 
 
+_BOXES = "CAST(floor(least(x1, x2, x3) / {s}) AS BIGINT) lx, CAST(floor(greatest(x1, x2, x3) / {s}) AS BIGINT) hx, CAST(floor(least(y1, y2, y3) / {s}) AS BIGINT) ly, CAST(floor(greatest(y1, y2, y3) / {s}) AS BIGINT) hy, CAST(floor(least(z1, z2, z3) / {s}) AS BIGINT) lz, CAST(floor(greatest(z1, z2, z3) / {s}) AS BIGINT) hz"
+
+
+@query(f"""WITH {TM}, b AS (SELECT 0 AS lod, {_BOXES.format(s=64)} FROM tm UNION ALL SELECT 3, {_BOXES.format(s=512)} FROM tm),
+x AS (SELECT DISTINCT lod, unnest(range(lx, hx + 1)) AS cx, ly, hy, lz, hz FROM b), y AS (SELECT DISTINCT lod, cx, unnest(range(ly, hy + 1)) AS cy, lz, hz FROM x)
+SELECT DISTINCT CAST(lod AS INT) AS lod, CAST(cx AS INT) AS cx, CAST(cy AS INT) AS cy, CAST(unnest(range(lz, hz + 1)) AS INT) AS cz FROM y""")
+def aabb_pretouch(spark, sf):
+    """What a mesh needs ahead, with the chunks of a coarse preview."""
+    t = triangles(grid_surface(spark, sf))
+    box = t.select(*[f(*[F.col(f"{a}{i}") for i in (1, 2, 3)]).alias(f"{n}_{a}") for a in "xyz" for n, f in (("min", F.least), ("max", F.greatest))])
+    extent = tuple((int(h // 512) + 1) * 512 for h in box.agg(*[F.max(f"max_{a}") for a in "xyz"]).first())
+    return residency.pretouched(box, extent, 0, 3)
+
+
 @query(f"""WITH {SG}, w AS (SELECT k - 8 AS w FROM range(17) t(k)) SELECT DISTINCT c // 16 AS tu, r // 16 AS tv, CAST(floor(px / 64) AS INT) AS cx, CAST(floor(py / 64) AS INT) AS cy, CAST(floor((pz + w) / 64) AS INT) AS cz FROM sg, w WHERE valid""")
 def tile_chunk_distinct(spark, sf):
     """The chunks each 16x16 tile of a composited render needs: the sample plan without its data join."""

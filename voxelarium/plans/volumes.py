@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxelarium.functions import composite as fold
 from voxelarium.functions.voxel import chunk_of, idiv, inner_offset, linear_index, shard_of
 from voxelarium.model import Coloring, Compositing, Filter, View
 from voxelarium.operators import lod, paint, sample
@@ -228,6 +229,10 @@ QUERIES["composite_max"] = _composite("max")
 ORACLES["composite_max"] = f"WITH {_RAY} SELECT ray, CAST(max(b) AS INT) AS value FROM sm GROUP BY ray"
 QUERIES["composite_none"] = _composite("none")
 ORACLES["composite_none"] = f"WITH {_RAY} SELECT ray, CAST(0 AS INT) AS value FROM sm GROUP BY ray"
+# a mode added from outside: the mean of the samples that are not 0
+fold.register("mean_present", lambda base, overlay, c, n: F.coalesce(F.floor(F.try_divide(F.aggregate(base, F.lit(0).cast("long"), lambda s, x: s + x), F.size(F.filter(base, lambda x: x != 0)))), F.lit(0)).cast("int"))
+QUERIES["composite_registered"] = _composite("mean_present")
+ORACLES["composite_registered"] = f"WITH {_RAY} SELECT ray, CAST(coalesce(floor(sum(b) / nullif(count(*) FILTER (b <> 0), 0)), 0) AS INT) AS value FROM sm GROUP BY ray"
 QUERIES["composite_alpha"] = _composite("alpha", **PARAMS)
 ORACLES["composite_alpha"] = _fold(**_BLEND)
 QUERIES["composite_heightmap"] = _composite("heightmap", **PARAMS)

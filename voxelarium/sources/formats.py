@@ -52,16 +52,20 @@ def surface_map_sample(points: DataFrame, ppm: DataFrame) -> DataFrame:
 
 
 def obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(vertices, texture points, triangles) of a Wavefront file: v, vt and three-cornered f lines of all groups.
+    """(vertices, texture points, triangles) of a Wavefront file: v, vt and three-cornered f lines of its first object.
 
     Lines are numbered by their place in the file, which is one partition (the format has no other index).
     """
     def run(batches):
-        n = {"v": 0, "vt": 0, "f": 0}
+        n, named = {"v": 0, "vt": 0, "f": 0}, False
         for b in batches:
             out = []
             for line in b.column(0).to_pylist():
                 kind, *rest = line.split() or [""]
+                if kind == "o":
+                    named, over = True, named and n["f"] > 0
+                    if over:
+                        n = {}  # of a second object nothing is read
                 if kind not in n:
                     continue
                 n[kind] += 1

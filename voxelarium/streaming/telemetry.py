@@ -27,13 +27,20 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "host").agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), "host", "n")
 
 
-def request_states(requests: DataFrame, cooldown_ms: int = 10_000) -> DataFrame:
+def request_states(requests: DataFrame, cooldown_ms: int = 10_000, idle_ms: int | None = None) -> DataFrame:
     """Chunk requests (chunk, kind, at) through a state machine: the first request of a chunk dispatches it, others are
-    absorbed until a `done` or `failed` arrives, and a failure holds the chunk back for a cooldown."""
+    absorbed until a `done` or `failed` arrives, and a failure holds the chunk back for a cooldown.
+
+    With idle_ms the state of a chunk that nothing is heard of for so long is dropped (processing time); a request after
+    that dispatches it again.
+    """
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         phase, until = state.get if state.exists else ("missing", 0)
         out = []
-        rows = pd.concat(list(frames)).sort_values("at") if not state.hasTimedOut else pd.DataFrame(columns=["kind", "at"])
+        rows = pd.concat(list(frames)).sort_values("at")
         for kind, at in zip(rows["kind"], rows["at"], strict=True):
             if kind == "request" and (phase == "missing" or (phase == "cooldown" and at >= until)):
                 phase = "pending"
@@ -45,6 +52,8 @@ def request_states(requests: DataFrame, cooldown_ms: int = 10_000) -> DataFrame:
                 phase, until = "cooldown", int(at) + cooldown_ms
                 out.append(("cooldown", int(at)))
         state.update((phase, until))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([(key[0], a, b) for a, b in out], columns=["chunk", "action", "at"])
 
-    return requests.groupBy("chunk").applyInPandasWithState(step, "chunk string, action string, at long", "phase string, until long", "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy("chunk").applyInPandasWithState(step, "chunk string, action string, at long", "phase string, until long", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
