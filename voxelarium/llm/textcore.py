@@ -68,6 +68,16 @@ def _octets(data: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
 
 
+def octets(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zero past the end."""
+    padded = np.zeros(len(data) + 15, np.uint8)
+    padded[: len(data)] = data
+    out = np.empty(-(-len(data) // 8) * 8, U64)
+    for k in range(8):
+        out[k::8] = padded[k : k + len(out)].view(U64)
+    return out[: len(data)]
+
+
 #: Values handled at once where arrays pass through several steps: what fits the processor's cache.
 STEP = 1 << 15
 
