@@ -118,7 +118,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     The links are contracted within partitions of about LINKS rows, which leaves one link a node; where that is one
     partition it is all.  Else alternating large-star and small-star steps follow.  Each is a minimum per node (combined
     before the shuffle) and one equi-join, which adaptive execution can split where a hub is hot; no step gathers a
-    node's neighbours in one row.  Every round is written to the shared folder.  Self links name isolated nodes.
+    node's neighbours in one row.  Every round and the result are written to the shared folder.  Self links name
+    isolated nodes.
     """
     links = cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "links")
     parts = max(1, math.ceil(links.count() / LINKS))
@@ -144,4 +145,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.groupBy("u").agg(F.min("v").alias("m"))
-    return nodes.join(roots, nodes["id"] == roots["u"], "left").select("id", F.coalesce("m", "id").alias("component"))
+    return cut(nodes.join(roots, nodes["id"] == roots["u"], "left").select("id", F.coalesce("m", "id").alias("component")), "components")

@@ -321,7 +321,7 @@ def links(classes: DataFrame, base: DataFrame) -> DataFrame:
     open_ = found.where("agree >= 0")
     linked = settle(open_, cut(texts(classes, base, ends(open_)), "texts"), None)
     # crowded regions that still hold several components
-    comp = cut(components(linked), "components")
+    comp = components(linked)
     member = found.where("agree < 0").select(F.col("a").alias("key"), F.col("b").alias("id")).join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     mixed = member.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     left = cut(member.join(mixed, "key", "left_semi").select("id", "comp").distinct(), "crowded")
@@ -337,10 +337,17 @@ def texts(classes: DataFrame, base: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def settle(open_: DataFrame, text: DataFrame, linked: DataFrame | None) -> DataFrame:
-    """The links so far and those among the candidates, confirmed in rounds."""
+    """The links so far and those among the candidates, confirmed in rounds.
+
+    Rounds spare work where classes have many candidates each; those left are confirmed at once where they are few.
+    """
+    count = lambda df: df.agg(F.count("*"), F.count_distinct("b")).first()
+    n, of = count(open_)
     for most in ROUNDS:
         pick = open_
-        if most is not None:
+        if most is None or n <= 2 * most * of:
+            most = None
+        else:
             # the best of each class, looked at from its later partner: at most so many a class
             best = Window.partitionBy("b").orderBy(F.desc("agree"), "a")
             pick = open_.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= most)
@@ -351,11 +358,12 @@ def settle(open_: DataFrame, text: DataFrame, linked: DataFrame | None) -> DataF
         linked = found if linked is None else cut(linked.unionByName(found), "verified")
         if most is None:
             break
-        comp = cut(components(linked), "components")
+        comp = components(linked)
         ca, cb = comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), comp.select(F.col("id").alias("b"), F.col("component").alias("cb"))
         rest = open_.join(checked.select("a", "b"), ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left")
         open_ = cut(rest.where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b", "agree"), "open")
-        if open_.isEmpty():
+        n, of = count(open_)
+        if not n:
             break
     return linked
 
@@ -369,14 +377,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     usable = rows.where((F.col("n") > 0) & (F.col("k1") != none))
     classes = cut(usable.groupBy("g1", "g2").agg(F.min(F.struct("k1", "k2")).alias("first"), F.min("n").alias("n"), F.min("sig").alias("sig")).select("g1", "g2", F.col("first.k1").alias("id"), F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), "n", "sig"), "classes")
     # classes under one doc_id are one node: tie them with self links through their shared id
-    comp = cut(components(links(classes, base)), "components")
+    comp = components(links(classes, base))
     # a doc_id with several texts belongs to several classes: these hang together
     tie = usable.select("k1", "g1", "g2").join(classes.select("g1", "g2", "id"), ["g1", "g2"]).join(comp, "id", "left").select("k1", F.coalesce("component", "id").alias("c"))
     node = tie.groupBy("k1").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     several = node.where("low <> high")
     if not several.isEmpty():
         more = tie.join(several.select("k1"), "k1", "left_semi").select(F.col("k1").alias("a"), F.col("c").alias("b"))
-        upper = cut(components(more), "components").select(F.col("id").alias("low"), F.col("component").alias("_up"))
+        upper = components(more).select(F.col("id").alias("low"), F.col("component").alias("_up"))
         node = node.join(upper, "low", "left").select("k1", F.coalesce("_up", "low").alias("low"))
     per_doc = node.select("k1", F.col("low").alias("_component"))
     out = rows.select("k1", "k2", "n").join(per_doc, "k1", "left")

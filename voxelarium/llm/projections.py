@@ -217,7 +217,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     # groups to be compared whole: labels of no passes, and crowds
     crowd = swept.where("kind = 1")
     node = lambda p, q: F.xxhash64(p, q)
-    comp = cut(components(crowd.select(node("h1", "h2").alias("a"), node("g1", "g2").alias("b"))), "crowds")
+    comp = components(crowd.select(node("h1", "h2").alias("a"), node("g1", "g2").alias("b")))
     grouped = planned.withColumn("node", node("h1", "h2")).join(comp.withColumnRenamed("id", "node"), "node", "left")
     whole = F.when(F.col("passes") == 0, F.xxhash64("label", "dim"))
     grouped = cut(grouped.withColumn("group", F.coalesce(whole, "component")).where("group IS NOT NULL").select("group", "h1", "h2", "id", "many", "e"), "groups")
@@ -234,7 +234,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     partner = classes.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "many")
     counted = compared.select("h1", "h2", "links").unionByName(both.join(partner, ["g1", "g2"]).select("h1", "h2", F.col("many").alias("links")))
     counted = counted.groupBy("h1", "h2").agg(F.sum("links").alias("links"))
-    comp = cut(components(compared.select("a", "b").unionByName(found.select("a", "b"))), "components")
+    comp = components(compared.select("a", "b").unionByName(found.select("a", "b")))
     per = classes.select("h1", "h2", "id", "many").join(counted, ["h1", "h2"], "left").join(comp, "id", "left")
     per = per.select("h1", "h2", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("_links"), F.coalesce("component", "id").alias("_component"))
     out = base.select("vec_id", "h1", "h2").join(per, ["h1", "h2"], "left")
