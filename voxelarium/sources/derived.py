@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelarium.functions.voxel import idiv
+from voxelarium.operators import surface
 
 #: Extent of the embedding volume: eight by eight by one plane per vector; 500 planes at the small scales.
 SIDE = 8
@@ -83,8 +84,7 @@ CE = """ce AS (SELECT CAST(o_custkey % 16 AS INT) AS volume_id, o_orderkey AS id
 
 def mesh(grid: DataFrame, width: int = 64) -> DataFrame:
     """Two triangles for each quad of valid cells: (tri_id, x1..z3, u1..v3); u is the column, v the row."""
-    cell = lambda dr, dc, k: grid.where("valid").select((F.col("r") - dr).alias("r"), (F.col("c") - dc).alias("c"), *[F.col(f"p{a}").alias(f"{a}{k}") for a in "xyz"])
-    q = cell(0, 0, "00").join(cell(0, 1, "01"), ["r", "c"]).join(cell(1, 0, "10"), ["r", "c"]).join(cell(1, 1, "11"), ["r", "c"])
+    q = surface.whole(surface.quads(grid)).select("r", "c", *[F.col(f"p{k}.p{a}").alias(f"{a}{k}") for k in ("00", "01", "10", "11") for a in "xyz"])
     quad = (F.col("r").cast("long") * width + F.col("c")) * 2
     corner = {"00": (0, 0), "01": (0, 1), "10": (1, 0), "11": (1, 1)}
 
