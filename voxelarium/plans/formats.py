@@ -230,7 +230,7 @@ def segment_records(spark, sf):
     path = _folder(spark, "catalogue") + "/segments.json.zst"
     put(spark, path, zstandard.compress("\n".join(lines).encode()))
     g = formats.segments(spark, path)
-    return g.select("id", F.col("scroll.num").cast("long").alias("num"), F.col("scroll.isFragment").alias("fragment"), F.col("width").cast("long").alias("width"), F.col("volume.volume").alias("volume"))
+    return g.select("id", F.col("scroll.num").alias("num"), F.col("scroll.isFragment").alias("fragment"), F.col("width").cast("long").alias("width"), F.col("volume.volume").alias("volume"))
 
 
 @query("SELECT 'r' || n_nationkey AS id, n_name AS name, n_nationkey * 1.5::DOUBLE AS size FROM nation WHERE n_nationkey % 6 <> 0")
