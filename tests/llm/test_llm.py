@@ -629,3 +629,25 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
     table(spark, []).write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_texts_longer_than_a_slab(spark):
+    """Two texts of about 3 MB, longer than what is handled at once, that share four fifths."""
+    a = [f"w{i * 7919 % 1000003}" for i in range(400_000)]
+    b = a[:320_000] + [f"x{i}" for i in range(80_000)]
+    ta, tb = " ".join(a), " ".join(b)
+    assert min(len(ta), len(tb)) > textcore.SLAB
+    docs = table(spark, [(1, ta), (2, tb), (3, "short " * 3)])
+    same = len(" ".join(a[:320_000])) + 1
+    got = {r.doc_id: r for r in suffix.remove_repeats(docs).collect()}
+    assert [tuple(x) for x in got[1].spans] == [tuple(x) for x in got[2].spans] == [(0, same)] and got[3].n_removed == 0
+    assert got[1].kept_sha256 == brute.sha(ta[same:])
+    got = {r.doc_id: r for r in debruijn.remove_spans(docs).collect()}
+    assert (got[1].n_removed, got[2].n_removed) == (0, 320_000) and got[2].kept_sha256 == brute.sha(" ".join(b[320_000:]))
+    got = {r.doc_id: r.component_id for r in forest.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 3}  # 0.67
+    near = table(spark, [(1, ta), (2, " ".join(a[:390_000]))])
+    assert {r.component_id for r in forest.near_duplicates(near).collect()} == {1}
+    bench = spark.createDataFrame([(1, " ".join(a[390_000:390_030])), (2, " ".join(a[100:120]))], "item_id long, text string")
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.mark(docs, bench).collect()} == {1: (50, 2), 2: (20, 1), 3: (0, 0)}
+    assert {r.doc_id: r.n_email for r in pii.find(table(spark, [(1, ta + " a@b.cd"), (2, "a@b.cd " * 300_000)])).collect()} == {1: 1, 2: 300_000}
